@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattline.functions.coerce import epoch_micros
-from wattline.operators.selection import ROW_BOUND, Slot, locate
+from wattline.operators.selection import BINS, ROW_BOUND, Slot
 from wattline.session import spool
 
 _CHUNK = 7  # bytes of a string that fit a non-negative BIGINT
@@ -107,6 +107,31 @@ class _Candidates:
     depth: int
 
 
+def _shrink(keyed: DataFrame, whole: Slot, rank: int, row_bound: int) -> Slot:
+    """Histogram passes over ``__key`` until the slot that holds ``rank`` is small or one value."""
+    kind = keyed.schema["__key"].dataType
+    key, slot = F.col("__key"), whole
+    while slot.size > row_bound and not slot.single:
+        low = _literal(slot.low, kind)
+        if isinstance(kind, T.DoubleType):
+            width = (slot.high - slot.low) / BINS or slot.high - slot.low
+            piece = F.least(F.floor((key - low) / F.lit(width)), F.lit(BINS))
+        else:
+            width = (slot.high - slot.low) // BINS + 1
+            piece = F.expr(f"(__key - ({slot.low}L)) div {width}L")
+        rows = keyed if slot == whole else keyed.where(key.between(low, _literal(slot.high, kind)))
+        before = slot.before
+        pieces = rows.groupBy(piece.alias("piece")).agg(
+            F.count("__key").alias("n"), F.min("__key").alias("lo"), F.max("__key").alias("hi")
+        )
+        for p in sorted((p for p in pieces.collect() if p["n"]), key=lambda p: p["piece"]):
+            if rank < before + p["n"]:
+                slot = Slot("key", p["lo"], p["hi"], before, p["n"])
+                break
+            before += p["n"]
+    return slot
+
+
 def _narrow(
     df: DataFrame, order: Sequence[str], rank: int, size: int, row_bound: int, extent: tuple[int, int] | None
 ) -> _Candidates:
@@ -130,9 +155,8 @@ def _narrow(
             if rank >= filled:  # nulls come last
                 rows, rank, size = rows.where(key.isNull()), rank - filled, size - filled
                 break
-            long = keyed.where("__key is not null").select(F.lit("key").alias("series"), F.col("__key").alias("v"))
-            slot = locate(long, {"key": [rank]}, {"key": whole}, row_bound)[("key", rank)]
-            kind = long.schema["v"].dataType
+            slot = _shrink(keyed, whole, rank, row_bound)
+            kind = keyed.schema["__key"].dataType
             rows = rows.where(key.between(_literal(slot.low, kind), _literal(slot.high, kind)))
             rank, size = rank - slot.before, slot.size
             if not slot.single:
