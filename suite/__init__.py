@@ -1,0 +1,6 @@
+"""Registered queries over the driver tables and the DuckDB statements they must match."""
+
+
+def load_all() -> None:
+    """Import every module that registers queries."""
+    from suite import sources  # noqa: F401

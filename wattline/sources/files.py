@@ -66,27 +66,23 @@ def headers(spark: SparkSession, paths: str | Sequence[str], comment: str = "#")
     return [(_header_cells(h), sorted(f)) for h, f in sorted(groups.items())]
 
 
-_OUTSIDE_QUOTES = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
-
-
 def read_trace_csv(spark: SparkSession, columns: Sequence[str], files: Sequence[str], comment: str = "#") -> DataFrame:
     """CSV files that share one header, as text, plus ``source_file`` (the file's stem).
 
     Comment lines are skipped and short rows are padded with nulls. Rows with more
-    fields than the header are dropped; ``DROPMALFORMED`` would lose the short ones.
+    fields than the header are dropped: a spare last column catches them, which
+    ``DROPMALFORMED`` could not do without losing the short rows too.
     """
-    bad = "__corrupt"
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, bad]])
+    spare = "__more"
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, spare]])
     df = (
         spark.read.schema(schema)
         .option("header", True)
         .option("comment", comment)
         .option("enforceSchema", True)
         .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", bad)
         .csv(list(files))
         .select("*", F.col("_metadata.file_name").alias("__file"))
     )
-    fields = F.regexp_count(F.col(bad), F.lit(_OUTSIDE_QUOTES)) + 1
-    kept = df.where(F.col(bad).isNull() | (fields <= len(columns)))
-    return kept.withColumn("source_file", F.regexp_replace("__file", r"\.[^.]*$", "")).drop(bad, "__file")
+    kept = df.where(F.col(spare).isNull())
+    return kept.withColumn("source_file", F.regexp_replace("__file", r"\.[^.]*$", "")).drop(spare, "__file")

@@ -18,7 +18,8 @@ RECORD_FIELDS = (
     ("ambient_c", "double"),
     ("workload_type", "string"),
 )
-RECORD_SCHEMA = T.StructType().fromDDL(", ".join(f"{n} {t}" for n, t in RECORD_FIELDS))
+_TYPES = {"double": T.DoubleType(), "string": T.StringType()}
+RECORD_SCHEMA = T.StructType([T.StructField(n, _TYPES[t]) for n, t in RECORD_FIELDS])
 REQUEST_SCHEMA = T.StructType([T.StructField("records", T.ArrayType(RECORD_SCHEMA))])
 
 
