@@ -3,4 +3,4 @@
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from suite import sources, transforms  # noqa: F401
+    from suite import checks, sources, splits, statistics, transforms  # noqa: F401
