@@ -27,6 +27,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wattline.plans.preprocessing import FEATURES
 from wattline.session import spool_path
@@ -141,7 +142,7 @@ def row_attributions(model: Model, vectors: DataFrame, keys: Sequence[str]) -> D
                 yield pdf.drop(columns="__x").assign(attribution=list(phi))
 
     narrow = vectors.select(*keys, vector_to_array(FEATURES).alias("__x"))
-    schema = narrow.drop("__x").schema.add("attribution", "array<double>")
+    schema = narrow.drop("__x").schema.add("attribution", T.ArrayType(T.DoubleType()))
     return narrow.mapInPandas(batches, schema)
 
 

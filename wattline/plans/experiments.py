@@ -14,11 +14,11 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.contract import SESSION, TIMESTAMP
+from wattline.contract import SESSION, TARGET, TIMESTAMP
 from wattline.operators.columns import feature_families
 from wattline.operators.metrics import best_per_group, cv_summary, regression_metrics, residual_diagnostics
 from wattline.operators.splits import STRATEGIES, attach_folds, grouped_folds, split
-from wattline.plans.models import DEFAULT_MODELS, fit_models, predict_all, prepare, train_and_evaluate
+from wattline.plans.models import DEFAULT_MODELS, Prepared, fit_models, predict_long, prepare
 from wattline.session import spool
 
 # Default search space of the sweep.
@@ -52,8 +52,30 @@ def grid_table(spark: SparkSession, space: Mapping[str, Mapping[str, Sequence[An
     return spark.createDataFrame(rows, "model string, params string")
 
 
-def _scores(predictions: DataFrame) -> DataFrame:
-    return regression_metrics(predictions).join(residual_diagnostics(predictions), "model")
+def _fits(models: Sequence[str], params: Mapping[str, Mapping[str, Any]] | None) -> dict[str, tuple[str, Any]]:
+    return {m: (m, (params or {}).get(m)) for m in models}
+
+
+def _held_out(data: Prepared, fits: Mapping[str, tuple[str, Any]], seed: int, label: str) -> DataFrame:
+    """(model, actual, prediction, label) of the held-out rows of one split, stored once."""
+    try:
+        models = fit_models(data, fits, seed)
+        narrow = predict_long(data, models, [TARGET]).withColumn("__label", F.lit(label))
+        return spool(narrow, "held-out")
+    finally:
+        data.release()
+
+
+def _scores(held_out: DataFrame, label: str) -> DataFrame:
+    """Metrics and residual statistics per (label, model): one pass over all experiments' rows."""
+    keyed = held_out.withColumn("__key", F.concat_ws("|", "__label", "model"))
+    diagnostics = residual_diagnostics(keyed, "__key")
+    return (
+        regression_metrics(keyed, ["__key", "__label", "model"])
+        .join(F.broadcast(diagnostics), "__key")
+        .withColumnRenamed("__label", label)
+        .drop("__key")
+    )
 
 
 def feature_ablation(
@@ -72,21 +94,18 @@ def feature_ablation(
     """
     flagged = split(df, split_strategy, test_size, seed, keys)
     families = feature_families([c for c in df.columns if c not in exclude])
-    empty = [name for name, cols in families.items() if not cols]
+    used = {name: cols for name, cols in families.items() if cols}
     parts = []
-    for name, cols in families.items():
-        if not cols:
-            continue
-        run = train_and_evaluate(
-            df, models, params, cols, exclude, split_strategy, test_size, seed, keys, flagged=flagged
-        )
-        parts.append(
-            _scores(run.predictions).select(
-                F.lit(name).alias("feature_set"), "model", "mae", "rmse", "r2",
-                "residual_bias", "residual_std", "residual_p95_abs", F.lit(len(cols)).alias("feature_count"),
-            )
-        )
-    table = spool(_union(parts), "ablation")
+    for name, cols in used.items():
+        data = prepare(df, flagged, cols, exclude, split_strategy, test_size, seed, keys)
+        parts.append(_held_out(data, _fits(models, params), seed, name))
+    sizes = df.sparkSession.createDataFrame([(n, len(c)) for n, c in used.items()], "feature_set string, feature_count bigint")
+    found = _scores(_union(parts), "feature_set").join(F.broadcast(sizes), "feature_set")
+    columns = (
+        "feature_set", "model", "mae", "rmse", "r2", "residual_bias", "residual_std", "residual_p95_abs", "feature_count",
+    )
+    table = spool(found.select(*columns), "ablation")
+    empty = [n for n in families if n not in used]
     return table.orderBy("feature_set", "rmse"), best_per_group(table, "feature_set", ["model"]), empty
 
 
@@ -101,18 +120,14 @@ def hyperparameter_sweep(
 ) -> tuple[DataFrame, DataFrame]:
     """(all combinations, best per model) on one shared split."""
     data = prepare(df, None, None, exclude, split_strategy, test_size, seed, keys)
-    try:
-        parts = []
-        for model, combo in expand_grid(space):
-            predictions = predict_all(data, fit_models(data, [model], {model: combo}, seed))
-            parts.append(
-                _scores(predictions).select(
-                    "model", F.lit(parameter_text(combo)).alias("params"), "mae", "rmse", "r2", "residual_p95_abs"
-                )
-            )
-        table = spool(_union(parts), "sweep")
-    finally:
-        data.release()
+    combos = {f"{m}: {parameter_text(p)}": (m, p) for m, p in expand_grid(space)}
+    held_out = _held_out(data, combos, seed, "sweep")
+    names = [(label, m, parameter_text(p)) for label, (m, p) in combos.items()]
+    side = df.sparkSession.createDataFrame(names, "label string, name string, params string")
+    found = _scores(held_out, "sweep").join(F.broadcast(side), F.col("model") == F.col("label"))
+    table = spool(
+        found.select(F.col("name").alias("model"), "params", "mae", "rmse", "r2", "residual_p95_abs"), "sweep"
+    )
     return table.orderBy("model", "rmse", "params"), best_per_group(table, "model", ["params"])
 
 
@@ -130,9 +145,10 @@ def split_comparison(
     for strategy in STRATEGIES:
         if strategy == "grouped" and SESSION not in df.columns:
             continue
-        run = train_and_evaluate(df, models, params, None, exclude, strategy, test_size, seed, keys)
-        parts.append(regression_metrics(run.predictions).withColumn("split_strategy", F.lit(strategy)))
-    table = spool(_union(parts).select("split_strategy", "model", "mae", "rmse", "r2"), "splits")
+        data = prepare(df, None, None, exclude, strategy, test_size, seed, keys)
+        parts.append(_held_out(data, _fits(models, params), seed, strategy))
+    metrics = regression_metrics(_union(parts), ["__label", "model"]).withColumnRenamed("__label", "split_strategy")
+    table = spool(metrics, "splits")
     return table.orderBy("split_strategy", "rmse"), best_per_group(table, "split_strategy", ["model"])
 
 
@@ -154,9 +170,10 @@ def grouped_blocked_cv(
     parts = []
     for fold in numbers:
         flagged = stored.withColumn("is_test", F.col("fold") == fold).drop("fold")
-        run = train_and_evaluate(df, models, params, None, exclude, "grouped", seed=seed, flagged=flagged)
-        parts.append(regression_metrics(run.predictions).withColumn("fold", F.lit(fold).cast("bigint")))
-    table = spool(_union(parts).select("fold", "model", "mae", "rmse", "r2"), "cv")
+        data = prepare(df, flagged, None, exclude, "grouped", seed=seed)
+        parts.append(_held_out(data, _fits(models, params), seed, str(fold)))
+    metrics = regression_metrics(_union(parts), ["__label", "model"])
+    table = spool(metrics.select(F.col("__label").cast("bigint").alias("fold"), "model", "mae", "rmse", "r2"), "cv")
     return table.orderBy("fold", "rmse"), cv_summary(table)
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -16,7 +18,7 @@ from pyspark.storagelevel import StorageLevel
 from wattline.contract import TARGET, TIMESTAMP
 from wattline.operators.columns import feature_columns
 from wattline.operators.metrics import leaderboard, regression_metrics, residual_diagnostics
-from wattline.operators.splits import split
+from wattline.operators.splits import split, split_used
 from wattline.plans.preprocessing import FEATURES, Preprocessor, fit_preprocessor
 from wattline.session import spool
 
@@ -38,6 +40,7 @@ _BOOST = {
     **_COMMON, "n_estimators": "maxIter", "learning_rate": "stepSize",
     "subsample": "subsamplingRate", "colsample_bytree": "featureSubsetStrategy",
 }
+FIT_PARALLELISM = 4
 NORMAL_SOLVER_LIMIT = 4096  # widest vector the normal equations accept in MLlib
 
 
@@ -126,7 +129,7 @@ def prepare(
     """
     numbers, texts = resolve_features(df, selected, [*exclude, "is_test", "split_used"])
     rows = flagged if flagged is not None else split(df, split_strategy, test_size, seed, keys)
-    used = split_strategy if "split_used" not in rows.columns else rows.select("split_used").first()[0]
+    used = split_used(df.columns, split_strategy)
     rows = rows.where(F.col(TARGET).isNotNull())
     train, test = rows.where(~F.col("is_test")), rows.where("is_test")
     pre = fit_preprocessor(train.select(*numbers, *texts, TARGET), numbers, texts, exact)
@@ -137,16 +140,32 @@ def prepare(
 
 
 def fit_models(
-    data: Prepared, models: Sequence[str], params: Mapping[str, Mapping[str, Any]] | None = None, seed: int = 42
+    data: Prepared,
+    fits: Mapping[str, tuple[str, Mapping[str, Any] | None]],
+    seed: int = 42,
+    parallelism: int = FIT_PARALLELISM,
 ) -> dict[str, Model]:
-    params = params or {}
-    return {m: make_regressor(m, len(data.pre.slots), params.get(m), seed).fit(data.train) for m in models}
+    """Fit ``{label: (model, parameters)}`` on the cached training vectors.
+
+    A few fits run side by side, as MLlib's own tuning does, so that the short
+    stages of one do not leave the cluster idle.
+    """
+    spark = data.train.sparkSession
+
+    def fit(label: str) -> Model:
+        name, params = fits[label]
+        return make_regressor(name, len(data.pre.slots), params, seed).fit(data.train)
+
+    data.train.count()  # fill the cache once, not once per thread
+    with ThreadPool(max(1, min(parallelism, len(fits)))) as pool:
+        return dict(zip(fits, pool.map(inheritable_thread_target(spark)(fit), fits)))
 
 
-def predict_all(data: Prepared, models: Mapping[str, Model]) -> DataFrame:
-    """Long predictions table, one row per held-out row and model, stored once."""
-    parts = [m.transform(data.test).drop(FEATURES).withColumn("model", F.lit(name)) for name, m in models.items()]
-    return spool(reduce(DataFrame.unionByName, parts), "predictions")
+def predict_long(data: Prepared, models: Mapping[str, Model], columns: Sequence[str] | None = None) -> DataFrame:
+    """Held-out predictions, one row per row and model; ``columns`` limits what is carried."""
+    keep = [c for c in data.test.columns if c != FEATURES] if columns is None else list(columns)
+    parts = [m.transform(data.test).select(*keep, PREDICTION, F.lit(label).alias("model")) for label, m in models.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def train_and_evaluate(
@@ -165,8 +184,8 @@ def train_and_evaluate(
     """Fit every model on the training side of one split and score the held-out side."""
     data = prepare(df, flagged, selected, exclude, split_strategy, test_size, seed, keys, exact)
     try:
-        fitted = fit_models(data, models, params, seed)
-        predictions = predict_all(data, fitted)
+        fitted = fit_models(data, {m: (m, (params or {}).get(m)) for m in models}, seed)
+        predictions = spool(predict_long(data, fitted), "predictions")
     finally:
         data.release()
     return TrainingRun(
