@@ -47,6 +47,8 @@ def _shaped(df: DataFrame, schema: str) -> DataFrame:
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, value, n) of the non-null values of text columns."""
+    if not columns:
+        return df.sparkSession.createDataFrame([], "feature string, value string, n bigint")
     cells = [F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns]
     long = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("value is not null")
     return long.groupBy("feature", "value").agg(F.count("*").alias("n"))
