@@ -55,10 +55,16 @@ def test_audit_flags_copies_and_survives_constants(spark):
         audit.audit(few.drop("power_watts"))
 
 
-def test_audit_chunks_many_columns(spark, monkeypatch):
-    monkeypatch.setattr(audit, "MAX_COLUMNS_PER_PASS", 2)
-    pdf = pd.DataFrame(np.random.default_rng(1).normal(size=(30, 6)), columns=["power_watts", *"abcde"])
-    assert audit.target_correlations(spark.createDataFrame(pdf), list("abcde")).count() == 5
+def test_many_columns_are_handled_in_groups(spark):
+    names = [f"c{i:02d}" for i in range(21)]
+    pdf = pd.DataFrame(np.random.default_rng(1).normal(size=(60, 22)), columns=["power_watts", *names])
+    df = spark.createDataFrame(pdf)
+    got = {r["feature"]: r["corr"] for r in audit.target_correlations(df, names).collect()}
+    assert got == pytest.approx({c: pdf[c].corr(pdf["power_watts"]) for c in names})
+    profile = {r["feature"]: r["p50"] for r in drift.reference_profile(df, names, []).collect()}
+    assert profile == pytest.approx({c: pdf[c].median() for c in names})
+    report = drift.drift_report(drift.reference_profile(df, names, []), df)
+    assert report.where("severity = 'warning'").count() == 0 and report.where("check = 'mean_shift_std'").count() == 21
 
 
 def test_flat_and_sparse_columns(spark):

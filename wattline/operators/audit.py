@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from wattline.contract import SESSION, TARGET, TIMESTAMP
 from wattline.functions.coerce import numeric
 from wattline.operators.columns import POWER_CHANNEL_TOKENS, POWER_TOKENS, has_token, numeric_columns
+from wattline.operators.wide import column_stats
 
 # The audit flags strictly above its limit and needs more than 8
 # pairs; the loader guard drops at or above the same limit and needs 12 pairs.
 CORR_LIMIT = 0.995
 AUDIT_MIN_PAIRS = 9
 GUARD_MIN_PAIRS = 12
-MAX_COLUMNS_PER_PASS = 200
+FEATURES_PER_PASS = 4  # a correlation carries ten running sums
 
 
 def correlation(x: Column, y: Column) -> Column:
@@ -29,27 +30,15 @@ def correlation(x: Column, y: Column) -> Column:
 
 
 def target_correlations(df: DataFrame, features: Sequence[str], target: str = TARGET) -> DataFrame:
-    """(feature, pairs, corr) of every feature with the target; one pass per 200 columns."""
-    y = numeric(df, target)
-    parts = []
-    for i in range(0, len(features), MAX_COLUMNS_PER_PASS):
-        chunk = features[i : i + MAX_COLUMNS_PER_PASS]
-        stats = []
-        for j, f in enumerate(chunk):
-            x = numeric(df, f)
-            stats += [
-                F.count_if(x.isNotNull() & y.isNotNull()).alias(f"n{j}"),
-                correlation(x, y).alias(f"r{j}"),
-            ]
-        cells = [
-            F.struct(F.lit(f).alias("feature"), F.col(f"n{j}").alias("pairs"), F.col(f"r{j}").alias("corr"))
-            for j, f in enumerate(chunk)
-        ]
-        parts.append(df.agg(*stats).select(F.explode(F.array(*cells)).alias("c")).select("c.*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(feature, pairs, corr) of every feature with the target."""
+    y = F.col("__y")
+    return column_stats(
+        df.where(numeric(df, target).isNotNull()),
+        features,
+        lambda _, x: {"pairs": F.count(x), "corr": correlation(x, y)},
+        extra={"__y": numeric(df, target)},
+        size=FEATURES_PER_PASS,
+    )
 
 
 def audit(df: DataFrame, target: str = TARGET) -> DataFrame:
@@ -87,21 +76,23 @@ def audit_totals(df: DataFrame, target: str = TARGET) -> DataFrame:
 
 def sparse_columns(df: DataFrame, protect: Sequence[str] = (TARGET, SESSION, TIMESTAMP)) -> list[str]:
     """Columns with fewer than max(40, a quarter of the rows) values; keys and target are kept."""
-    row = df.agg(F.count("*").alias("__n"), *[F.count(f"`{c}`").alias(c) for c in df.columns]).first()
-    least = max(40, int(0.25 * row["__n"]))
-    return [c for c in df.columns if c not in protect and row[c] < least]
+    stats = column_stats(
+        df, df.columns, lambda _, x: {"n": F.count(x), "rows": F.count(F.lit(1))}, lambda d, c: d[f"`{c}`"]
+    )
+    few = {r["feature"] for r in stats.collect() if r["n"] < max(40, int(0.25 * r["rows"]))}
+    return [c for c in df.columns if c in few and c not in protect]
 
 
 def flat_columns(df: DataFrame, protect: Sequence[str] = (TARGET,)) -> list[str]:
     """Numeric columns that are nearly empty (below max(20, 5 %)) or hold a single value."""
     names = [c for c in numeric_columns(df) if c not in protect]
-    stats = [F.count("*").alias("__n")]
-    for i, c in enumerate(names):
-        x = numeric(df, c)
-        stats += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-    row = df.agg(*stats).first()
-    least = max(20, int(0.05 * row["__n"]))
-    return [c for i, c in enumerate(names) if row[f"n{i}"] < least or row[f"lo{i}"] == row[f"hi{i}"]]
+    if not names:
+        return []
+    stats = column_stats(
+        df, names, lambda _, x: {"n": F.count(x), "lo": F.min(x), "hi": F.max(x), "rows": F.count(F.lit(1))}
+    )
+    bad = {r["feature"] for r in stats.collect() if r["n"] < max(20, int(0.05 * r["rows"])) or r["lo"] == r["hi"]}
+    return [c for c in names if c in bad]
 
 
 def power_named_columns(df: DataFrame, target: str = TARGET) -> list[str]:

@@ -1,20 +1,22 @@
 """Reference profiles and input drift.
 
 A profile is a long table with one row per feature, so it has as many rows as
-the model has inputs. The drift report reads that small table into literals and
-answers every check from one aggregate over the input.
+the model has inputs. The drift report collects that small table and one row of
+aggregates per feature, and answers every check from those.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from wattline.functions.coerce import numeric
 from wattline.operators.columns import feature_columns, is_numeric
 from wattline.operators.selection import column_quantiles
+from wattline.operators.wide import column_stats, unpivoted
 
 # Sizes kept in a categorical profile and default check limits.
 KEPT_CATEGORIES = 100
@@ -30,6 +32,8 @@ PROFILE_SCHEMA = (
     "top_values array<struct<value:string,count:bigint>>"
 )
 
+STATS_SCHEMA = "feature string, rows bigint, valid bigint, bad bigint, mean double, outside bigint"
+
 CHECK_SCHEMA = (
     "feature string, feature_type string, check string, reference_value double, reference_text string, "
     "input_value double, threshold double, severity string, message string"
@@ -49,44 +53,36 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, value, n) of the non-null values of text columns."""
     if not columns:
         return df.sparkSession.createDataFrame([], "feature string, value string, n bigint")
-    cells = [F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns]
-    long = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("value is not null")
+    long = unpivoted(df, columns, lambda d, c: d[f"`{c}`"].cast("string"), ("feature", "value"))
     return long.groupBy("feature", "value").agg(F.count("*").alias("n"))
 
 
 def numeric_profile(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataFrame:
     """Count, missing rate, moments and quantiles of numeric features."""
-    stats = [F.count("*").alias("rows")]
-    for i, c in enumerate(columns):
-        x = numeric(df, c)
-        stats += [
-            F.count(x).alias(f"n{i}"),
-            F.avg(x).alias(f"mean{i}"),
-            F.stddev_pop(x).alias(f"std{i}"),
-            F.min(x).alias(f"min{i}"),
-            F.max(x).alias(f"max{i}"),
-        ]
-    q = column_quantiles(df, columns, (0.05, 0.5, 0.95), exact)
-    cells = []
-    for i, c in enumerate(columns):
-        at = q.get(c, {})
-        cells.append(
-            F.struct(
-                F.lit(c).alias("feature"),
-                F.lit("numeric").alias("feature_type"),
-                F.col("rows").alias("row_count"),
-                F.col(f"n{i}").alias("count"),
-                (1.0 - F.try_divide(F.col(f"n{i}"), F.col("rows"))).alias("missing_rate"),
-                F.col(f"mean{i}").alias("mean"),
-                F.col(f"std{i}").alias("std"),
-                F.col(f"min{i}").alias("min"),
-                F.lit(at.get(0.05)).cast("double").alias("p05"),
-                F.lit(at.get(0.5)).cast("double").alias("p50"),
-                F.lit(at.get(0.95)).cast("double").alias("p95"),
-                F.col(f"max{i}").alias("max"),
-            )
-        )
-    return df.agg(*stats).select(F.explode(F.array(*cells)).alias("f")).select("f.*")
+    stats = column_stats(
+        df,
+        columns,
+        lambda _, x: {
+            "row_count": F.count(F.lit(1)),
+            "count": F.count(x),
+            "mean": F.avg(x),
+            "std": F.stddev_pop(x),
+            "min": F.min(x),
+            "max": F.max(x),
+        },
+    )
+    found = column_quantiles(df, columns, (0.05, 0.5, 0.95), exact)
+    side = df.sparkSession.createDataFrame(
+        [(c, *[found.get(c, {}).get(p) for p in (0.05, 0.5, 0.95)]) for c in columns],
+        "feature string, p05 double, p50 double, p95 double",
+    )
+    # One row per column on both sides.
+    return stats.join(F.broadcast(side), "feature").withColumns(
+        {
+            "feature_type": F.lit("numeric"),
+            "missing_rate": 1.0 - F.try_divide(F.col("count"), F.col("row_count")),
+        }
+    )
 
 
 def categorical_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -168,22 +164,13 @@ def profile_warnings(df: DataFrame, features: Sequence[str], min_rows: int = MIN
 
 
 def input_statistics(df: DataFrame, numeric_features: Sequence[str]) -> DataFrame:
-    """(feature, feature_type, input_rows, input_count, input_mean) in one pass."""
-    stats = [F.count("*").alias("rows")]
-    for i, c in enumerate(numeric_features):
-        x = numeric(df, c)
-        stats += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}")]
-    cells = [
-        F.struct(
-            F.lit(c).alias("feature"),
-            F.lit("numeric").alias("feature_type"),
-            F.col("rows").alias("input_rows"),
-            F.col(f"n{i}").alias("input_count"),
-            F.col(f"m{i}").alias("input_mean"),
-        )
-        for i, c in enumerate(numeric_features)
-    ]
-    return df.agg(*stats).select(F.explode(F.array(*cells)).alias("f")).select("f.*")
+    """(feature, feature_type, input_rows, input_count, input_mean)."""
+    stats = column_stats(
+        df,
+        numeric_features,
+        lambda _, x: {"input_rows": F.count(F.lit(1)), "input_count": F.count(x), "input_mean": F.avg(x)},
+    )
+    return stats.withColumn("feature_type", F.lit("numeric"))
 
 
 def join_profile(stats: DataFrame, profile: DataFrame) -> DataFrame:
@@ -205,14 +192,10 @@ def unseen_values(df: DataFrame, profile: DataFrame) -> DataFrame:
 
 
 def _check(
-    feature: str, kind: str, check: str, severity: Column | str, message: Column | str,
+    feature: str, kind: str, check: str, severity: str, message: str,
     reference: object = None, value: Column | None = None, limit: float | None = None, text: str | None = None,
-    when: Column | None = None,
 ) -> Column:
-    def text_of(v):
-        return F.lit(v) if isinstance(v, str) else v
-
-    row = F.struct(
+    return F.struct(
         F.lit(feature).alias("feature"),
         F.lit(kind).alias("feature_type"),
         F.lit(check).alias("check"),
@@ -220,46 +203,103 @@ def _check(
         F.lit(text).cast("string").alias("reference_text"),
         (F.lit(None) if value is None else value).cast("double").alias("input_value"),
         F.lit(limit).cast("double").alias("threshold"),
-        text_of(severity).alias("severity"),
-        text_of(message).alias("message"),
+        F.lit(severity).alias("severity"),
+        F.lit(message).alias("message"),
     )
-    return row if when is None else F.when(when, row)
 
 
-def _state(bad: Column) -> Column:
-    return F.when(bad, "warning").otherwise("ok")
+def _state(bad: bool) -> str:
+    return "warning" if bad else "ok"
 
 
-def _schema_parts(df: DataFrame, features: Sequence[tuple[str, str]]) -> tuple[list[Column], list[Column]]:
-    """Aggregates and check rows for missing, non-numeric and extra columns."""
-    stats, rows = [], []
+def _schema_rows(df: DataFrame, features: Sequence[tuple[str, str]], bad: Mapping[str, int]) -> list[Column]:
+    """Check rows for missing, non-numeric and extra columns."""
+    rows = []
     names = [f for f, _ in features]
-    for i, (f, kind) in enumerate(features):
+    for f, kind in features:
         if f not in df.columns:
             text = f"Expected feature '{f}' is absent; it will be imputed or ignored."
             rows.append(_check(f, kind, "missing_feature", "warning", text))
-        elif kind == "numeric" and not is_numeric(df.schema[f].dataType):
-            raw = F.col(f"`{f}`")
-            stats.append(F.count_if(raw.isNotNull() & numeric(df, f).isNull()).alias(f"bad{i}"))
-            bad = F.col(f"bad{i}")
-            text = F.format_string(f"Feature '{f}' has %d value(s) that are not numbers.", bad)
-            rows.append(_check(f, kind, "non_numeric_values", "warning", text, value=bad, when=bad > 0))
+        elif bad.get(f):
+            text = f"Feature '{f}' has {bad[f]} value(s) that are not numbers."
+            rows.append(_check(f, kind, "non_numeric_values", "warning", text, value=F.lit(bad[f])))
     for c in df.columns:
         if c not in names:
             rows.append(_check(c, "extra", "extra_feature", "info", f"Column '{c}' is not used by the model."))
-    return stats, rows
+    return rows
+
+
+def _check_table(df: DataFrame, rows: Sequence[Column]) -> DataFrame:
+    """Check rows as a table, in order; a few per feature."""
+    spark = df.sparkSession
+    if not rows:
+        return spark.createDataFrame([], CHECK_SCHEMA)
+    found = spark.range(1).select(F.posexplode(F.array(*rows)).alias("position", "c"))
+    return found.select("c.*", "position").orderBy("position").drop("position")
+
+
+def _text_columns(df: DataFrame, features: Sequence[tuple[str, str]]) -> list[str]:
+    return [f for f, k in features if k == "numeric" and f in df.columns and not is_numeric(df.schema[f].dataType)]
+
+
+def _not_numbers(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """How many values of each text column are present but not numbers."""
+    if not columns:
+        return {}
+    broken = lambda d, c: d[f"`{c}`"].isNotNull() & numeric(d, c).isNull()
+    return {r["feature"]: r["n"] for r in column_stats(df, columns, lambda _, x: {"n": F.count_if(x)}, broken).collect()}
 
 
 def schema_checks(df: DataFrame, features: Sequence[tuple[str, str]]) -> DataFrame:
     """Missing, non-numeric and extra columns of an input. ``features`` is (name, type)."""
     if df.isEmpty():
         raise ValueError("No input rows provided.")
-    stats, rows = _schema_parts(df, features)
-    found = F.filter(F.array(*rows), lambda r: r.isNotNull()) if rows else F.array()
-    base = df.agg(F.count("*").alias("rows"), *stats)
-    if not rows:
-        return df.sparkSession.createDataFrame([], CHECK_SCHEMA)
-    return base.select(F.explode(found).alias("c")).select("c.*")
+    return _check_table(df, _schema_rows(df, features, _not_numbers(df, _text_columns(df, features))))
+
+
+def _number_stats(df: DataFrame, refs: Sequence[Row]) -> DataFrame | None:
+    """(feature, rows, valid, bad, mean, outside) of the numeric inputs."""
+    at = {r["feature"]: r for r in refs if r["feature_type"] == "numeric"}
+    if not at:
+        return None
+
+    def value(d: DataFrame, c: str) -> Column:
+        kept = F.lit(False) if is_numeric(d.schema[c].dataType) else d[f"`{c}`"].isNotNull()
+        return F.struct(numeric(d, c).alias("x"), kept.alias("given"))
+
+    def build(c: str, v: Column) -> dict[str, Column]:
+        x, r = v["x"], at[c]
+        low, high = F.lit(r["min"]).cast("double"), F.lit(r["max"]).cast("double")
+        return {
+            "rows": F.count(F.lit(1)),
+            "valid": F.count(x),
+            "bad": F.count_if(v["given"] & x.isNull()),
+            "mean": F.avg(x),
+            "outside": F.count_if((x < low) | (x > high)),
+        }
+
+    return column_stats(df, list(at), build, value)
+
+
+def _text_stats(df: DataFrame, refs: Sequence[Row]) -> DataFrame | None:
+    """(feature, rows, valid, bad, mean, outside) of the text inputs; outside means unseen."""
+    known = {r["feature"]: list(r["categories"] or []) for r in refs if r["feature_type"] == "categorical"}
+    if not known:
+        return None
+    judged = {
+        r["feature"] for r in refs if r["feature_type"] == "categorical" and r["categories"] and not r["categories_truncated"]
+    }
+
+    def build(c: str, x: Column) -> dict[str, Column]:
+        return {
+            "rows": F.count(F.lit(1)),
+            "valid": F.count(x),
+            "bad": F.lit(0).cast("bigint"),
+            "mean": F.lit(None).cast("double"),
+            "outside": F.count_if(~x.isin(known[c])) if c in judged else F.lit(0).cast("bigint"),
+        }
+
+    return column_stats(df, list(known), build, lambda d, c: d[f"`{c}`"].cast("string"))
 
 
 def drift_report(
@@ -271,83 +311,68 @@ def drift_report(
     missing_delta_threshold: float = SHARE_LIMIT,
     unseen_share_threshold: float = SHARE_LIMIT,
 ) -> DataFrame:
-    """Every schema and drift check of an input as one table, from one aggregate scan."""
-    if df.isEmpty():
+    """Every schema and drift check of an input as one table, from one aggregate job.
+
+    The profile and the aggregates have one row per feature; the input itself is
+    only ever aggregated.
+    """
+    refs = sorted(profile.collect(), key=lambda r: r["ordinal"])
+    features = [(r["feature"], r["feature_type"]) for r in refs]
+    judged = [r for r in refs if r["feature"] in df.columns and r["row_count"] is not None]
+    total = df.select(F.lit("__dataset__").alias("feature")).groupBy("feature").agg(F.count("*").alias("rows"))
+    parts = [_shaped(t, STATS_SCHEMA) for t in (total, _number_stats(df, judged), _text_stats(df, judged)) if t is not None]
+    stats = {r["feature"]: r for r in reduce(DataFrame.unionByName, parts).collect()}
+    if "__dataset__" not in stats:
         raise ValueError("No input rows provided.")
-    refs = sorted((r for r in profile.collect()), key=lambda r: r["ordinal"])  # one row per feature
-    n = F.col("rows")
-    stats, schema_rows = _schema_parts(df, [(r["feature"], r["feature_type"]) for r in refs])
-    reference_rows = max((r["row_count"] for r in refs if r["row_count"] is not None), default=None)
-    rows = [
-        _check(
-            "__dataset__", "dataset", "small_input_sample", "warning",
-            F.format_string("Only %d input rows; drift estimates are unstable.", n),
-            reference_rows, n, min_rows, when=n < min_rows,
-        ),
-        *schema_rows,
-    ]
-    for i, r in enumerate(refs):
-        f = r["feature"]
-        if f not in df.columns or r["row_count"] is None:
-            continue
-        ref_missing = r["missing_rate"] or 0.0
-        valid = F.col(f"n{i}")
-        missing = F.lit(1.0) - valid / n
-        worse = (missing - ref_missing) > missing_delta_threshold
+    n = stats["__dataset__"]["rows"]
+    unprofiled = [f for f in _text_columns(df, features) if f not in stats]
+    bad = {f: s["bad"] for f, s in stats.items()} | _not_numbers(df, unprofiled)
+    rows = []
+    if n < min_rows:
+        known_rows = max((r["row_count"] for r in refs if r["row_count"] is not None), default=None)
+        text = f"Only {n} input rows; drift estimates are unstable."
+        rows.append(_check("__dataset__", "dataset", "small_input_sample", "warning", text, known_rows, F.lit(n), min_rows))
+    rows += _schema_rows(df, features, bad)
+    for r in judged:
+        f, kind, s = r["feature"], r["feature_type"], stats[r["feature"]]
+        before, missing = r["missing_rate"] or 0.0, 1.0 - s["valid"] / n
+        delta = missing - before
         rows.append(
             _check(
-                f, r["feature_type"], "missing_rate_delta", _state(worse),
-                F.format_string("Missing rate changed by %.3f.", missing - ref_missing),
-                ref_missing, missing, missing_delta_threshold,
+                f, kind, "missing_rate_delta", _state(delta > missing_delta_threshold),
+                f"Missing rate changed by {delta:.3f}.", before, F.lit(missing), missing_delta_threshold,
             )
         )
-        if r["feature_type"] == "numeric":
-            x = numeric(df, f)
-            stats += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}")]
+        share = s["outside"] / s["valid"] if s["valid"] else 0.0
+        if kind == "categorical":
             rows.append(
                 _check(
-                    f, "numeric", "no_valid_numeric_values", "warning", f"Feature '{f}' has no valid number.",
-                    r["count"], valid, 1, when=valid == 0,
+                    f, kind, "unseen_category_share", _state(share > unseen_share_threshold),
+                    f"{share:.1%} of values are new categories.", len(r["categories"] or []), F.lit(share), unseen_share_threshold,
                 )
             )
-            if r["mean"] is not None:
-                shift = F.abs(F.col(f"m{i}") - F.lit(r["mean"])) / F.lit(max(r["std"] or 0.0, 1e-9))
-                rows.append(
-                    _check(
-                        f, "numeric", "mean_shift_std", _state(shift > mean_shift_threshold),
-                        F.format_string("Mean moved by %.2f reference deviations.", shift),
-                        r["mean"], F.col(f"m{i}"), mean_shift_threshold, when=valid > 0,
-                    )
-                )
-            if r["min"] is not None and r["max"] is not None:
-                stats.append(F.count_if((x < F.lit(r["min"])) | (x > F.lit(r["max"]))).alias(f"o{i}"))
-                share = F.try_divide(F.col(f"o{i}"), valid)
-                rows.append(
-                    _check(
-                        f, "numeric", "outside_reference_range_share", _state(share > range_share_threshold),
-                        F.format_string("%.1f%% of values leave the reference range.", share * 100),
-                        None, share, range_share_threshold, text=f"[{r['min']}, {r['max']}]", when=valid > 0,
-                    )
+            continue
+        if not s["valid"]:
+            text = f"Feature '{f}' has no valid number."
+            rows.append(_check(f, kind, "no_valid_numeric_values", "warning", text, r["count"], F.lit(0), 1))
+            continue
+        if r["mean"] is not None:
+            shift = abs(s["mean"] - r["mean"]) / max(r["std"] or 0.0, 1e-9)
+            rows.append(
+                _check(
+                    f, kind, "mean_shift_std", _state(shift > mean_shift_threshold),
+                    f"Mean moved by {shift:.2f} reference deviations.", r["mean"], F.lit(s["mean"]), mean_shift_threshold,
                 )
-        else:
-            c = F.col(f"`{f}`").cast("string")
-            known = list(r["categories"] or [])
-            judged = bool(known) and not r["categories_truncated"]
-            new = c.isNotNull() & ~c.isin(known) if judged else F.lit(False)
-            stats += [F.count(c).alias(f"n{i}"), F.count_if(new).alias(f"u{i}")]
-            share = F.coalesce(F.try_divide(F.col(f"u{i}"), valid), F.lit(0.0))
+            )
+        if r["min"] is not None and r["max"] is not None:
             rows.append(
                 _check(
-                    f, "categorical", "unseen_category_share", _state(share > unseen_share_threshold),
-                    F.format_string("%.1f%% of values are new categories.", share * 100),
-                    len(known), share, unseen_share_threshold,
+                    f, kind, "outside_reference_range_share", _state(share > range_share_threshold),
+                    f"{share:.1%} of values leave the reference range.", None, F.lit(share), range_share_threshold,
+                    text=f"[{r['min']}, {r['max']}]",
                 )
             )
-    found = F.filter(F.array(*rows), lambda c: c.isNotNull())
-    base = df.agg(F.count("*").alias("rows"), *stats)
-    return base.select(F.posexplode(found).alias("position", "c")).select("c.*", "position").orderBy("position").drop(
-        "position"
-    )
+    return _check_table(df, rows)
 
 
 def monitoring_summary(report: DataFrame, profile: DataFrame) -> DataFrame:

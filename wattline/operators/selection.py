@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattline.functions.coerce import numeric
+from wattline.operators.wide import unpivoted
 
 BINS = 2048
 ROW_BOUND = 100_000
@@ -43,11 +44,7 @@ class Slot:
 
 def long_form(df: DataFrame, columns: Sequence[str], group: Column | None = None) -> DataFrame:
     """Unpivot numeric columns; ``group`` prefixes the series name with ``group|``."""
-    prefix = (lambda c: F.lit(c)) if group is None else (lambda c: F.concat(group, F.lit("|" + c)))
-    cells = [F.struct(prefix(c).alias("series"), numeric(df, c).alias("v")) for c in columns]
-    return df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*").where(
-        "v is not null and series is not null"
-    )
+    return unpivoted(df, columns, numeric, ("series", "v"), group)
 
 
 def extents(long: DataFrame) -> dict[str, Slot]:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from wattline.functions.coerce import numeric
 from wattline.operators.drift import value_counts
 from wattline.operators.selection import medians
+from wattline.operators.wide import column_stats
 
 FEATURES = "features"
 MAX_CATEGORIES = 10_000
@@ -78,12 +79,10 @@ def numeric_fit(df: DataFrame, columns: Sequence[str], exact: bool = True) -> di
     kept = [c for c in columns if c in fill]
     if not kept:
         return {}
-    stats = []
-    for i, c in enumerate(kept):
-        x = F.coalesce(numeric(df, c), F.lit(fill[c]))
-        stats += [F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}")]
-    row = df.agg(*stats).first()
-    return {c: (fill[c], row[f"m{i}"], row[f"s{i}"] or 1.0) for i, c in enumerate(kept)}
+    filled = lambda d, c: F.coalesce(numeric(d, c), F.lit(fill[c]))
+    stats = column_stats(df, kept, lambda _, x: {"mean": F.avg(x), "scale": F.stddev_pop(x)}, filled)
+    at = {r["feature"]: r for r in stats.collect()}
+    return {c: (fill[c], at[c]["mean"], at[c]["scale"] or 1.0) for c in kept}
 
 
 def fit_preprocessor(

@@ -11,6 +11,11 @@ from wattline.operators.metrics import best_model
 R2_FLOOR = -1.0
 RMSE_CEILING = 5000.0
 
+SCORECARD_SCHEMA = (
+    "best_model string, primary_model string, primary_mae double, primary_rmse double, primary_r2 double, "
+    "random_rmse double, time_rmse double, grouped_metrics_suspect boolean"
+)
+
 
 def run_scorecard(
     metrics: DataFrame, cv_summary: DataFrame | None = None, split_best: DataFrame | None = None,
@@ -21,36 +26,17 @@ def run_scorecard(
     All inputs are result tables of a few rows; missing ones leave nulls.
     """
     spark = metrics.sparkSession
-    primary = cv_summary if cv_summary is not None else spark.createDataFrame(
-        [], "model string, mae double, rmse double, r2 double"
-    )
-    lead = primary.agg(F.min_by(F.struct("model", "mae", "rmse", "r2"), F.struct("rmse", "model")).alias("p"))
-    secondary = split_best if split_best is not None else spark.createDataFrame([], "split_strategy string, rmse double")
-    second = secondary.agg(
-        F.max(F.when(F.col("split_strategy") == "random", F.col("rmse"))).alias("random_rmse"),
-        F.max(F.when(F.col("split_strategy") == "time", F.col("rmse"))).alias("time_rmse"),
-    )
-    risk = (
-        target_quality.agg(F.bool_or("invalid_grouped_metric_risk").alias("risk"))
-        if target_quality is not None
-        else spark.createDataFrame([(False,)], "risk boolean")
-    )
-    # Each side is a one-row aggregate; the constant key makes this a plain equi-join.
-    one = [t.withColumn("__one", F.lit(1)) for t in (best_model(metrics), lead, second, risk)]
-    joined = one[0]
-    for t in one[1:]:
-        joined = joined.join(F.broadcast(t), "__one")
-    r2, rmse = F.col("p.r2"), F.col("p.rmse")
-    bad = F.coalesce(F.col("risk"), F.lit(False)) | F.coalesce(r2 < R2_FLOOR, F.lit(False)) | F.coalesce(
-        rmse > RMSE_CEILING, F.lit(False)
-    )
-    return joined.select(
-        F.col("model").alias("best_model"),
-        F.col("p.model").alias("primary_model"),
-        F.col("p.mae").alias("primary_mae"),
-        rmse.alias("primary_rmse"),
-        r2.alias("primary_r2"),
-        "random_rmse",
-        "time_rmse",
-        (bad & F.col("p").isNotNull()).alias("grouped_metrics_suspect"),
+    lead, second, risk = None, {}, False
+    if cv_summary is not None:
+        lead = cv_summary.agg(F.min_by(F.struct("model", "mae", "rmse", "r2"), F.struct("rmse", "model")).alias("p")).first()["p"]
+    if split_best is not None:
+        second = {r["split_strategy"]: r["rmse"] for r in split_best.select("split_strategy", "rmse").collect()}
+    if target_quality is not None:
+        risk = bool(target_quality.first()["invalid_grouped_metric_risk"])
+    best = best_model(metrics).first()["model"]
+    p = lead.asDict() if lead is not None else {"model": None, "mae": None, "rmse": None, "r2": None}
+    poor = (p["r2"] is not None and p["r2"] < R2_FLOOR) or (p["rmse"] is not None and p["rmse"] > RMSE_CEILING)
+    row = (
+        best, p["model"], p["mae"], p["rmse"], p["r2"], second.get("random"), second.get("time"), lead is not None and (risk or poor),
     )
+    return spark.createDataFrame([row], SCORECARD_SCHEMA)
