@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from suite.registry import query
+from suite.splits import _FOLDS
 from suite.statistics import METRICS_SQL, RESULTS_SQL, SCORED_SQL, _r, _results, scored
 from suite.transforms import _ORDER, SCORE_SQL
 from suite.views import FEATURES, KEYS, table, tel, telemetry
@@ -163,6 +164,20 @@ def model_importance(spark, sf_dir):
     return _r(models.importances(_train(spark, sf_dir)), ["importance"])
 
 
+@query(
+    "ml_08_linear_importance",
+    tel(
+        f"""{_HELD} SELECT 'linear_regression' AS model, 'num__gpu_utilization_pct' AS feature,
+        round(abs(regr_slope(power_watts, gpu_utilization_pct)) * stddev_pop(gpu_utilization_pct), 5) AS importance FROM ranked WHERE is_train"""
+    ),
+)
+def linear_importance(spark, sf_dir):
+    done = models.train_and_evaluate(
+        telemetry(spark, sf_dir), ["linear_regression"], None, ["gpu_utilization_pct"], NO_IDS, "time", 0.2, 42, KEYS
+    )
+    return _r(models.importances(done), ["importance"], 5)
+
+
 @query(
     "ml_09_permutation_importance",
     tel(
@@ -219,6 +234,70 @@ _SWEEP = {
 }
 
 
+def _two_features(spark, sf_dir):
+    return telemetry(spark, sf_dir).select(*KEYS, "timestamp", "session_id", "gpu_utilization_pct", "ambient_c", "power_watts")
+
+
+_ORDER2 = '"timestamp", k1, k2, session_id, gpu_utilization_pct, ambient_c, power_watts'
+_METRIC2 = """round(avg(abs(y - p)), 5) AS mae, round(sqrt(avg((y - p) ** 2)), 5) AS rmse,
+    round(1 - sum((y - p) ** 2) / (count(*) * var_pop(y)), 5) AS r2"""
+
+
+@query(
+    "exp_01_ablation_linear",
+    tel(
+        f""" , t AS (SELECT gpu_utilization_pct AS x, ambient_c AS z, power_watts AS y, row_number() OVER (ORDER BY {_ORDER2}) <= floor(0.8 * count(*) OVER ()) AS tr FROM telemetry),
+        m AS (SELECT avg(x) AS mx, avg(z) AS mz, avg(y) AS my, var_pop(x) AS xx, var_pop(z) AS zz, covar_pop(x, z) AS xz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy FROM t WHERE tr),
+        duo AS (SELECT y, my + (xy * zz - zy * xz) / (xx * zz - xz * xz) * (x - mx) + (zy * xx - xy * xz) / (xx * zz - xz * xz) * (z - mz) AS p FROM t, m WHERE NOT tr),
+        gpu AS (SELECT y, my + xy / xx * (x - mx) AS p FROM t, m WHERE NOT tr), sys AS (SELECT y, my + zy / zz * (z - mz) AS p FROM t, m WHERE NOT tr),
+        a AS (SELECT 'all_features' AS feature_set, CAST(2 AS BIGINT) AS feature_count, y, p FROM duo UNION ALL SELECT 'gpu_plus_thermal', 2, y, p FROM duo
+          UNION ALL SELECT 'gpu_only', 1, y, p FROM gpu UNION ALL SELECT 'system_only', 1, y, p FROM sys)
+        SELECT feature_set, 'linear_regression' AS model, {_METRIC2}, round(avg(y - p), 5) AS residual_bias, round(stddev_pop(y - p), 5) AS residual_std,
+        round(quantile_cont(abs(y - p), 0.95), 5) AS residual_p95_abs, feature_count FROM a GROUP BY 1, feature_count"""
+    ),
+)
+def ablation_linear(spark, sf_dir):
+    found, _, _ = experiments.feature_ablation(
+        _two_features(spark, sf_dir), ["linear_regression"], None, "time", keys=KEYS, exclude=NO_IDS
+    )
+    return _r(found, ["mae", "rmse", "r2", "residual_bias", "residual_std", "residual_p95_abs"], 5)
+
+
+_LINE = """f AS (SELECT part, regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM rows_ WHERE NOT te GROUP BY 1),
+    q AS (SELECT r.part, y, i + s * x AS p FROM rows_ r JOIN f USING (part) WHERE te)"""
+
+
+@query(
+    "exp_03_splits_linear",
+    tel(
+        f""" , t AS (SELECT gpu_utilization_pct AS x, power_watts AS y, session_id,
+          row_number() OVER (ORDER BY "timestamp", k1, k2, session_id, gpu_utilization_pct, power_watts) > floor(0.8 * count(*) OVER ()) AS by_time,
+          row_number() OVER (ORDER BY substr(md5('42:' || CAST(k1 AS VARCHAR) || ':' || CAST(k2 AS VARCHAR)), 1, 15), k1, k2, "timestamp", session_id, gpu_utilization_pct, power_watts) <= ceil(0.2 * count(*) OVER ()) AS by_hash
+          FROM telemetry),
+        g AS (SELECT session_id, row_number() OVER (ORDER BY substr(md5('42:' || session_id), 1, 15), session_id) <= ceil(0.2 * count(*) OVER ()) AS held FROM (SELECT DISTINCT session_id FROM telemetry)),
+        rows_ AS (SELECT 'time' AS part, x, y, by_time AS te FROM t UNION ALL SELECT 'random', x, y, by_hash FROM t UNION ALL SELECT 'grouped', x, y, held FROM t JOIN g USING (session_id)),
+        {_LINE} SELECT part AS split_strategy, 'linear_regression' AS model, {_METRIC2} FROM q GROUP BY 1"""
+    ),
+)
+def splits_linear(spark, sf_dir):
+    df = _two_features(spark, sf_dir).drop("ambient_c")
+    found, _ = experiments.split_comparison(df, ["linear_regression"], keys=KEYS, exclude=NO_IDS)
+    return _r(found, ["mae", "rmse", "r2"], 5)
+
+
+@query(
+    "exp_04_cv_linear",
+    tel(
+        f"""{_FOLDS}, k AS (SELECT unnest([1, 2, 3]) AS part), rows_ AS (SELECT part, gpu_utilization_pct AS x, power_watts AS y, fold = part AS te FROM telemetry JOIN folds USING (session_id), k),
+        {_LINE} SELECT CAST(part AS BIGINT) AS fold, 'linear_regression' AS model, {_METRIC2} FROM q GROUP BY 1"""
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def cv_linear(spark, sf_dir):
+    df = _two_features(spark, sf_dir).drop("ambient_c")
+    found, _ = experiments.grouped_blocked_cv(df, ["linear_regression"], exclude=NO_IDS)
+    return _r(found, ["mae", "rmse", "r2"], 5)
+
+
 @query("exp_02_sweep")
 def sweep(spark, sf_dir):
     found, _ = experiments.hyperparameter_sweep(telemetry(spark, sf_dir), _SWEEP, "time", keys=KEYS, exclude=NO_IDS)
@@ -282,7 +361,10 @@ def versions(spark, sf_dir):
     return version_index(entries)
 
 
-@query("reg_03_resolve_latest")
+@query(
+    "reg_03_resolve_latest",
+    "SELECT 'linear_regression' AS model, '20250101T000000Z' AS version, count(*) > 0 AS is_latest FROM lineitem",
+)
 def resolve_latest(spark, sf_dir):
     _, registry = _bundle(spark, sf_dir)
     return list_versions(spark, registry)

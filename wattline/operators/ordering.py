@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from wattline.functions.coerce import epoch_micros
 from wattline.operators.selection import BINS, ROW_BOUND, Slot
-from wattline.session import spool
+from wattline.session import sort_partitions, spool
 
 _CHUNK = 7  # bytes of a string that fit a non-negative BIGINT
 
@@ -241,11 +241,10 @@ def row_index(df: DataFrame, order: Sequence[str], name: str = "row_index") -> D
     ranges, and a re-run of a lost task gives it the same value.
     """
     spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tagged = df.withColumn("__src", F.spark_partition_id())
     keys = [F.col(f"`{c}`").asc_nulls_last() for c in total_order(df, order)] + [F.col("__src").asc()]
     placed = (
-        tagged.repartitionByRange(parts, *keys)
+        tagged.repartitionByRange(sort_partitions(df), *keys)
         .sortWithinPartitions(*keys)
         .drop("__src")
         .withColumn("__pos", F.monotonically_increasing_id())

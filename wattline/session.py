@@ -13,6 +13,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SORT_PARTITION_BYTES = 128 * 1024 * 1024
+MAX_SORT_PARTITIONS = 50_000
+
 _LOCAL_SPOOL: dict[str, str] = {}
 
 
@@ -50,6 +53,18 @@ def spool_root(spark: SparkSession) -> str:
     return _LOCAL_SPOOL[app]
 
 
+def sort_partitions(df: DataFrame) -> int:
+    """How many ranges a full sort of ``df`` should use.
+
+    At least ``spark.sql.shuffle.partitions``, and enough that one range holds
+    about 128 MB by the optimizer's size estimate, which adaptive execution does
+    not adjust for an explicit repartition.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, min(MAX_SORT_PARTITIONS, size // SORT_PARTITION_BYTES + 1))
+
+
 def spool_path(spark: SparkSession, label: str) -> str:
     """A new, never reused path under the spool folder."""
     return f"{spool_root(spark)}/{label}-{uuid.uuid4().hex}"
