@@ -177,8 +177,8 @@ def test_experiments(spark, telemetry):
 def test_end_to_end_and_registry(spark, telemetry, tmp_path):
     df = telemetry.drop("k1", "k2")
     options = run.RunOptions(
-        models=("linear_regression", "random_forest"), params=TINY, exclude=("timestamp", "session_id"), validation=True, attribution=True,
-        ablation=True, sweep=True, sweep_space={"random_forest": {"n_estimators": [1, 2], "max_depth": [2]}},
+        models=("linear_regression", "random_forest"), params=TINY, exclude=("timestamp", "session_id"), attribution=True, sweep=True,
+        sweep_space={"random_forest": {"n_estimators": [1, 2], "max_depth": [2]}},
     )
     tables, done = run.run_experiment(df, "mit_supercloud", options)
     assert tables["scorecard"].first()["best_model"] == "linear_regression"

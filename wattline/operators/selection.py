@@ -144,22 +144,13 @@ def values_at(
         return out
     slots = list(rest)
     table = _slot_table(long, slots, [rest[s] for s in slots])
-    counts = _in_slots(long, table).groupBy("slot", "v").agg(F.count("v").alias("n"))
-    # Each slot holds at most row_bound rows here, so the sort per slot is bounded.
-    running = F.sum("n").over(Window.partitionBy("slot").orderBy("v"))
-    hits = (
-        counts.join(F.broadcast(table.select("slot", "before", "ranks")), "slot")
-        .withColumn("end", F.col("before") + running)
-        .withColumn("start", F.col("end") - F.col("n"))
-        .where(_wanted(F.col("start"), F.col("end")))
-        .select("slot", "v", "start", "end")
-        .collect()
-    )
-    for h in hits:
-        slot = slots[h["slot"]]
-        for r in rest[slot]:
-            if h["start"] <= r < h["end"]:
-                out[(slot.series, r)] = h["v"]
+    # Each slot holds at most row_bound rows here, so its sorted values are a bounded list.
+    sorted_values = _in_slots(long, table).groupBy("slot").agg(F.sort_array(F.collect_list("v")).alias("vs"))
+    side = F.broadcast(table.select("slot", "before", "ranks"))
+    picked = F.transform("ranks", lambda r: F.get("vs", (r - F.col("before")).cast("int")))
+    for h in sorted_values.join(side, "slot").select("slot", "ranks", picked.alias("values")).collect():
+        for r, v in zip(h["ranks"], h["values"]):
+            out[(slots[h["slot"]].series, r)] = v
     return out
 
 

@@ -156,7 +156,8 @@ def fit_models(
         name, params = fits[label]
         return make_regressor(name, len(data.pre.slots), params, seed).fit(data.train)
 
-    data.train.count()  # fill the cache once, not once per thread
+    if len(fits) > 1:
+        data.train.count()  # fill the cache once, not once per thread
     with ThreadPool(max(1, min(parallelism, len(fits)))) as pool:
         return dict(zip(fits, pool.map(inheritable_thread_target(spark)(fit), fits)))
 
