@@ -117,6 +117,55 @@ def subsampled_boosting(spark, sf_dir):
     return _tree_metrics(spark, sf_dir, "subsampled_boosting")
 
 
+# On the workload label alone every model's best answer is the label's mean, which
+# one tree on all rows, boosted trees and least squares on dummies all reach exactly.
+_LABEL_ONLY = ("timestamp", "session_id", *KEYS, *FEATURES)
+_LABEL_PARAMS = {
+    "random_forest": {"n_estimators": 1, "max_depth": 6, "bootstrap": False},
+    "gradient_boosting": {"n_estimators": 3, "max_depth": 6},
+}
+_GROUP_MEANS = " SELECT workload_type, count(*) AS \"rows\", round(avg(power_watts), 5) AS prediction FROM telemetry GROUP BY 1"
+
+
+def _label_predictions(spark, sf_dir, name):
+    df = telemetry(spark, sf_dir)
+    pipeline, _, _ = models.fit_full_pipeline(df, name, _LABEL_PARAMS[name], exclude=_LABEL_ONLY)
+    out = pipeline.transform(df)
+    return out.groupBy("workload_type").agg(
+        F.count("*").alias("rows"), F.round(F.avg("prediction"), 5).alias("prediction")
+    )
+
+
+@query("ml_03_forest_label_means", tel(_GROUP_MEANS))
+def forest_label_means(spark, sf_dir):
+    return _label_predictions(spark, sf_dir, "random_forest")
+
+
+@query("ml_04_boosting_label_means", tel(_GROUP_MEANS))
+def boosting_label_means(spark, sf_dir):
+    return _label_predictions(spark, sf_dir, "gradient_boosting")
+
+
+def _label_metrics_sql(columns, names):
+    """Held-out metrics of the label mean of the training rows, for each name."""
+    listed = " UNION ALL ".join(f"SELECT {n}" for n in names)
+    return tel(
+        f""" , t AS (SELECT workload_type, power_watts AS y, row_number() OVER (ORDER BY {_ORDER}) <= floor(0.8 * count(*) OVER ()) AS tr FROM telemetry),
+        m AS (SELECT workload_type, avg(y) AS p FROM t WHERE tr GROUP BY 1), s AS (SELECT y, p FROM t JOIN m USING (workload_type) WHERE NOT tr),
+        r AS (SELECT round(avg(abs(y - p)), 5) AS mae, round(sqrt(avg((y - p) ** 2)), 5) AS rmse,
+          round(1 - sum((y - p) ** 2) / (count(*) * var_pop(y)), 5) AS r2, round(quantile_cont(abs(y - p), 0.95), 5) AS residual_p95_abs FROM s)
+        SELECT n.*, {columns} FROM r, ({listed}) n"""
+    )
+
+
+@query("ml_06_three_models", _label_metrics_sql("mae, rmse, r2", [f"'{m}' AS model" for m in models.DEFAULT_MODELS]))
+def three_models(spark, sf_dir):
+    done = models.train_and_evaluate(
+        telemetry(spark, sf_dir), models.DEFAULT_MODELS, _LABEL_PARAMS, None, _LABEL_ONLY, "time", 0.2, 42, KEYS
+    )
+    return _r(done.metrics.drop("rank"), ["mae", "rmse", "r2"], 5)
+
+
 def _train(spark, sf_dir, names=models.DEFAULT_MODELS, strategy="time"):
     return models.train_and_evaluate(
         telemetry(spark, sf_dir), names, SMALL, None, NO_IDS, strategy, 0.2, 42, KEYS
@@ -304,6 +353,27 @@ def sweep(spark, sf_dir):
     return _r(found, ["mae", "rmse", "r2", "residual_p95_abs"])
 
 
+_LABEL_SWEEP = {
+    "random_forest": {"bootstrap": [False], "n_estimators": [1], "max_depth": [5, 6], "min_samples_leaf": [1, 2]},
+    "gradient_boosting": {"n_estimators": [1, 2], "learning_rate": [0.03, 0.05], "max_depth": [5]},
+}
+
+
+@query(
+    "exp_02_sweep_label_means",
+    _label_metrics_sql(
+        "mae, rmse, r2, residual_p95_abs",
+        [
+            *[f"'random_forest' AS model, 'bootstrap=False, max_depth={d}, min_samples_leaf={k}, n_estimators=1' AS params" for d in (5, 6) for k in (1, 2)],
+            *[f"'gradient_boosting', 'learning_rate={r}, max_depth=5, n_estimators={n}'" for r in (0.03, 0.05) for n in (1, 2)],
+        ],
+    ),
+)
+def sweep_label_means(spark, sf_dir):
+    found, _ = experiments.hyperparameter_sweep(telemetry(spark, sf_dir), _LABEL_SWEEP, "time", keys=KEYS, exclude=_LABEL_ONLY)
+    return _r(found, ["mae", "rmse", "r2", "residual_p95_abs"], 5)
+
+
 @query("exp_03_split_comparison")
 def split_comparison(spark, sf_dir):
     found, _ = experiments.split_comparison(

@@ -70,7 +70,7 @@ def drift_stream(spark, sf_dir):
 @query(
     "str_03_monitor_intake",
     tel(
-        """ SELECT 'live_gpu_' || CAST(k2 AS VARCHAR) AS session_id, 'kernel_benchmark' AS workload_type, count(*) AS "rows", round(sum(power_watts), 4) AS power
+        """ SELECT 'live_gpu_' || CAST(k2 AS VARCHAR) AS session_id, 'stress_run' AS workload_type, count(*) AS "rows", round(sum(power_watts), 4) AS power
         FROM telemetry WHERE k1 % 31 <> 0 AND k1 % 37 <> 0 GROUP BY 1"""
     ),
 )
@@ -78,7 +78,7 @@ def monitor_intake(spark, sf_dir):
     base = spool_path(spark, "intake")
     _monitor_lines(spark, sf_dir).write.text(f"{base}/in")
     _finish(
-        jobs.intake_stream(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", "live", "kernel_benchmark", once=True)
+        jobs.intake_stream(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", "live", "stress_run", once=True)
     )
     return spark.read.parquet(f"{base}/out").groupBy("session_id", "workload_type").agg(
         F.count("*").alias("rows"), F.round(F.sum("power_watts"), 4).alias("power")

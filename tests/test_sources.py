@@ -71,14 +71,14 @@ def test_local_reader_replaces_collected_labels(spark, tmp_path):
     _write(
         tmp_path / "gpu_telemetry.csv",
         "timestamp,gpu_id,gpu_utilization_pct,memory_utilization_pct,temperature_c,power_watts,session_id,workload_type\n"
-        "2026-06-05 20:00:00,0,70,60,63,210,makerspace_run_gpu_0,kernel_benchmark\n",
+        "2026-06-05 20:00:00,0,70,60,63,210,lab_b_gpu_0,stress_run\n",
     )
     row = read_telemetry(spark, "local_nvidia_smi", str(tmp_path)).first()
     assert row["power_watts"] == 210.0
     assert row["workload_type"] == "local_nvidia_smi_gpu_trace"
     assert row["session_id"] == "gpu_telemetry_gpu_0"
     kept = read_wide_csv(spark, str(tmp_path), "local_nvidia_smi", keep_session_id=True).first()
-    assert kept["session_id"] == "makerspace_run_gpu_0"
+    assert kept["session_id"] == "lab_b_gpu_0"
 
 
 def test_first_present_and_names(spark):
@@ -169,10 +169,10 @@ LINE = "2026/06/05 20:00:00.000, 0, NVIDIA A100, GPU-abc, 72, [Not Supported], 1
 
 def test_monitor_lines(spark):
     lines = spark.createDataFrame([(LINE,), ("  ",), ("a, b",)], "value string")
-    row = label_samples(parse_lines(lines, strict=False), "makerspace_test", "kernel_benchmark").collect()
+    row = label_samples(parse_lines(lines, strict=False), "lab_a", "stress_run").collect()
     assert len(row) == 1
     assert row[0]["power_watts"] == 215.5 and row[0]["memory_utilization_pct"] is None
-    assert row[0]["session_id"] == "makerspace_test_gpu_0"
+    assert row[0]["session_id"] == "lab_a_gpu_0"
     assert malformed_lines(lines).first()["fields"] == 2
     with pytest.raises(Exception, match="Unexpected monitor line with 2 fields"):
         parse_lines(lines).collect()

@@ -35,7 +35,7 @@ DEFAULT_PARAMS: dict[str, dict[str, Any]] = {
     },
 }
 _COMMON = {"max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode", "max_bins": "maxBins"}
-_FOREST = {**_COMMON, "n_estimators": "numTrees"}
+_FOREST = {**_COMMON, "n_estimators": "numTrees", "bootstrap": "bootstrap"}
 _BOOST = {
     **_COMMON, "n_estimators": "maxIter", "learning_rate": "stepSize",
     "subsample": "subsamplingRate", "colsample_bytree": "featureSubsetStrategy",
