@@ -129,9 +129,12 @@ def finalize(df: DataFrame) -> DataFrame:
 def normalize_bmc(raw: DataFrame, exact: bool = True) -> DataFrame:
     """Full path from raw trace text to guarded, normalised telemetry.
 
-    The merged table is stored once, because the guards look at it several times.
+    The typed readings are stored once, so that the text is parsed a single time and
+    the medians read only the columns they need. So is the merged table, because the
+    guards look at it several times.
     """
-    merged = merge_duplicates(repair_units(coerce_sensors(raw), exact))
+    typed = spool(coerce_sensors(raw), "readings")
+    merged = merge_duplicates(repair_units(typed, exact))
     table = spool(add_memory_share(infer_target(merged)), "traces")
     keep = (TARGET, "source_file", "_time")
     table = table.drop(*sparse_columns(table, keep))
