@@ -28,8 +28,8 @@ def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeat as often as their rates say."""
-    return mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents repeat as often as their rates say; each stays at least once."""
+    return mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), least=1.0)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,8 +21,8 @@ DOMAINS = ("good", "poor", "toxic")
 WEIGHTS = {"good": 0.8, "poor": 0.1, "toxic": 0.1}
 FEATURES = ("marks", "bars", "spaces", "lines", "size", "distinct", "shown")
 MARKERS = 64
-STEPS = 30
-TOLERANCE = 1e-9
+STEPS = 40
+TOLERANCE = 1e-6
 
 
 def label_domain(quality: Column, toxic: Column) -> Column:
@@ -112,38 +112,38 @@ def posteriors(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...] = DO
     return measured.select("doc_id", "row", "tokens", F.transform("e", lambda x: x / norm).alias("post"))
 
 
-def fit_rates(members: DataFrame, weights: dict[str, float], domains: tuple[str, ...] = DOMAINS, total: float | None = None) -> Column:
+def fit_rates(members: DataFrame, weights: dict[str, float], domains: tuple[str, ...] = DOMAINS, total: float | None = None, least: float = 0.0) -> Column:
     """The rate of each row of ``members`` (tokens, post) as an expression over it.
 
     Targets are ``total`` tokens dealt by ``weights``; without a total it is the smallest at
-    which no domain has to shrink. Each step is one aggregate with one row; the gradient is
-    scaled by the inverse of the domains' second moments, and negative rates are set to zero.
+    which no domain has to shrink. Each step is one aggregate with one row: the gap to the
+    targets, scaled by the inverse of the domains' second moments, for which a step of 1 never
+    overshoots; rates below ``least`` are then set to it. Steps end when none changes a rate by
+    more than TOLERANCE.
     """
     p = [F.col("post")[i] for i in range(len(domains))]
-    r = F.lit(1.0)
+    r = F.lit(max(1.0, float(least)))
     share = np.array([weights.get(d, 0.0) for d in domains], float)
     share = share / share.sum()
+    pairs = [(i, j) for i in range(len(p)) for j in range(i, len(p))]
+    sums = members.agg(*[F.sum(F.col("tokens") * p[i] * p[j]).alias(f"m{i}_{j}") for i, j in pairs]).first()
+    moment = np.zeros((len(p), len(p)))
+    for i, j in pairs:
+        moment[i, j] = moment[j, i] = sums[f"m{i}_{j}"] or 0.0
+    inverse = np.linalg.pinv(moment, rcond=1e-10, hermitian=True)
     target: np.ndarray | None = None
     for _ in range(STEPS):
-        pairs = [(i, j) for i in range(len(p)) for j in range(i, len(p))]
-        live = F.when(r > 0, F.col("tokens")).otherwise(0.0)
-        sums = members.agg(
-            *[F.sum(r * F.col("tokens") * x).alias(f"t{i}") for i, x in enumerate(p)],
-            *[F.sum(live * p[i] * p[j]).alias(f"m{i}_{j}") for i, j in pairs],
-        ).first()
-        now = np.array([sums[f"t{i}"] or 0.0 for i in range(len(p))])
+        rated = members.select("tokens", "post", r.alias("r"))
+        row = rated.agg(*[F.sum(F.col("r") * F.col("tokens") * x).alias(f"t{i}") for i, x in enumerate(p)]).first()
+        now = np.array([row[f"t{i}"] or 0.0 for i in range(len(p))])
         if target is None:
             if total is None:
                 total = max((n / s for n, s in zip(now, share, strict=True) if s > 0 and n > 0), default=0.0)
             target = np.where(now > 0, share * total, 0.0)  # a domain without tokens can't be filled
-        moment = np.zeros((len(p), len(p)))
-        for i, j in pairs:
-            moment[i, j] = moment[j, i] = sums[f"m{i}_{j}"] or 0.0
-        gap = target - now
-        if np.abs(gap).max(initial=0.0) <= TOLERANCE * max(1.0, target.sum()):
+        step = inverse @ (target - now)
+        if np.abs(step).max(initial=0.0) <= TOLERANCE:
             break
-        step = np.linalg.lstsq(moment, gap, rcond=1e-10)[0]
-        r = F.greatest(F.lit(0.0), r + sum((x * float(s) for x, s in zip(p, step, strict=True)), F.lit(0.0)))
+        r = F.greatest(F.lit(float(least)), r + sum((x * float(s) for x, s in zip(p, step, strict=True)), F.lit(0.0)))
     return r
 
 
@@ -176,14 +176,19 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] |
     )
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, each as often as its rate says, with the columns of ``docs``."""
+def mix(
+    docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, doc_id: str = "doc_id", text: str = "text", least: float = 0.0
+) -> DataFrame:
+    """The rows of ``docs``, each as often as its rate says, with the columns of ``docs``.
+
+    With ``least`` 1 no row goes: targets are met as far as repeating rows can meet them.
+    """
     row = fresh(docs, "row")
     numbered = spool(docs.withColumn(row, F.monotonically_increasing_id()), "mixing")
     known = take(labels, doc_id="doc_id", quality="quality", toxic="toxic")
     known = known.select("doc_id", label_domain(F.col("quality"), F.col("toxic")).alias("domain"))
     members = spool(posteriors(take(numbered, doc_id=doc_id, text=text, row=row), known), "posteriors")
-    rate = fit_rates(members, weights or WEIGHTS)
+    rate = fit_rates(members, weights or WEIGHTS, least=least)
     times = members.select(F.col("row").alias("_row"), copies_of(rate, F.col("doc_id"), F.col("row")).alias("_copies")).where("_copies > 0")
     joined = numbered.join(times, numbered[row] == times["_row"])
     kept = [numbered[c] for c in docs.columns]

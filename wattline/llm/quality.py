@@ -150,7 +150,7 @@ def kneser_ney(code: np.ndarray, n: np.ndarray) -> HashedModel:
     keys, probs, backoffs = [], [], []
     counts = {ORDER: (code.astype(np.int64), n.astype(np.int64))}
     for order in range(ORDER - 1, 0, -1):  # how many different classes stand before each lower n-gram
-        higher = counts[order + 1][0]
+        higher = counts[order + 1][0][counts[order + 1][1] > 0]
         grams, times = np.unique(higher % CLASSES**order, return_counts=True)
         opening = np.setdiff1d(higher // CLASSES, grams)  # contexts that only open texts
         grams, times = np.concatenate([grams, opening]), np.concatenate([times, np.zeros(len(opening), np.int64)])
@@ -165,8 +165,8 @@ def kneser_ney(code: np.ndarray, n: np.ndarray) -> HashedModel:
         cut[0] = 0.0
         discount = np.minimum(cut[np.minimum(times, 3)], times)
         context = grams // CLASSES
-        mass = np.bincount(context, weights=times, minlength=CLASSES ** (order - 1))
-        left = np.bincount(context, weights=discount, minlength=CLASSES ** (order - 1))
+        mass = np.bincount(context, weights=times.astype(float), minlength=CLASSES ** (order - 1))
+        left = np.bincount(context, weights=discount.astype(float), minlength=CLASSES ** (order - 1))
         share = np.divide(left, mass, out=np.ones_like(left), where=mass > 0)
         prob = (times - discount) / np.maximum(mass[context], 1) + share[context] * lower[grams % CLASSES ** max(order - 1, 1)]
         if order > 1:  # what the contexts of this order leave to the lower one

@@ -5,14 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wattline.llm import mixing, packing, quality, simhash, suffix
+from wattline.llm import backoff, knn, langid, licenses, mixing, packing, preference, quality, simhash, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -21,6 +26,19 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return knn.nearest(vectors.where("vec_id % 50 = 0"), vectors, k=5)
+
+
+def op6_backoff_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.backoff_scores(_table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -33,7 +51,29 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = preference.conversations_of(_table(spark, sf_dir, "conversations"))
+    out = preference.format_pairs(preference.swapped_replies(conversations), "conv_id", "partner_id")
+    spans = [
+        F.array_join(F.transform(c, lambda s: F.concat(s["a"].cast("string"), F.lit("-"), s["b"].cast("string"))), ",").alias(c)
+        for c in ("chosen_spans", "rejected_spans")
+    ]
+    return out.select("conv_id", "partner_id", "n_prompt_turns", "prompt", "chosen", "rejected", *spans)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_rules, op3_suffix_dedup, op7_best_fit_packing, op8_simhash, op9_source_mixing)
+    f.__name__: f
+    for f in (
+        op1_license_scan,
+        op2_quality_rules,
+        op3_suffix_dedup,
+        op4_language_id,
+        op5_nearest_neighbours,
+        op6_backoff_scoring,
+        op7_best_fit_packing,
+        op8_simhash,
+        op9_source_mixing,
+        op10_preference_format,
+    )
 }
 ORACLES: dict[str, str] = {}
