@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattline.llm.common import fresh, take, text_slices, texts_of
+from wattline.llm.common import fresh, parts_for, take, text_slices, texts_of
 from wattline.session import spool
 
 RADIUS = 2
@@ -27,6 +27,8 @@ SEED = 42
 BITS = 64
 # Distinct fingerprints under one variant beyond which its pairs are found by one-bit flips.
 BUCKET = 64
+TASK_PRINTS = 16_384  # fingerprints whose variants one task makes
+BROADCAST_KEYS = 1_000_000  # shared variants (8 bytes each) that may be broadcast
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -97,10 +99,13 @@ def links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Data
     """
     if radius not in (1, 2):
         raise ValueError("the one-bit flips that replace large buckets are exact for a radius of 1 or 2")
-    variants = _variants(prints, radius)
+    prints = spool(prints.select("fp"), "prints")
+    variants = _variants(prints.repartition(parts_for(prints.count(), TASK_PRINTS), "fp"), radius)
     sizes = variants.groupBy("key").agg(F.count("*").alias("n"))
     shared = spool(sizes.where("n > 1"), "variant-sizes")
-    kept = variants.join(shared.where(F.col("n") <= bucket).select("key"), "key")
+    keys = shared.where(F.col("n") <= bucket).select("key")
+    # few variants are shared: while they are counted few, the others are dropped before the shuffle
+    kept = variants.join(F.broadcast(keys) if shared.count() <= BROADCAST_KEYS else keys, "key")
     found = _pairs(kept, radius)
     large = shared.where(F.col("n") > bucket).select("key")
     if not large.isEmpty():
