@@ -335,7 +335,9 @@ def removal(keyed: DataFrame, texts: bool = False, group: int = GROUP) -> DataFr
     keyed = keyed.withColumn("tid", F.xxhash64("text"))
     rows = spool(_anchor_rows(keyed.select("tid", "text")), "anchors")
     seen = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("piece").alias("lo"), F.max("piece").alias("hi")).where("n > 1")
-    hits = rows.join(seen.select("anchor", (F.col("lo") == F.col("hi")).alias("one")), "anchor").select("tid", "anchor", "one").distinct()
+    # stored, so that both sides of the join have a shuffle of their own and a hot anchor's can be split
+    seen = spool(seen.select("anchor", (F.col("lo") == F.col("hi")).alias("one")), "repeated-anchors")
+    hits = rows.join(seen, "anchor").select("tid", "anchor", "one").distinct()
     asked = hits.groupBy("tid").agg(
         F.collect_list(F.when(F.col("one"), F.col("anchor"))).alias("sure"), F.collect_list(F.when(~F.col("one"), F.col("anchor"))).alias("open")
     )
