@@ -105,11 +105,12 @@ def links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Data
     shared = spool(sizes.where("n > 1"), "variant-sizes")
     keys = shared.where(F.col("n") <= bucket).select("key")
     # few variants are shared: while they are counted few, the others are dropped before the shuffle
-    kept = variants.join(F.broadcast(keys) if shared.count() <= BROADCAST_KEYS else keys, "key")
+    near = F.broadcast if shared.count() <= BROADCAST_KEYS else lambda side: side
+    kept = variants.join(near(keys), "key")
     found = _pairs(kept, radius)
     large = shared.where(F.col("n") > bucket).select("key")
     if not large.isEmpty():
-        members = variants.join(large, "key").select("fp").distinct()
+        members = variants.join(near(large), "key").select("fp").distinct()
         flips = [F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i).cast("bigint")) for i in range(BITS)]]
         around = members.select("fp", F.explode(F.array(*flips)).alias("key"))
         found = found.unionByName(_pairs(around, radius))
