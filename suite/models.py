@@ -14,7 +14,7 @@ from wattline.operators import metrics, quality
 from wattline.plans import experiments, importance, models, reports, run
 from wattline.plans.attribution import base_value, ensemble_leaves, mean_attribution, row_attributions
 from wattline.plans.preprocessing import fit_preprocessor
-from wattline.plans.registry import ModelMetadata, PowerModel, list_versions, save_bundle, version_index
+from wattline.plans.registry import PowerModel, list_versions, model_metadata, save_bundle, version_index
 from wattline.plans.scoring import prediction_rows, score
 from wattline.session import spool_path
 from wattline.sources.records import empty_requests, request_rows
@@ -404,7 +404,7 @@ def _bundle(spark, sf_dir):
     df = telemetry(spark, sf_dir)
     registry = spool_path(spark, "registry")
     pipeline, numbers, texts = models.fit_full_pipeline(df, "linear_regression", exclude=NO_IDS)
-    metadata = ModelMetadata("linear_regression", numbers, texts, {"rmse": 1.0}, "time", "mit_supercloud", "20250101T000000Z")
+    metadata = model_metadata(spark, "linear_regression", numbers, texts, {"rmse": 1.0}, "time", "mit_supercloud", "20250101T000000Z")
     save_bundle(spark, pipeline, metadata, registry)
     return df, registry
 
@@ -453,7 +453,7 @@ def batch_predict(spark, sf_dir):
     registry = spool_path(spark, "registry")
     keep = [c for c in df.columns if c not in ("gpu_utilization_pct", "power_watts")]
     pipeline, numbers, texts = models.fit_full_pipeline(df, "linear_regression", exclude=keep)
-    save_bundle(spark, pipeline, ModelMetadata("linear_regression", numbers, texts, {}, "time", "mit_supercloud", "v1"), registry)
+    save_bundle(spark, pipeline, model_metadata(spark, "linear_regression", numbers, texts, {}, "time", "mit_supercloud", "v1"), registry)
     inputs = df.select("workload_type", F.when(F.col("k1") % 5 != 0, F.col("gpu_utilization_pct")).cast("string").alias("gpu_utilization_pct"))
     out = PowerModel.from_registry(spark, registry, "linear_regression").predict(inputs, keep=["workload_type"])
     return out.groupBy("workload_type").agg(F.count("*").alias("rows"), F.round(F.avg("prediction"), 4).alias("mean_prediction"))

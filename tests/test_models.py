@@ -15,7 +15,7 @@ from wattline.operators.drift import reference_profile
 from wattline.plans import experiments, importance, models, run
 from wattline.plans.attribution import Leaf, Step, attributions, base_value, ensemble_leaves, mean_attribution, row_attributions
 from wattline.plans.preprocessing import fit_preprocessor
-from wattline.plans.registry import ModelMetadata, PowerModel, list_versions, new_version, resolve_bundle, save_bundle
+from wattline.plans.registry import PowerModel, list_versions, model_metadata, new_version, resolve_bundle, save_bundle
 from wattline.sources import sinks
 from wattline.streaming import jobs
 
@@ -205,19 +205,20 @@ def test_registry_versions(spark, telemetry, tmp_path):
     pipeline, numbers, texts = models.fit_full_pipeline(telemetry, "linear_regression", exclude=NO_IDS)
     registry = str(tmp_path)
     for v in ("20250101T000000Z", "20250301T000000Z", "20250201T000000Z"):
-        save_bundle(spark, pipeline, ModelMetadata("m", numbers, texts, {}, "time", "x", v), registry)
+        save_bundle(spark, pipeline, model_metadata(spark, "m", numbers, texts, {}, "time", "x", v), registry)
     assert resolve_bundle(spark, registry, "m").endswith("20250301T000000Z")
     assert resolve_bundle(spark, registry, "m", "20250101T000000Z").endswith("20250101T000000Z")
     assert list_versions(spark, registry).count() == 3
-    (tmp_path / "_index").rename(tmp_path / "moved")
+    for part in (tmp_path / "_index").glob("*.parquet"):
+        part.write_bytes(b"broken")
+    assert list_versions(spark, registry).count() == 3
+    (tmp_path / "_index").rename(tmp_path / "_moved")
     assert resolve_bundle(spark, registry, "m").endswith("20250301T000000Z")
     with pytest.raises(FileNotFoundError):
         resolve_bundle(spark, registry, "unknown")
     with pytest.raises(FileNotFoundError):
         PowerModel.from_dir(spark, str(tmp_path / "nothing"))
     assert len(new_version()) == 16
-    text = '{"model_name": "m", "numeric_features": [], "categorical_features": [], "metrics": {}, "split_strategy": "t", "source": "s", "version": "v", "new_key": 1}'
-    assert ModelMetadata.parse(text).model_name == "m"
 
 
 def test_scoring_survives_a_failing_log(spark, telemetry, tmp_path):

@@ -14,7 +14,9 @@ MISSING_TOKENS = ("", "[Not Supported]", "N/A", "Not Supported")
 
 _NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 HASH_EXTENT = (0, 2**60 - 1)
-_OFFSET = r"\d[+-]\d{2}:?\d{2}$"
+_OFFSET = r":\d{2}(?:[.]\d+)?([+-])(\d{2}):?(\d{2})$"
+_OFFSET_END = r"[+-]\d{2}:?\d{2}$"
+EPOCH_PER_SECOND = 1  # times given as numbers count seconds
 
 
 def safe_number(c: Column) -> Column:
@@ -54,21 +56,34 @@ def reading(c: Column, tokens: Iterable[str] = MISSING_TOKENS) -> Column:
     return F.when(text.isin(list(tokens)), None).otherwise(to_number(text))
 
 
+def from_epoch(c: Column, per_second: int = EPOCH_PER_SECOND) -> Column:
+    """Zone-less timestamp of a number of units since 1970; null beyond the years of a timestamp."""
+    seconds = safe_number(c) / per_second
+    seconds = F.when(F.abs(seconds) < F.lit(2.0e11), seconds)
+    days = F.floor(seconds / 86400)
+    rest = (seconds - days * 86400).cast("decimal(18,6)")
+    zero = F.lit(0)
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(days.cast("int"), zero, zero, rest)
+
+
 def to_time(c: Column, formats: Sequence[str] = ()) -> Column:
     """Parse text as a zone-less timestamp; unparsable is null.
 
     ISO forms and ``yyyy/MM/dd ...`` need no format. A numeric offset is
-    converted to UTC, a trailing ``Z`` is taken as is. Every value is parsed on
-    its own, so files that mix formats keep all their rows.
+    converted to UTC, a trailing ``Z`` is taken as is, a plain number counts seconds
+    since 1970. Every value is parsed on its own, so files that mix formats keep all
+    their rows.
     """
     text = F.trim(c.cast("string"))
     iso = F.regexp_replace(text, r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")
-    shifted = F.convert_timezone(
-        F.current_timezone(), F.lit("UTC"), iso.try_cast("timestamp").cast("timestamp_ntz")
-    )
+    # The offset is cut off and subtracted, so the session's zone plays no part.
+    sign, hours, minutes = (F.regexp_extract(iso, _OFFSET, i) for i in (1, 2, 3))
+    away = F.make_dt_interval(F.lit(0), hours.try_cast("int"), minutes.try_cast("int"))
+    local = F.regexp_replace(iso, _OFFSET_END, "").try_cast("timestamp_ntz")
+    shifted = F.when(sign == "-", local + away).otherwise(local - away)
     plain = F.when(iso.rlike(_OFFSET), shifted).otherwise(iso.try_cast("timestamp_ntz"))
     tries = [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats]
-    return F.coalesce(*tries, plain) if tries else plain
+    return F.coalesce(*tries, plain, from_epoch(to_number(text)))
 
 
 def as_time(df: DataFrame, name: str, formats: Sequence[str] = ()) -> Column:
@@ -77,6 +92,8 @@ def as_time(df: DataFrame, name: str, formats: Sequence[str] = ()) -> Column:
     c = F.col(f"`{name}`")
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return c.cast("timestamp_ntz")
+    if isinstance(kind, T.NumericType):
+        return from_epoch(c.cast("double"))
     return to_time(c, formats)
 
 

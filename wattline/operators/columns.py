@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,19 +41,31 @@ def has_token(name: str, tokens: Iterable[str]) -> bool:
     return any(t in name.lower() for t in tokens)
 
 
+# Patterns a name of each kind of column matches.
+KIND_PATTERNS = {
+    "accelerator": "gpu|memory_|clock",
+    "thermal": "temp|ambient",
+    "host": "^(?:" + "|".join(SYSTEM_PREFIXES) + ")",
+    "label": "^workload_type$",
+}
+# The kinds that make up each ablation set; no kinds means every column.
+ABLATION_SETS = {
+    "all_features": (),
+    "gpu_only": ("accelerator", "label"),
+    "gpu_plus_thermal": ("accelerator", "thermal", "label"),
+    "system_only": ("host", "thermal"),
+}
+
+
 def feature_families(columns: Sequence[str]) -> dict[str, list[str]]:
     """Named feature sets for ablation; power-like names never take part."""
     usable = [c for c in columns if c not in (TARGET, TIMESTAMP) and not has_token(c, POWER_TOKENS)]
-    gpu = {c for c in usable if "gpu" in c or "memory_" in c or "clock" in c}
-    thermal = {c for c in usable if "temp" in c or "ambient" in c}
-    system = {c for c in usable if c.startswith(SYSTEM_PREFIXES)}
-    label = {c for c in usable if c == "workload_type"}
-    return {
-        "all_features": usable,
-        "gpu_only": sorted(gpu | label),
-        "gpu_plus_thermal": sorted(gpu | thermal | label),
-        "system_only": sorted(system | thermal),
-    }
+
+    def members(kinds: Sequence[str]) -> list[str]:
+        wanted = re.compile("|".join(KIND_PATTERNS[k] for k in kinds))
+        return sorted({c for c in usable if wanted.search(c)})
+
+    return {name: members(kinds) if kinds else usable for name, kinds in ABLATION_SETS.items()}
 
 
 def family_table(spark: SparkSession, columns: Sequence[str]) -> DataFrame:

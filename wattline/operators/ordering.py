@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattline.functions.coerce import epoch_micros
-from wattline.operators.selection import BINS, ROW_BOUND, Slot
+from wattline.operators.selection import BINS, ROW_BOUND, Slot, bin_number, bin_width
 from wattline.session import sort_partitions, spool
 
 _CHUNK = 7  # bytes of a string that fit a non-negative BIGINT
@@ -80,14 +80,26 @@ def _integer_keys(df: DataFrame, name: str) -> Iterator[tuple[Column, bool]]:
     elif isinstance(kind, T.BooleanType):
         yield c.cast("int").cast("bigint"), False
     elif isinstance(kind, (T.DoubleType, T.FloatType)):
-        yield c.cast("double"), False
+        # infinities and NaN, which sorts last, would stretch the bins: they are told apart first
+        d = c.cast("double")
+        endless = F.abs(d) == F.lit(float("inf"))
+        rank = F.when(F.isnan(d), 2).when(endless & (d > 0), 1).when(endless, -1).otherwise(0)
+        yield F.when(d.isNotNull(), rank).cast("bigint"), False
+        yield F.when(d.isNotNull(), F.when(F.isnan(d) | endless, 0.0).otherwise(d)), False
+    elif isinstance(kind, T.DecimalType) and kind.scale <= 18:
+        whole = F.floor(c).cast("decimal(38,0)")
+        high = F.floor(whole / F.lit(10**18).cast("decimal(19,0)")).cast("bigint")
+        yield high, False
+        yield (whole - high.cast("decimal(20,0)") * F.lit(10**18).cast("decimal(19,0)")).cast("bigint"), False
+        if kind.scale:
+            yield ((c - F.floor(c)).cast(T.DecimalType(19, kind.scale)) * F.lit(10**kind.scale).cast("decimal(19,0)")).cast("bigint"), False
     elif isinstance(kind, T.DateType):
         yield F.unix_date(c).cast("bigint"), False
     elif isinstance(kind, T.TimestampNTZType):
         yield epoch_micros(c), False
     elif isinstance(kind, T.TimestampType):
         yield F.unix_micros(c), False
-    elif isinstance(kind, T.StringType):
+    elif isinstance(kind, (T.StringType, T.BinaryType)):
         start = 1
         while True:
             part = F.hex(F.substring(c.cast("binary"), start, _CHUNK))
@@ -114,11 +126,11 @@ def _shrink(keyed: DataFrame, whole: Slot, rank: int, row_bound: int) -> Slot:
     while slot.size > row_bound and not slot.single:
         low = _literal(slot.low, kind)
         if isinstance(kind, T.DoubleType):
-            width = (slot.high - slot.low) / BINS or slot.high - slot.low
-            piece = F.least(F.floor((key - low) / F.lit(width)), F.lit(BINS))
+            piece = bin_number(key, low, F.lit(bin_width(slot.low, slot.high)))
         else:
             width = (slot.high - slot.low) // BINS + 1
             piece = F.expr(f"(__key - ({slot.low}L)) div {width}L")
+        start = slot
         rows = keyed if slot == whole else keyed.where(key.between(low, _literal(slot.high, kind)))
         before = slot.before
         pieces = rows.groupBy(piece.alias("piece")).agg(
@@ -129,6 +141,8 @@ def _shrink(keyed: DataFrame, whole: Slot, rank: int, row_bound: int) -> Slot:
                 slot = Slot("key", p["lo"], p["hi"], before, p["n"])
                 break
             before += p["n"]
+        if slot.size == start.size and (slot.low, slot.high) == (start.low, start.high):
+            raise ArithmeticError(f"A narrowing pass left {slot.size} rows in one bin.")
     return slot
 
 

@@ -55,6 +55,18 @@ def extents(long: DataFrame) -> dict[str, Slot]:
     return {r["series"]: Slot(r["series"], r["low"], r["high"], 0, r["n"]) for r in rows.collect()}
 
 
+def bin_width(low: float, high: float) -> float:
+    """Width of one of BINS bins; the ends are divided first, so it can't overflow."""
+    return high / BINS - low / BINS or high - low or 1.0
+
+
+def bin_number(value: Column, low: Column, width: Column) -> Column:
+    """Bin of a double; where the distance to ``low`` overflows both are divided first."""
+    near = (value - low) / width
+    far = value / width - low / width
+    return F.least(F.floor(F.when(F.abs(value - low) < F.lit(float("inf")), near).otherwise(far)), F.lit(BINS))
+
+
 def _slot_table(long: DataFrame, slots: Sequence[Slot], ranks: Sequence[Sequence[int]]) -> DataFrame:
     value = long.schema["v"].dataType
     whole = not isinstance(value, T.DoubleType)
@@ -71,7 +83,7 @@ def _slot_table(long: DataFrame, slots: Sequence[Slot], ranks: Sequence[Sequence
     )
     rows = []
     for i, s in enumerate(slots):
-        width = (s.high - s.low) // BINS + 1 if whole else ((s.high - s.low) / BINS or s.high - s.low)
+        width = (s.high - s.low) // BINS + 1 if whole else bin_width(s.low, s.high)
         rows.append((i, s.series, s.low, s.high, width or 1.0, s.before, [int(r) for r in ranks[i]]))
     return long.sparkSession.createDataFrame(rows, schema)
 
@@ -103,7 +115,7 @@ def locate(
         slots = list(open_)
         table = _slot_table(long, slots, [open_[s] for s in slots])
         if isinstance(long.schema["v"].dataType, T.DoubleType):
-            piece = F.least(F.floor((F.col("v") - F.col("low")) / F.col("width")), F.lit(BINS))
+            piece = bin_number(F.col("v"), F.col("low"), F.col("width"))
         else:
             piece = F.expr("(v - low) div width")
         counts = (
@@ -125,6 +137,8 @@ def locate(
         for h in hits:
             parent = slots[h["slot"]]
             child = Slot(parent.series, h["lo"], h["hi"], h["start"], h["n"])
+            if child.size == parent.size and (child.low, child.high) == (parent.low, parent.high):
+                raise ArithmeticError(f"A narrowing pass over '{parent.series}' left {child.size} rows in one bin.")
             following[child] = [r for r in open_[parent] if h["start"] <= r < h["start"] + h["n"]]
         open_ = following
     return done

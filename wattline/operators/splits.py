@@ -33,8 +33,11 @@ def random_split(df: DataFrame, test_size: float, seed: int, keys: Sequence[str]
 
 
 def time_split(df: DataFrame, test_size: float, keys: Sequence[str] = ()) -> DataFrame:
-    """Train on the earliest rows; rows without a time count as latest."""
-    n = df.count()
+    """Train on the earliest rows; rows without a time count as latest. No time at all is an error."""
+    sizes = df.agg(F.count("*").alias("n"), F.count(TIMESTAMP).alias("timed")).first()
+    n = sizes["n"]
+    if n and not sizes["timed"]:
+        raise ValueError(f"A time split needs values in '{TIMESTAMP}'.")
     cutoff = int((1.0 - test_size) * n)
     order = [TIMESTAMP, *[k for k in keys if k != TIMESTAMP]]
     flagged = flag_first(df, order, cutoff, "__train", n)

@@ -35,8 +35,6 @@ from wattline.session import spool_path
 # Tasks receive this module's functions by value, so executors need no install.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MAX_ROWS = 500
-
 
 @dataclass
 class Step:
@@ -147,12 +145,11 @@ def row_attributions(model: Model, vectors: DataFrame, keys: Sequence[str]) -> D
 
 
 def mean_attribution(
-    model: Model, vectors: DataFrame, slots: Sequence[str], name: str, order: Sequence[str] = (), max_rows: int | None = MAX_ROWS
+    model: Model, vectors: DataFrame, slots: Sequence[str], name: str, order: Sequence[str] = (), max_rows: int | None = None
 ) -> DataFrame:
     """(feature, mean_abs_attribution, model, sample_rows), largest first.
 
-    ``max_rows`` limits the report to the first rows, as a summary does; ``None``
-    takes every row.
+    Every row counts; ``max_rows`` limits the report to the first rows of ``order``.
     """
     rows = vectors
     if max_rows is not None:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from wattline.contract import TARGET, TIMESTAMP
+from wattline.functions.coerce import numeric
 from wattline.operators.columns import feature_columns
 from wattline.operators.metrics import leaderboard, regression_metrics, residual_diagnostics
 from wattline.operators.splits import split, split_used
@@ -41,7 +42,8 @@ _BOOST = {
     "subsample": "subsamplingRate", "colsample_bytree": "featureSubsetStrategy",
 }
 FIT_PARALLELISM = 4
-NORMAL_SOLVER_LIMIT = 4096  # widest vector the normal equations accept in MLlib
+# "normal" is exact and accepts 4,096 slots at most; pass solver="l-bfgs" for wider vectors.
+LINEAR_SOLVER = "normal"
 
 
 def make_regressor(name: str, width: int, params: Mapping[str, Any] | None = None, seed: int = 42):
@@ -51,8 +53,7 @@ def make_regressor(name: str, width: int, params: Mapping[str, Any] | None = Non
     settings = {**DEFAULT_PARAMS[name], **(params or {})}
     base = {"featuresCol": FEATURES, "labelCol": TARGET, "predictionCol": PREDICTION}
     if name == "linear_regression":
-        solver = "normal" if width <= NORMAL_SOLVER_LIMIT else "l-bfgs"
-        return LinearRegression(**base, regParam=0.0, solver=solver, **settings)
+        return LinearRegression(**base, regParam=0.0, **{"solver": LINEAR_SOLVER, **settings})
     names = _FOREST if name == "random_forest" else _BOOST
     unknown = sorted(set(settings) - set(names))
     if unknown:
@@ -111,6 +112,11 @@ def resolve_features(
     return numbers, texts
 
 
+def with_target(df: DataFrame) -> DataFrame:
+    """Rows whose target is a finite number."""
+    return df.where(numeric(df, TARGET).isNotNull())
+
+
 def prepare(
     df: DataFrame,
     flagged: DataFrame | None = None,
@@ -130,7 +136,7 @@ def prepare(
     numbers, texts = resolve_features(df, selected, [*exclude, "is_test", "split_used"])
     rows = flagged if flagged is not None else split(df, split_strategy, test_size, seed, keys)
     used = split_used(df.columns, split_strategy)
-    rows = rows.where(F.col(TARGET).isNotNull())
+    rows = with_target(rows)
     train, test = rows.where(~F.col("is_test")), rows.where("is_test")
     pre = fit_preprocessor(train.select(*numbers, *texts, TARGET), numbers, texts, exact)
     extra = [c for c in df.columns if c not in (TARGET, "is_test", "split_used")]
@@ -206,7 +212,7 @@ def fit_full_pipeline(
     """Refit one model on all rows: (pipeline, numeric features, categorical features)."""
     numbers, texts = resolve_features(df, None, exclude)
     make_regressor(model, 1, params, seed)  # an unknown model fails before any work
-    rows = df.where(F.col(TARGET).isNotNull())
+    rows = with_target(df)
     pre = fit_preprocessor(rows.select(*numbers, *texts, TARGET), numbers, texts, exact)
     vectors = pre.transform(rows).select(FEATURES, TARGET).persist(StorageLevel.MEMORY_AND_DISK)
     try:

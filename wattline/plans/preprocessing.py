@@ -100,7 +100,8 @@ def fit_preprocessor(
     if not numbers and not texts:
         raise ValueError("No usable feature column.")
     parts = [
-        f"(coalesce(cast(`{c}` as double), {_number(f)}) - {_number(m)}) / {_number(s)} AS `num__{c}`"
+        f"(coalesce(if(abs(cast(`{c}` as double)) < double('Infinity'), cast(`{c}` as double), null), {_number(f)})"
+        f" - {_number(m)}) / {_number(s)} AS `num__{c}`"
         for c, (f, m, s) in numbers.items()
     ]
     fills: dict[str, object] = {c: f for c, (f, _, _) in numbers.items()}

@@ -6,15 +6,15 @@ and an append-only index table ``<registry>/_index``.
 
 from __future__ import annotations
 
-import json
+import logging
 import platform
-from collections.abc import Sequence
-from dataclasses import asdict, dataclass, field, fields
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
 import pyspark
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from wattline.contract import TARGET
@@ -22,34 +22,37 @@ from wattline.plans.scoring import PREDICTION, align, prediction_rows, require_r
 from wattline.sources.files import exists, names_in
 from wattline.sources.sinks import load_profile, save_profile
 
+log = logging.getLogger(__name__)
+
 INDEX = "_index"
 INDEX_SCHEMA = "model string, version string, created_utc string"
 
 
-@dataclass
-class ModelMetadata:
-    model_name: str
-    numeric_features: list[str]
-    categorical_features: list[str]
-    metrics: dict[str, float]
-    split_strategy: str
-    source: str
-    version: str
-    target: str = TARGET
-    feature_order: list[str] = field(default_factory=list)
-    created_utc: str = field(default_factory=lambda: datetime.now(timezone.utc).isoformat())
-    python_version: str = field(default_factory=platform.python_version)
-    spark_version: str = pyspark.__version__
-    code_version: str | None = None
-
-    def __post_init__(self) -> None:
-        self.feature_order = self.feature_order or [*self.numeric_features, *self.categorical_features]
-
-    @classmethod
-    def parse(cls, text: str) -> ModelMetadata:
-        """Metadata from JSON; keys this version does not know are ignored."""
-        known = {f.name for f in fields(cls)}
-        return cls(**{k: v for k, v in json.loads(text).items() if k in known})
+METADATA_SCHEMA = (
+    "model_name string, numeric_features array<string>, categorical_features array<string>, metrics map<string,double>, "
+    "split_strategy string, source string, version string, target string, feature_order array<string>, created_utc string, "
+    "python_version string, spark_version string, code_version string"
+)
+
+
+def model_metadata(
+    spark: SparkSession,
+    model_name: str,
+    numeric_features: Sequence[str],
+    categorical_features: Sequence[str],
+    metrics: Mapping[str, float],
+    split_strategy: str,
+    source: str,
+    version: str,
+    code_version: str | None = None,
+) -> DataFrame:
+    """What a bundle says about its model, as one row of METADATA_SCHEMA."""
+    row = (
+        model_name, list(numeric_features), list(categorical_features), {k: float(v) for k, v in metrics.items()}, split_strategy, source,
+        version, TARGET, [*numeric_features, *categorical_features], None, platform.python_version(), pyspark.__version__, code_version,
+    )
+    stamp = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    return spark.createDataFrame([row], METADATA_SCHEMA).withColumn("created_utc", stamp)
 
 
 def new_version() -> str:
@@ -67,42 +70,42 @@ def version_index(entries: DataFrame) -> DataFrame:
 
 
 def save_bundle(
-    spark: SparkSession, pipeline: PipelineModel, metadata: ModelMetadata, registry: str, profile: DataFrame | None = None
+    spark: SparkSession, pipeline: PipelineModel, metadata: DataFrame, registry: str, profile: DataFrame | None = None
 ) -> str:
-    """Store a fitted pipeline with its metadata and list it in the index."""
-    folder = f"{registry.rstrip('/')}/{metadata.model_name}/{metadata.version}"
+    """Store a fitted pipeline with its one-row metadata and list it in the index."""
+    about = metadata.first()
+    folder = f"{registry.rstrip('/')}/{about['model_name']}/{about['version']}"
     pipeline.write().overwrite().save(f"{folder}/pipeline")
-    text = json.dumps(asdict(metadata), sort_keys=True)
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/metadata")
+    stored = spark.createDataFrame([about], METADATA_SCHEMA)
+    stored.coalesce(1).write.mode("overwrite").json(f"{folder}/metadata")
     if profile is not None:
         save_profile(profile, folder)
-    entry = [(metadata.model_name, metadata.version, metadata.created_utc)]
-    spark.createDataFrame(entry, INDEX_SCHEMA).coalesce(1).write.mode("append").parquet(f"{registry.rstrip('/')}/{INDEX}")
+    entry = stored.select(F.col("model_name").alias("model"), "version", "created_utc")
+    entry.coalesce(1).write.mode("append").parquet(f"{registry.rstrip('/')}/{INDEX}")
     return folder
 
 
 def list_versions(spark: SparkSession, registry: str) -> DataFrame:
-    """The index; when it is missing it is rebuilt from the folder names."""
+    """The versions in the index and in the folders; a missing or unreadable index costs nothing."""
     base = registry.rstrip("/")
+    found = [(m, v, None) for m in names_in(spark, base) if not m.startswith("_") for v in names_in(spark, f"{base}/{m}")]
+    entries = spark.createDataFrame(found, INDEX_SCHEMA)
     if exists(spark, f"{base}/{INDEX}"):
-        return version_index(spark.read.schema(INDEX_SCHEMA).parquet(f"{base}/{INDEX}"))
-    found = [(m, v) for m in names_in(spark, base) if m != INDEX for v in names_in(spark, f"{base}/{m}")]
-    return version_index(spark.createDataFrame(found, "model string, version string"))
+        try:
+            listed = spark.read.schema(INDEX_SCHEMA).parquet(f"{base}/{INDEX}").collect()  # one row per stored version
+            entries = entries.unionByName(spark.createDataFrame(listed, INDEX_SCHEMA))
+        except Exception:  # noqa: BLE001 - whatever is wrong with it, the folders tell the same
+            log.warning("the index of %s cannot be read; its folders are listed instead", base)
+    return version_index(entries)
 
 
 def resolve_bundle(spark: SparkSession, registry: str, model: str, version: str = "latest") -> str:
-    """Folder of an explicit version, else the index's latest, else the highest folder name."""
-    base = registry.rstrip("/")
-    if version != "latest":
-        return f"{base}/{model}/{version}"
-    if exists(spark, f"{base}/{INDEX}"):
-        row = list_versions(spark, base).where((F.col("model") == model) & F.col("is_latest")).first()
-        if row is not None:
-            return f"{base}/{model}/{row['version']}"
-    versions = names_in(spark, f"{base}/{model}")
-    if versions:
-        return f"{base}/{model}/{versions[-1]}"
-    raise FileNotFoundError(f"No persisted versions for model '{model}' under {registry}")
+    """Folder of a version of a model, by default of its newest."""
+    wanted = F.col("is_latest") if version == "latest" else F.lit(True)
+    row = list_versions(spark, registry).where((F.col("model") == model) & wanted).first()
+    if version == "latest" and row is None:
+        raise FileNotFoundError(f"The registry at {registry} holds no version of '{model}'.")
+    return f"{registry.rstrip('/')}/{model}/{row['version'] if version == 'latest' else version}"
 
 
 @dataclass
@@ -110,7 +113,7 @@ class PowerModel:
     """A loaded bundle, ready to score DataFrames."""
 
     pipeline: PipelineModel
-    metadata: ModelMetadata
+    metadata: Row
     folder: str
 
     @classmethod
@@ -118,8 +121,8 @@ class PowerModel:
         for part in ("pipeline", "metadata"):
             if not exists(spark, f"{folder}/{part}"):
                 raise FileNotFoundError(f"No {part} under {folder}")
-        text = "".join(r["value"] for r in spark.read.text(f"{folder}/metadata").collect())
-        return cls(PipelineModel.load(f"{folder}/pipeline"), ModelMetadata.parse(text), folder)
+        about = spark.read.schema(METADATA_SCHEMA).json(f"{folder}/metadata").first()  # keys it doesn't know are left out
+        return cls(PipelineModel.load(f"{folder}/pipeline"), about, folder)
 
     @classmethod
     def from_registry(cls, spark: SparkSession, registry: str, model: str, version: str = "latest") -> PowerModel:
@@ -134,15 +137,15 @@ class PowerModel:
         aligned = self.align(df, keep)
         return self.pipeline.transform(aligned).select(*aligned.columns, PREDICTION)
 
-    def predict_rows(self, df: DataFrame, order: Sequence[str]) -> DataFrame:
-        """(index, predicted_power_watts) with the position in ``order``; no input is an error."""
-        return prediction_rows(self.predict(require_rows(df), order), order)
+    def predict_rows(self, df: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+        """(index, predicted_power_watts): a request's own positions, else those in ``order``; no input is an error."""
+        keep = [*order, *[c for c in ("row_index",) if c in df.columns and c not in order]]
+        return prediction_rows(self.predict(require_rows(df), keep), order)
 
     def predict_one(self, spark: SparkSession, record: dict) -> float:
-        """Prediction for a single record."""
-        df = spark.createDataFrame([json.dumps(record)], "string").select(
-            F.from_json("value", ", ".join(f"`{k}` string" for k in record)).alias("r")
-        ).select("r.*")
+        """Prediction for a single record; only the model's own features are looked at."""
+        known = {k: None if record.get(k) is None else str(record[k]) for k in self.metadata.feature_order}
+        df = spark.createDataFrame([tuple(known.values())], ", ".join(f"`{k}` string" for k in known))
         return float(self.predict(df).first()[PREDICTION])
 
     def profile(self, spark: SparkSession) -> DataFrame:

@@ -30,7 +30,7 @@ from wattline.plans.models import (
     resolve_features,
     train_and_evaluate,
 )
-from wattline.plans.registry import ModelMetadata, new_version, save_bundle
+from wattline.plans.registry import model_metadata, new_version, save_bundle
 from wattline.plans.reports import run_scorecard
 from wattline.session import spool
 
@@ -133,5 +133,5 @@ def save_best_model(
     params = (options.params or {}).get(chosen)
     pipeline, numbers, texts = fit_full_pipeline(df, chosen, params, options.exclude, options.seed)
     held_out = {k: float(rows[chosen][k]) for k in ("mae", "rmse", "r2")}
-    metadata = ModelMetadata(chosen, numbers, texts, held_out, run.split_used, source, new_version())
+    metadata = model_metadata(df.sparkSession, chosen, numbers, texts, held_out, run.split_used, source, new_version())
     return save_bundle(spark, pipeline, metadata, registry, drift.reference_profile(df, numbers, texts))

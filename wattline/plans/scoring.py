@@ -39,7 +39,13 @@ def score(df: DataFrame, scorer: Column) -> DataFrame:
     return df.withColumn(PREDICTION, scorer)
 
 
-def prediction_rows(scored: DataFrame, order: Sequence[str]) -> DataFrame:
-    """(index, predicted_power_watts): the prediction and its 0-based position in ``order``."""
+def prediction_rows(scored: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """(index, predicted_power_watts): the prediction and its place.
+
+    Records of a request keep their ``row_index``; without that column the place is the
+    0-based position in ``order``.
+    """
+    if "row_index" in scored.columns:
+        return scored.select(F.col("row_index").cast("bigint").alias("index"), F.col(PREDICTION).alias("predicted_power_watts"))
     narrow = scored.select(*order, *[c for c in [PREDICTION] if c not in order])
     return row_index(narrow, order, "index").select("index", F.col(PREDICTION).alias("predicted_power_watts"))

@@ -36,15 +36,15 @@ UNIT_RULES = (
 RENAMES = {"util_gpu0": "gpu_utilization_pct", "temp_gpu0": "temperature_c", "_time": TIMESTAMP}
 
 
-def pick_trace_files(names: DataFrame, max_files: int, seed: int = 42) -> DataFrame:
-    """A seeded choice of ``max_files`` CSV names without replacement, in name order.
+def pick_trace_files(names: DataFrame, max_files: int | None = None, seed: int = 42) -> DataFrame:
+    """The CSV names in order: all, or a seeded choice of ``max_files`` without replacement.
 
     ``names`` has one column ``name``. The choice is by hash, so the same seed and
     names always give the same files.
     """
     csv = names.where(F.lower("name").endswith(".csv")).select("name").distinct()
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("name")))
-    return csv.orderBy(key, "name").limit(max_files).orderBy("name")
+    return (csv if max_files is None else csv.orderBy(key, "name").limit(max_files)).orderBy("name")
 
 
 def concat_frames(frames: Sequence[DataFrame]) -> DataFrame:
@@ -144,8 +144,8 @@ def normalize_bmc(raw: DataFrame, exact: bool = True) -> DataFrame:
     return finalize(table)
 
 
-def read_bmc_folder(spark: SparkSession, folder: str, max_files: int = 10, seed: int = 42, exact: bool = True) -> DataFrame:
-    """Normalised telemetry from a seeded choice of the CSV traces in a folder."""
+def read_bmc_folder(spark: SparkSession, folder: str, max_files: int | None = None, seed: int = 42, exact: bool = True) -> DataFrame:
+    """Normalised telemetry from all CSV traces in a folder, or a seeded choice of ``max_files``."""
     listing = spark.createDataFrame([(n,) for n in names_in(spark, folder)], "name string")
     chosen = [r["name"] for r in pick_trace_files(listing, max_files, seed).collect()]
     if not chosen:

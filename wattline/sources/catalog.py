@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
 from wattline.contract import contract
@@ -15,12 +17,15 @@ def read_telemetry(
     source: str,
     path: str | None = None,
     max_rows: int | None = None,
-    max_files: int = 10,
+    max_files: int | None = None,
     seed: int = 42,
     exact: bool = True,
+    cap_order: Sequence[str] | None = None,
 ) -> DataFrame:
     """Normalised telemetry of a source as a lazy DataFrame.
 
+    All rows and all files are read unless ``max_rows`` or ``max_files`` asks for fewer.
+
     ``synthetic`` reads an already normalised Parquet table: this library has no
     random generator.
     """
@@ -33,4 +38,4 @@ def read_telemetry(
         return read_bmc_folder(spark, path, max_files, seed, exact)
     if source == "synthetic":
         return spark.read.parquet(path)
-    return read_wide_csv(spark, path, source, max_rows)
+    return read_wide_csv(spark, path, source, max_rows, cap_order)

@@ -50,8 +50,8 @@ def _header_cells(line: str) -> list[str]:
 def headers(spark: SparkSession, paths: str | Sequence[str], comment: str = "#") -> list[tuple[list[str], list[str]]]:
     """(header cells, files) for each distinct header among the files.
 
-    One pass over the first block of each file finds its first line that is not a
-    comment; only headers and file names reach the driver.
+    One pass over the text finds each file's first line that is not a comment, among the
+    splits that start a file; only headers and file names reach the driver.
     """
     lines = (
         spark.read.text(paths)
@@ -70,19 +70,22 @@ def read_trace_csv(spark: SparkSession, columns: Sequence[str], files: Sequence[
     """CSV files that share one header, as text, plus ``source_file`` (the file's stem).
 
     Comment lines are skipped and short rows are padded with nulls. Rows with more
-    fields than the header are dropped: a spare last column catches them, which
-    ``DROPMALFORMED`` could not do without losing the short rows too.
+    fields than the header, empty ones included, are dropped: the reader reports every
+    row of another length, and of those the separators outside quotes are counted.
     """
-    spare = "__more"
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, spare]])
+    odd = "__odd"
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, odd]])
     df = (
         spark.read.schema(schema)
         .option("header", True)
         .option("comment", comment)
         .option("enforceSchema", True)
         .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", odd)
         .csv(list(files))
         .select("*", F.col("_metadata.file_name").alias("__file"))
     )
-    kept = df.where(F.col(spare).isNull())
-    return kept.withColumn("source_file", F.regexp_replace("__file", r"\.[^.]*$", "")).drop(spare, "__file")
+    unquoted = F.regexp_replace(odd, '"[^"]*"', "")
+    fields = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","), F.lit(""))) + 1
+    kept = df.where(F.col(odd).isNull() | (fields <= len(columns)))
+    return kept.withColumn("source_file", F.regexp_replace("__file", r"\.[^.]*$", "")).drop(odd, "__file")

@@ -56,17 +56,18 @@ def parse_requests(payload: Column) -> Column:
 
 
 def request_rows(df: DataFrame, payload: str = "value") -> DataFrame:
-    """One row per record of each request, with unknown keys in ``extras``.
+    """One row per record of each request, with its position and unknown keys in ``extras``.
 
+    ``row_index`` counts from 0 in the request, so answers can be matched to records.
     A request without a record is an error of that request and gives no row; see
     :func:`empty_requests`.
     """
     raw = F.from_json(F.col(payload), "records array<map<string,string>>")["records"]
     pairs = F.arrays_zip(parse_requests(F.col(payload)).alias("typed"), raw.alias("raw"))
     known = [n for n, _ in RECORD_FIELDS]
-    out = df.select("*", F.explode(pairs).alias("r"))
+    out = df.select("*", F.posexplode(pairs).alias("row_index", "r"))
     extras = F.map_filter(F.col("r.raw"), lambda k, v: ~k.isin(known))
-    return out.select(*df.columns, *[F.col(f"r.typed.{n}").alias(n) for n in known], extras.alias("extras"))
+    return out.select(*df.columns, "row_index", *[F.col(f"r.typed.{n}").alias(n) for n in known], extras.alias("extras"))
 
 
 def empty_requests(df: DataFrame, payload: str = "value") -> DataFrame:

@@ -12,7 +12,7 @@ from wattline.functions.coerce import as_time, numeric, with_clean_names
 from wattline.functions.scalars import session_of, trace_label
 from wattline.operators.audit import plausible_target
 from wattline.operators.ordering import first_rows
-from wattline.sources.files import exists, is_directory, read_text_csv, stem
+from wattline.sources.files import exists, is_directory, names_in, read_text_csv, stem
 
 # Cleaned header names accepted for each normalised column, best first.
 TARGET_ALIASES = ("power_draw_w", "power_draw_watts", "power_watts", "gpu_power_w", "gpu_power", "power")
@@ -58,12 +58,11 @@ def first_present(columns: Iterable[str], candidates: Sequence[str]) -> str | No
 def resolve_file(spark: SparkSession, path: str, source: str) -> str:
     """The path itself, or the preferred file of a folder.
 
-    A folder that holds none of the preferred names but ``part-*`` files is one
-    distributed CSV and is used whole.
+    A folder whose own name ends in ``.csv`` is one distributed CSV and is used whole.
     """
     if not exists(spark, path):
         raise FileNotFoundError(f"{source} path does not exist: {path}")
-    if not is_directory(spark, path) or path.rstrip("/").endswith(".csv"):
+    if not is_directory(spark, path) or path.rstrip("/").endswith(".csv") or holds_parquet(spark, path):
         return path
     for name in PREFERRED_FILES[source]:
         candidate = f"{path.rstrip('/')}/{name}"
@@ -72,6 +71,11 @@ def resolve_file(spark: SparkSession, path: str, source: str) -> str:
     raise FileNotFoundError(f"Expected one of {list(PREFERRED_FILES[source])} under {path}.")
 
 
+def holds_parquet(spark: SparkSession, path: str) -> bool:
+    """True for a folder of collected samples: Parquet files, or one folder per stream batch."""
+    return is_directory(spark, path) and any(n.endswith(".parquet") or n.startswith("batch_id=") for n in names_in(spark, path))
+
+
 def normalize_wide(
     raw: DataFrame, source: str, file_name: str, keep_session_id: bool = False, formats: Sequence[str] = ()
 ) -> DataFrame:
@@ -113,18 +117,19 @@ def read_wide_csv(
     cap_order: Sequence[str] | None = None,
     keep_session_id: bool = False,
 ) -> DataFrame:
-    """Read and normalise a wide accelerator CSV.
+    """Read and normalise a wide accelerator CSV, or the Parquet that the intake stream wrote.
 
-    ``max_rows`` caps the raw rows before any filter. With ``cap_order`` the cap
-    takes the first rows of that order and stays distributed.
+    ``max_rows`` caps the raw rows before any filter: the first of ``cap_order``, else
+    of all columns from left to right. The cap stays distributed.
     """
     file = resolve_file(spark, path, source)
-    raw = read_text_csv(spark, file)
+    stored = holds_parquet(spark, file)
+    raw = spark.read.parquet(file) if stored else read_text_csv(spark, file)
     if raw.isEmpty():
         raise ValueError(f"{source} CSV is empty: {file}")
     if max_rows is not None:
-        raw = first_rows(raw, cap_order, max_rows) if cap_order else raw.limit(max_rows)
-    out = normalize_wide(raw, source, file.rstrip("/").rsplit("/", 1)[-1], keep_session_id)
+        raw = first_rows(raw, cap_order or raw.columns, max_rows)
+    out = normalize_wide(raw, source, file.rstrip("/").rsplit("/", 1)[-1], keep_session_id or stored)
     if out.isEmpty():
         raise ValueError(f"{source} CSV has no valid positive GPU power rows after normalisation.")
     return out

@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from wattline.functions.coerce import to_time
 from wattline.operators.drift import drift_report
-from wattline.operators.ordering import row_index
-from wattline.sources.records import request_rows
+from wattline.sources.records import empty_requests, request_rows
 from wattline.sources.sinks import log_rows
-from wattline.sources.smi_text import label_samples, parse_lines
+from wattline.sources.smi_text import label_samples, malformed_lines, parse_lines
 
 log = logging.getLogger(__name__)
 
@@ -40,18 +40,25 @@ def score_stream(
     model_name: str,
     model_version: str,
     once: bool = False,
+    reject_path: str | None = None,
 ) -> StreamingQuery:
     """Score a stream of JSON requests (column ``value``) and log the predictions.
 
-    ``scorer`` adds ``prediction`` to rows that carry the record fields. The log
-    never blocks scoring: when it fails the batch still counts as done.
+    ``scorer`` adds ``prediction`` to rows that carry the record fields. ``row_index`` is
+    the record's position in its request, and columns of the stream other than ``value``
+    are written with it, so a client finds its answer. Requests without a record go to
+    ``reject_path`` (by default ``out_path`` with ``-rejects``). The log never blocks
+    scoring: when it fails the batch still counts as done.
     """
+    rejects = (reject_path or f"{out_path.rstrip('/')}-rejects").rstrip("/")
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        rows = request_rows(batch)
-        scored = row_index(scorer(rows).drop("extras"), order)
+        own = [c for c in batch.columns if c != "value" and c not in order]
+        scored = scorer(request_rows(batch)).drop("extras")
         target = f"{out_path.rstrip('/')}/batch_id={batch_id}"
-        scored.select(*order, "row_index", F.col("prediction").alias("predicted_power_watts")).write.mode("overwrite").parquet(target)
+        answers = scored.select(*own, *order, "row_index", F.col("prediction").alias("predicted_power_watts"))
+        answers.write.mode("overwrite").parquet(target)
+        empty_requests(batch).write.mode("overwrite").parquet(f"{rejects}/batch_id={batch_id}")
         try:
             entries = log_rows(scored, inputs, model_name, model_version)
             entries.write.mode("overwrite").option("ignoreNullFields", False).json(f"{log_path.rstrip('/')}/batch_id={batch_id}")
@@ -83,9 +90,19 @@ def intake_stream(
     session: str,
     workload: str = "local_nvidia_smi_trace",
     once: bool = False,
+    reject_path: str | None = None,
 ) -> StreamingQuery:
-    """Turn arriving monitor-text files into labelled telemetry rows."""
-    lines = spark.readStream.text(in_path)
-    rows = label_samples(parse_lines(lines, strict=False), session, workload)
-    writer = rows.writeStream.format("parquet").option("path", out_path).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    """Turn arriving monitor-text files into labelled telemetry rows with zone-less times.
+
+    ``read_telemetry(spark, "local_nvidia_smi", out_path)`` reads them back. Lines that
+    are not samples go to ``reject_path`` (by default ``out_path`` with ``-rejects``).
+    """
+    rejects = (reject_path or f"{out_path.rstrip('/')}-rejects").rstrip("/")
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        rows = label_samples(parse_lines(batch, strict=False), session, workload)
+        rows = rows.withColumn("timestamp", to_time(F.col("timestamp")))
+        rows.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch_id={batch_id}")
+        malformed_lines(batch).write.mode("overwrite").parquet(f"{rejects}/batch_id={batch_id}")
+
+    return _start(spark.readStream.text(in_path), each, checkpoint, once)
