@@ -9,6 +9,7 @@ from suite.views import FEATURES, PARTS_SQL, cutoff_parts, readings, tel, teleme
 from wattline.functions.scalars import WORKLOAD_BASE, lookup
 from wattline.operators import checks, drift
 from wattline.operators.columns import column_difference
+from wattline.operators.wide import column_stats
 from wattline.sources.bmc_csv import concat_frames
 
 _TEXT = ["session_id", "workload_type"]
@@ -146,7 +147,7 @@ def extra_feature(spark, sf_dir):
 def _report(spark, sf_dir, **limits):
     reference, later = cutoff_parts(spark, sf_dir)
     profile = drift.reference_profile(reference, list(FEATURES), _TEXT)
-    return drift.drift_report(profile, later, **limits)
+    return drift.drift_report(profile, later, categories=drift.value_counts(reference, _TEXT), **limits)
 
 
 def _checked(df, *names):
@@ -263,6 +264,23 @@ def unseen_category(spark, sf_dir):
     return _checked(_report(spark, sf_dir), "unseen_category_share")
 
 
+@query(
+    "chk_17_many_categories",
+    """WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS customer, o_orderdate < TIMESTAMP '1996-06-01' AS early FROM orders),
+    known AS (SELECT DISTINCT customer FROM o WHERE early)
+    SELECT 'customer' AS feature, (SELECT count(*) FROM known) > 100 AS truncated, CAST((SELECT count(*) FROM known) AS DOUBLE) AS reference_value,
+    round(avg(CASE WHEN customer IN (SELECT customer FROM known) THEN 0.0 ELSE 1.0 END), 6) AS input_value FROM o WHERE NOT early""",
+)
+def many_categories(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    early = F.col("o_orderdate") < F.lit("1996-06-01").cast("timestamp_ntz")
+    old, new = (orders.where(c).select(F.col("o_custkey").cast("string").alias("customer")) for c in (early, ~early))
+    profile = drift.reference_profile(old, [], ["customer"])
+    report = drift.drift_report(profile, new, categories=drift.value_counts(old, ["customer"]))
+    found = report.where("check = 'unseen_category_share'").join(profile.select("feature", F.col("categories_truncated").alias("truncated")), "feature")
+    return found.select("feature", "truncated", "reference_value", F.round("input_value", 6).alias("input_value"))
+
+
 _EXTRA_SQL = " UNION ALL ".join(
     f"""SELECT '{c}' AS feature, 'extra' AS feature_type, 'extra_feature' AS "check", CAST(NULL AS DOUBLE) AS reference_value,
     CAST(NULL AS DOUBLE) AS input_value, CAST(NULL AS DOUBLE) AS threshold, 'info' AS severity FROM (SELECT count(*) AS n FROM input)"""
@@ -328,11 +346,15 @@ def unseen_values(spark, sf_dir):
 
 @query(
     "jon_03_column_difference",
-    """SELECT unnest(['temperature_c', 'rack', 'dv', 'extra_value']) AS feature, unnest(['missing', 'missing', 'extra', 'extra']) AS side
-    FROM (SELECT count(*) AS n FROM events)""",
+    """SELECT 'temperature_c' AS feature, 'missing' AS side, CAST(NULL AS BIGINT) AS filled UNION ALL SELECT 'rack', 'missing', NULL
+    UNION ALL SELECT 'dv', 'extra', count(user_id) FROM events UNION ALL SELECT 'extra_value', 'extra', count(value) FROM events""",
 )
 def column_sets(spark, sf_dir):
-    return column_difference(spark, [n for n, _ in _EXPECTED], _odd_input(spark, sf_dir).columns)
+    # The difference of the names, with how many values each column that is there holds.
+    df = _odd_input(spark, sf_dir)
+    sides = column_difference(spark, [n for n, _ in _EXPECTED], df.columns)
+    filled = column_stats(df, df.columns, lambda _, x: {"filled": F.count(x)}, lambda d, c: d[c].cast("string"))
+    return sides.join(filled, "feature", "left")
 
 
 @query(

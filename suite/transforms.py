@@ -10,6 +10,7 @@ from wattline.functions import coerce, scalars
 from wattline.operators import audit
 from wattline.operators.ordering import first_rows, row_index, session_blocks
 from wattline.operators.selection import medians
+from wattline.operators.wide import column_stats
 from wattline.plans.scoring import align
 from wattline.sources import bmc_csv, long_csv, wide_csv
 
@@ -409,15 +410,20 @@ def flat(spark, sf_dir):
     "flt_05_power_names",
     tel(
         _HOLES_SQL
-        + """ SELECT column_name AS "column", column_name <> 'power_watts' AND regexp_matches(lower(column_name), 'power|energy|watts|psu|_cin|_vin') AS dropped
-        FROM (SELECT unnest(["""
-        + ", ".join(f"'{c}'" for c in [*_HOLE_COLUMNS, "PSU1_volts", "fan_vin"])
-        + """]) AS column_name), (SELECT count(*) > 0 AS any_rows FROM holes) WHERE any_rows"""
+        + ", named AS (SELECT *, 1 AS PSU1_volts, 1 AS fan_vin FROM holes) "
+        + _each(
+            [*_HOLE_COLUMNS, "PSU1_volts", "fan_vin"],
+            "SELECT '{c}' AS \"column\", '{c}' <> 'power_watts' AND regexp_matches(lower('{c}'), 'power|energy|watts|psu|_cin|_vin') AS dropped, "
+            "count({q}) AS filled FROM named",
+        )
     ),
 )
 def power_names(spark, sf_dir):
+    # The decision of every column, with how many values it holds.
     df = _holes(spark, sf_dir).withColumns({"PSU1_volts": F.lit(1), "fan_vin": F.lit(1)})
-    return audit.decisions(df, audit.power_named_columns(df))
+    filled = column_stats(df, df.columns, lambda _, x: {"filled": F.count(x)}, lambda d, c: d[c].cast("string"))
+    decided = audit.decisions(df, audit.power_named_columns(df))
+    return decided.join(filled.withColumnRenamed("feature", "column"), "column")
 
 
 @query(

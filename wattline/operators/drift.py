@@ -180,10 +180,11 @@ def join_profile(stats: DataFrame, profile: DataFrame) -> DataFrame:
 
 
 def unseen_values(df: DataFrame, profile: DataFrame) -> DataFrame:
-    """(feature, value, n) of input categories that the reference never showed.
+    """(feature, value, n) of input categories that the profile's lists don't hold.
 
     At most 100 known categories are kept per feature, so their list is broadcast.
-    Features with a truncated or empty list are skipped: nothing can be said there.
+    Features with a truncated or empty list are skipped; :func:`new_values` compares
+    them with the whole table of categories.
     """
     usable = profile.where("feature_type = 'categorical' and not categories_truncated and size(categories) > 0")
     names = [r["feature"] for r in usable.select("feature").collect() if r["feature"] in df.columns]
@@ -191,6 +192,14 @@ def unseen_values(df: DataFrame, profile: DataFrame) -> DataFrame:
     return value_counts(df, names).join(F.broadcast(known), ["feature", "value"], "left_anti")
 
 
+def new_values(df: DataFrame, columns: Sequence[str], categories: DataFrame) -> DataFrame:
+    """(feature, value, n) of input values that the table ``categories`` (feature, value) lacks.
+
+    Values are counted before the anti join, so a value of any frequency is one row.
+    """
+    return value_counts(df, columns).join(categories.select("feature", "value"), ["feature", "value"], "left_anti")
+
+
 def _check(
     feature: str, kind: str, check: str, severity: str, message: str,
     reference: object = None, value: Column | None = None, limit: float | None = None, text: str | None = None,
@@ -310,10 +319,13 @@ def drift_report(
     range_share_threshold: float = SHARE_LIMIT,
     missing_delta_threshold: float = SHARE_LIMIT,
     unseen_share_threshold: float = SHARE_LIMIT,
+    categories: DataFrame | None = None,
 ) -> DataFrame:
     """Every schema and drift check of an input as one table, from one aggregate job.
 
-    The profile and the aggregates have one row per feature; the input itself is
+    A profile lists the most frequent categories of a feature. With ``categories``, the
+    reference's ``value_counts``, features with more are checked against all of theirs;
+    without it their check says that it was not made. The profile and the aggregates have one row per feature; the input itself is
     only ever aggregated.
     """
     refs = sorted(profile.collect(), key=lambda r: r["ordinal"])
@@ -325,6 +337,11 @@ def drift_report(
     if "__dataset__" not in stats:
         raise ValueError("No input rows provided.")
     n = stats["__dataset__"]["rows"]
+    cut = [r["feature"] for r in judged if r["feature_type"] == "categorical" and r["categories_truncated"]]
+    unseen: dict[str, int] = {}
+    if cut and categories is not None:
+        found = new_values(df, cut, categories).groupBy("feature").agg(F.sum("n").alias("n")).collect()  # one row per feature
+        unseen = {f: 0 for f in cut} | {r["feature"]: r["n"] for r in found}
     unprofiled = [f for f in _text_columns(df, features) if f not in stats]
     bad = {f: s["bad"] for f, s in stats.items()} | _not_numbers(df, unprofiled)
     rows = []
@@ -345,10 +362,16 @@ def drift_report(
         )
         share = s["outside"] / s["valid"] if s["valid"] else 0.0
         if kind == "categorical":
+            if f in cut and f not in unseen:
+                text = f"Not checked: the profile lists {len(r['categories'])} of {r['unique_count']} categories; pass all of them."
+                rows.append(_check(f, kind, "unseen_category_share", "info", text, r["unique_count"], None, unseen_share_threshold))
+                continue
+            if f in unseen:
+                share = unseen[f] / s["valid"] if s["valid"] else 0.0
             rows.append(
                 _check(
                     f, kind, "unseen_category_share", _state(share > unseen_share_threshold),
-                    f"{share:.1%} of values are new categories.", len(r["categories"] or []), F.lit(share), unseen_share_threshold,
+                    f"{share:.1%} of values are new categories.", r["unique_count"] or 0, F.lit(share), unseen_share_threshold,
                 )
             )
             continue

@@ -25,6 +25,7 @@ from wattline.sources.sinks import load_profile, save_profile
 log = logging.getLogger(__name__)
 
 INDEX = "_index"
+CATEGORIES = "reference_categories"
 INDEX_SCHEMA = "model string, version string, created_utc string"
 
 
@@ -70,9 +71,13 @@ def version_index(entries: DataFrame) -> DataFrame:
 
 
 def save_bundle(
-    spark: SparkSession, pipeline: PipelineModel, metadata: DataFrame, registry: str, profile: DataFrame | None = None
+    spark: SparkSession, pipeline: PipelineModel, metadata: DataFrame, registry: str, profile: DataFrame | None = None,
+    categories: DataFrame | None = None,
 ) -> str:
-    """Store a fitted pipeline with its one-row metadata and list it in the index."""
+    """Store a fitted pipeline with its one-row metadata and list it in the index.
+
+    ``categories`` is the training table's ``value_counts``, for drift checks of wide features.
+    """
     about = metadata.first()
     folder = f"{registry.rstrip('/')}/{about['model_name']}/{about['version']}"
     pipeline.write().overwrite().save(f"{folder}/pipeline")
@@ -80,6 +85,8 @@ def save_bundle(
     stored.coalesce(1).write.mode("overwrite").json(f"{folder}/metadata")
     if profile is not None:
         save_profile(profile, folder)
+    if categories is not None:
+        categories.write.mode("overwrite").parquet(f"{folder}/{CATEGORIES}")
     entry = stored.select(F.col("model_name").alias("model"), "version", "created_utc")
     entry.coalesce(1).write.mode("append").parquet(f"{registry.rstrip('/')}/{INDEX}")
     return folder
@@ -150,3 +157,8 @@ class PowerModel:
 
     def profile(self, spark: SparkSession) -> DataFrame:
         return load_profile(spark, self.folder)
+
+    def categories(self, spark: SparkSession) -> DataFrame | None:
+        """(feature, value, n) of the training table, when it was stored."""
+        path = f"{self.folder}/{CATEGORIES}"
+        return spark.read.parquet(path) if exists(spark, path) else None

@@ -134,4 +134,4 @@ def save_best_model(
     pipeline, numbers, texts = fit_full_pipeline(df, chosen, params, options.exclude, options.seed)
     held_out = {k: float(rows[chosen][k]) for k in ("mae", "rmse", "r2")}
     metadata = model_metadata(df.sparkSession, chosen, numbers, texts, held_out, run.split_used, source, new_version())
-    return save_bundle(spark, pipeline, metadata, registry, drift.reference_profile(df, numbers, texts))
+    return save_bundle(spark, pipeline, metadata, registry, drift.reference_profile(df, numbers, texts), drift.value_counts(df, texts))

@@ -82,6 +82,7 @@ def read_trace_csv(spark: SparkSession, columns: Sequence[str], files: Sequence[
         .option("enforceSchema", True)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", odd)
+        .option("columnPruning", False)  # else rows are not measured when columns go unused
         .csv(list(files))
         .select("*", F.col("_metadata.file_name").alias("__file"))
     )

@@ -69,9 +69,13 @@ def score_stream(
 
 
 def drift_stream(
-    records: DataFrame, profile: DataFrame, out_path: str, checkpoint: str, once: bool = False, **limits: float
+    records: DataFrame, profile: DataFrame, out_path: str, checkpoint: str, once: bool = False, **limits: float | DataFrame
 ) -> StreamingQuery:
-    """Write one drift report per arriving batch; an empty batch gives none."""
+    """Write one drift report per arriving batch; an empty batch gives none.
+
+    The profile is collected once, before the stream starts; ``limits`` go to the report.
+    """
+    profile = profile.sparkSession.createDataFrame(profile.collect(), profile.schema)  # one row per feature
 
     def each(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
