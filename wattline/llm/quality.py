@@ -24,6 +24,7 @@ CLASSES = 32
 ORDER = 4
 MIN_WORDS = 50
 MAX_REPEAT_PCT = 50
+PART = 1 << 22
 SYMBOLS = "#*$%&|<>"
 # Width of a perplexity bin in nats per byte, and how many interquartile ranges a band reaches
 # beyond the quartiles (at least FLOOR nats). Bands come from documents that pass the base rules.
@@ -64,6 +65,12 @@ def codes(text: bytes) -> np.ndarray:
     return out
 
 
+def code_parts(text: bytes) -> Iterator[np.ndarray]:
+    """The codes of a whole text, at most PART of them at a time."""
+    for i in range(0, len(text), PART):
+        yield codes(text[max(0, i - ORDER + 1) : i + PART])[min(i, ORDER - 1) :]
+
+
 def base_counts(raw: bytes) -> tuple[int, int, int, int, int]:
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of a whole text."""
     text = raw.decode("utf-8", "replace")
@@ -133,12 +140,10 @@ def count_ngrams(texts: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CLASSES**ORDER, np.int64)
-        for batch in text_slices(batches, 0):
-            for text in texts_of(batch.column(0)):
-                if text:
-                    for i in range(0, len(text), 1 << 22):
-                        part = codes(text[max(0, i - ORDER + 1) : i + (1 << 22)])[min(i, ORDER - 1) :]
-                        total += np.bincount(part, minlength=len(total))
+        for batch in text_slices(batches, 0):  # a slice is counted at once: each count makes a whole table
+            parts = [part for text in texts_of(batch.column(0)) if text for part in code_parts(text)]
+            for i in range(0, len(parts), 50_000):
+                total += np.bincount(np.concatenate(parts[i : i + 50_000]), minlength=len(total))
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], names=["code", "n"])
 
@@ -220,8 +225,7 @@ def measured(docs: DataFrame, text: str, name: str, model: HashedModel) -> DataF
             for raw in texts_of(batch.column(at)):
                 raw = raw or b""
                 total = 0.0
-                for i in range(0, len(raw), 1 << 22):
-                    part = codes(raw[max(0, i - ORDER + 1) : i + (1 << 22)])[min(i, ORDER - 1) :]
+                for part in code_parts(raw):
                     total += float(table[part].sum())
                 rows.append((*base_counts(raw), -total / len(raw) if raw else None))
             columns = [pa.array(c) for c in zip(*rows, strict=True)]
