@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm import backoff, knn, langid, licenses, mixing, packing, preference, quality, simhash, suffix
+from wattline.llm import backoff, knn, langid, licenses, mixing, oracles, packing, preference, quality, simhash, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,4 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_preference_format,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_license_scan": oracles.LICENSE_SCAN,
+    "op5_nearest_neighbours": oracles.NEAREST,
+    "op10_preference_format": oracles.PREFERENCE,
+}
