@@ -21,6 +21,7 @@ DOMAINS = ("good", "poor", "toxic")
 WEIGHTS = {"good": 0.8, "poor": 0.1, "toxic": 0.1}
 FEATURES = ("marks", "bars", "spaces", "lines", "size", "distinct", "shown")
 MARKERS = 64
+BROADCAST_LABELS = 1_000_000  # labelled ids (about 20 bytes each) that may be broadcast; more are joined by a shuffle
 STEPS = 40
 TOLERANCE = 1e-6
 
@@ -81,7 +82,9 @@ def posteriors(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...] = DO
     have posterior zero; without any label all domains are equally likely.
     """
     known = labels.where(F.col("domain").isin(*domains)).groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    labelled = docs.join(known, "doc_id").select("text", "domain")
+    known = spool(known, "labels")
+    few = known.count() <= BROADCAST_LABELS
+    labelled = docs.join(F.broadcast(known) if few else known, "doc_id").select("text", "domain")
     markers = marker_words(_measured(labelled).select("domain", "vocabulary"))
     measured = _measured(docs)
     if markers:
@@ -116,34 +119,53 @@ def fit_rates(members: DataFrame, weights: dict[str, float], domains: tuple[str,
     """The rate of each row of ``members`` (tokens, post) as an expression over it.
 
     Targets are ``total`` tokens dealt by ``weights``; without a total it is the smallest at
-    which no domain has to shrink. Each step is one aggregate with one row: the gap to the
-    targets, scaled by the inverse of the domains' second moments, for which a step of 1 never
-    overshoots; rates below ``least`` are then set to it. Steps end when none changes a rate by
-    more than TOLERANCE.
+    which no domain has to shrink. A step takes two aggregates of one row each: the gap to the
+    targets, and the second moments of the rows that aren't held at ``least``, which scale the
+    gradient; rates below ``least`` are then set to it. A step that increases the squared gap
+    is taken again scaled by the moments of all rows, for which it never does. Steps end when
+    the gap or its improvement is within TOLERANCE.
     """
     p = [F.col("post")[i] for i in range(len(domains))]
     r = F.lit(max(1.0, float(least)))
     share = np.array([weights.get(d, 0.0) for d in domains], float)
     share = share / share.sum()
     pairs = [(i, j) for i in range(len(p)) for j in range(i, len(p))]
-    sums = members.agg(*[F.sum(F.col("tokens") * p[i] * p[j]).alias(f"m{i}_{j}") for i, j in pairs]).first()
-    moment = np.zeros((len(p), len(p)))
-    for i, j in pairs:
-        moment[i, j] = moment[j, i] = sums[f"m{i}_{j}"] or 0.0
-    inverse = np.linalg.pinv(moment, rcond=1e-10, hermitian=True)
+
+    def moments(rows: DataFrame) -> np.ndarray:
+        sums = rows.agg(*[F.sum(F.col("tokens") * p[i] * p[j]).alias(f"m{i}_{j}") for i, j in pairs]).first()
+        out = np.zeros((len(p), len(p)))
+        for i, j in pairs:
+            out[i, j] = out[j, i] = sums[f"m{i}_{j}"] or 0.0
+        return out
+
+    inverse = np.linalg.pinv(moments(members), rcond=1e-10, hermitian=True)
+    p_step = lambda step: sum((x * float(v) for x, v in zip(p, step, strict=True)), F.lit(0.0))
+    bounded = lambda x: F.greatest(F.lit(float(least)), x)
     target: np.ndarray | None = None
+    before: tuple[float, Column, np.ndarray] | None = None  # objective, rates and gap of the last step
+    plain = False
     for _ in range(STEPS):
-        rated = members.select("tokens", "post", r.alias("r"))
-        row = rated.agg(*[F.sum(F.col("r") * F.col("tokens") * x).alias(f"t{i}") for i, x in enumerate(p)]).first()
+        row = members.select("tokens", "post", r.alias("r")).agg(
+            *[F.sum(F.col("r") * F.col("tokens") * x).alias(f"t{i}") for i, x in enumerate(p)]
+        ).first()
         now = np.array([row[f"t{i}"] or 0.0 for i in range(len(p))])
         if target is None:
             if total is None:
                 total = max((n / s for n, s in zip(now, share, strict=True) if s > 0 and n > 0), default=0.0)
             target = np.where(now > 0, share * total, 0.0)  # a domain without tokens can't be filled
-        step = inverse @ (target - now)
-        if np.abs(step).max(initial=0.0) <= TOLERANCE:
+        gap = target - now
+        gradient = inverse @ gap
+        objective = float(gap @ gradient)
+        if before is not None and objective > before[0] and not plain:  # the long step went too far
+            r, plain = bounded(before[1] + p_step(inverse @ before[2])), True
+            continue
+        if np.abs(gradient).max(initial=0.0) <= TOLERANCE or (before is not None and objective > before[0] * (1 - TOLERANCE)):
             break
-        r = F.greatest(F.lit(float(least)), r + sum((x * float(s) for x, s in zip(p, step, strict=True)), F.lit(0.0)))
+        before, plain = (objective, r, gap), False
+        free = (F.col("r") > least) | (p_step(gradient) > 0)  # rows that the step may move
+        held = members.select("tokens", "post", r.alias("r")).where(free)
+        step = np.linalg.pinv(moments(held), rcond=1e-10, hermitian=True) @ gap
+        r = bounded(r + p_step(step))
     return r
 
 

@@ -128,7 +128,7 @@ class HashedModel:
             there, at = self.find(part, order)
             out[open_[there]] = weight[open_[there]] * self.prob[at[there]]
             open_, part = open_[~there], part[~there]
-            if order > 1 and len(open_):
+            if len(open_):
                 context, at = self.find(part // CLASSES, order - 1)
                 weight[open_[context]] *= self.backoff[at[context]]
         out[open_] = weight[open_] / CLASSES
@@ -152,7 +152,8 @@ def count_ngrams(texts: DataFrame) -> DataFrame:
 
 def kneser_ney(code: np.ndarray, n: np.ndarray) -> HashedModel:
     """Interpolated modified Kneser-Ney with three discounts per order, from full-order counts."""
-    keys, probs, backoffs = [], [], []
+    nothing = np.zeros(1, np.int64)  # the empty context
+    keys, probs, backoffs = [hashed(nothing, 0)], [np.full(1, 1 / CLASSES)], [(nothing,)]
     counts = {ORDER: (code.astype(np.int64), n.astype(np.int64))}
     for order in range(ORDER - 1, 0, -1):  # how many different classes stand before each lower n-gram
         higher = counts[order + 1][0][counts[order + 1][1] > 0]
@@ -170,13 +171,11 @@ def kneser_ney(code: np.ndarray, n: np.ndarray) -> HashedModel:
         cut[0] = 0.0
         discount = np.minimum(cut[np.minimum(times, 3)], times)
         context = grams // CLASSES
-        mass = np.bincount(context, weights=times.astype(float), minlength=CLASSES ** (order - 1))
-        left = np.bincount(context, weights=discount.astype(float), minlength=CLASSES ** (order - 1))
+        mass = np.bincount(context, weights=times, minlength=CLASSES ** (order - 1)).astype(float)
+        left = np.bincount(context, weights=discount, minlength=CLASSES ** (order - 1)).astype(float)
         share = np.divide(left, mass, out=np.ones_like(left), where=mass > 0)
         prob = (times - discount) / np.maximum(mass[context], 1) + share[context] * lower[grams % CLASSES ** max(order - 1, 1)]
-        if order > 1:  # what the contexts of this order leave to the lower one
-            known = backoffs[-1][0]
-            backoffs[-1] = share[known]
+        backoffs[-1] = share[backoffs[-1][0]]  # what the contexts of this order leave to the lower one
         keys.append(hashed(grams, order))
         probs.append(prob)
         backoffs.append((grams,))
