@@ -22,8 +22,9 @@ WEIGHTS = {"good": 0.8, "poor": 0.1, "toxic": 0.1}
 FEATURES = ("marks", "bars", "spaces", "lines", "size", "distinct", "shown")
 MARKERS = 64
 BROADCAST_LABELS = 1_000_000  # labelled ids (about 20 bytes each) that may be broadcast; more are joined by a shuffle
-STEPS = 40
-TOLERANCE = 1e-6
+STEPS = 30
+HALVINGS = 12
+TOLERANCE = 1e-9
 
 
 def label_domain(quality: Column, toxic: Column) -> Column:
@@ -119,54 +120,61 @@ def fit_rates(members: DataFrame, weights: dict[str, float], domains: tuple[str,
     """The rate of each row of ``members`` (tokens, post) as an expression over it.
 
     Targets are ``total`` tokens dealt by ``weights``; without a total it is the smallest at
-    which no domain has to shrink. A step takes two aggregates of one row each: the gap to the
-    targets, and the second moments of the rows that aren't held at ``least``, which scale the
-    gradient; rates below ``least`` are then set to it. A step that increases the squared gap
-    is taken again scaled by the moments of all rows, for which it never does. Steps end when
-    the gap or its improvement is within TOLERANCE.
+    which no domain has to shrink. A rate is 1 plus the gradient steps so far, weighted by the
+    row's posteriors, projected to ``least`` or above; this is the least change, in tokens,
+    that meets the targets. A step is one aggregate with one row, which gives the gap to the
+    targets and the second moments of the rows that aren't held at ``least``; these scale the
+    gradient. A step that does not lower the objective is halved. Where the targets can't be
+    met the steps end when they stop closing the gap.
     """
     p = [F.col("post")[i] for i in range(len(domains))]
-    r = F.lit(max(1.0, float(least)))
     share = np.array([weights.get(d, 0.0) for d in domains], float)
     share = share / share.sum()
     pairs = [(i, j) for i in range(len(p)) for j in range(i, len(p))]
 
-    def moments(rows: DataFrame) -> np.ndarray:
-        sums = rows.agg(*[F.sum(F.col("tokens") * p[i] * p[j]).alias(f"m{i}_{j}") for i, j in pairs]).first()
-        out = np.zeros((len(p), len(p)))
+    def wish(at: np.ndarray) -> Column:
+        return F.lit(1.0) + sum((x * float(v) for x, v in zip(p, at, strict=True)), F.lit(0.0))
+
+    def rate(at: np.ndarray) -> Column:
+        return F.greatest(F.lit(float(least)), wish(at))
+
+    def look(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """(tokens by domain, moments of the free rows, objective without the targets)."""
+        rows = members.select("tokens", "post", rate(at).alias("r"), wish(at).alias("w"))
+        live = F.when(F.col("w") >= least, F.col("tokens")).otherwise(0.0)
+        row = rows.agg(
+            F.sum(F.col("tokens") * F.col("r") * (F.col("w") - F.col("r") / 2)).alias("value"),
+            *[F.sum(F.col("r") * F.col("tokens") * x).alias(f"t{i}") for i, x in enumerate(p)],
+            *[F.sum(live * p[i] * p[j]).alias(f"m{i}_{j}") for i, j in pairs],
+        ).first()
+        moment = np.zeros((len(p), len(p)))
         for i, j in pairs:
-            out[i, j] = out[j, i] = sums[f"m{i}_{j}"] or 0.0
-        return out
-
-    inverse = np.linalg.pinv(moments(members), rcond=1e-10, hermitian=True)
-    p_step = lambda step: sum((x * float(v) for x, v in zip(p, step, strict=True)), F.lit(0.0))
-    bounded = lambda x: F.greatest(F.lit(float(least)), x)
-    target: np.ndarray | None = None
-    before: tuple[float, Column, np.ndarray] | None = None  # objective, rates and gap of the last step
-    plain = False
+            moment[i, j] = moment[j, i] = row[f"m{i}_{j}"] or 0.0
+        return np.array([row[f"t{i}"] or 0.0 for i in range(len(p))]), moment, float(row["value"] or 0.0)
+
+    at = np.zeros(len(p))
+    now, moment, value = look(at)
+    if total is None:
+        total = max((n / s for n, s in zip(now, share, strict=True) if s > 0 and n > 0), default=0.0)
+    target = np.where(now > 0, share * total, 0.0)  # a domain without tokens can't be filled
+    size = max(1.0, float(target.sum()))
     for _ in range(STEPS):
-        row = members.select("tokens", "post", r.alias("r")).agg(
-            *[F.sum(F.col("r") * F.col("tokens") * x).alias(f"t{i}") for i, x in enumerate(p)]
-        ).first()
-        now = np.array([row[f"t{i}"] or 0.0 for i in range(len(p))])
-        if target is None:
-            if total is None:
-                total = max((n / s for n, s in zip(now, share, strict=True) if s > 0 and n > 0), default=0.0)
-            target = np.where(now > 0, share * total, 0.0)  # a domain without tokens can't be filled
         gap = target - now
-        gradient = inverse @ gap
-        objective = float(gap @ gradient)
-        if before is not None and objective > before[0] and not plain:  # the long step went too far
-            r, plain = bounded(before[1] + p_step(inverse @ before[2])), True
-            continue
-        if np.abs(gradient).max(initial=0.0) <= TOLERANCE or (before is not None and objective > before[0] * (1 - TOLERANCE)):
+        if np.abs(gap).max(initial=0.0) <= TOLERANCE * size:
+            break
+        step, low = np.linalg.pinv(moment, rcond=1e-8, hermitian=True) @ gap, value - target @ at
+        for _ in range(HALVINGS):
+            then, moment_then, value_then = look(at + step)
+            if value_then - target @ (at + step) < low:
+                break
+            step = step / 2
+        else:
+            break
+        closed = np.abs(gap).sum() - np.abs(target - then).sum()
+        at, now, moment, value = at + step, then, moment_then, value_then
+        if abs(closed) <= TOLERANCE * size:
             break
-        before, plain = (objective, r, gap), False
-        free = (F.col("r") > least) | (p_step(gradient) > 0)  # rows that the step may move
-        held = members.select("tokens", "post", r.alias("r")).where(free)
-        step = np.linalg.pinv(moments(held), rcond=1e-10, hermitian=True) @ gap
-        r = bounded(r + p_step(step))
-    return r
+    return rate(at)
 
 
 def copies_of(rate: Column, *key: Column, seed: int = 7) -> Column:
