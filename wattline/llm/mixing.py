@@ -220,6 +220,6 @@ def mix(
     members = spool(posteriors(take(numbered, doc_id=doc_id, text=text, row=row), known), "posteriors")
     rate = fit_rates(members, weights or WEIGHTS, least=least)
     times = members.select(F.col("row").alias("_row"), copies_of(rate, F.col("doc_id"), F.col("row")).alias("_copies")).where("_copies > 0")
-    joined = numbered.join(times, numbered[row] == times["_row"])
+    joined = numbered.join(times.hint("merge"), numbered[row] == times["_row"])  # as many rows as documents: never broadcast
     kept = [numbered[c] for c in docs.columns]
     return joined.select(*kept, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))).alias(row)).select(*docs.columns)

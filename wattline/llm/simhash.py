@@ -180,4 +180,5 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius
         .agg(F.min("best").alias("best"))
         .select(F.col("best.row").alias("_stay"))
     )
-    return marked.join(stay, marked[row] == stay["_stay"], "left_semi").select(*[marked[c] for c in names])
+    # one row per component: the list grows with the documents, so it is never broadcast
+    return marked.join(stay.hint("merge"), marked[row] == stay["_stay"], "left_semi").select(*[marked[c] for c in names])

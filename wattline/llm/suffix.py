@@ -368,5 +368,5 @@ def without_repeats(docs: DataFrame, text: str = "text", group: int = GROUP) ->
     row = fresh(docs, "row")
     numbered = spool(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     cuts = removal(take(numbered, key=row, text=text), texts=True, group=group).select(F.col("key").alias("_cut_row"), F.col("kept_text").alias("_cut_text"))
-    joined = numbered.join(cuts, numbered[row] == cuts["_cut_row"])
+    joined = numbered.join(cuts.hint("merge"), numbered[row] == cuts["_cut_row"])
     return joined.select(*[cuts["_cut_text"].alias(c) if c == text else numbered[c] for c in docs.columns])
