@@ -107,6 +107,19 @@ def random_forest(spark, sf_dir):
     return _tree_metrics(spark, sf_dir, "random_forest")
 
 
+@query(
+    "ml_01_one_hot_many",
+    """SELECT l_orderkey AS k1, CAST(dense_rank() OVER (ORDER BY CAST(l_orderkey AS VARCHAR)) - 1 AS DOUBLE) AS slot,
+    (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS slots, count(*) AS "rows" FROM lineitem GROUP BY 1""",
+)
+def one_hot_many(spark, sf_dir):
+    # One slot per order: over 10,000 from sf0.01 on.
+    df = telemetry(spark, sf_dir).select("k1", F.col("k1").cast("string").alias("order"))
+    pre = fit_preprocessor(df, [], ["order"])
+    out = pre.transform(df).groupBy("k1", F.col("ix__order").alias("slot")).agg(F.count("*").alias("rows"))
+    return out.withColumn("slots", F.lit(len(pre.slots)).cast("bigint"))
+
+
 @query("ml_04_gradient_boosting")
 def gradient_boosting(spark, sf_dir):
     return _tree_metrics(spark, sf_dir, "gradient_boosting")

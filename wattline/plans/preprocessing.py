@@ -23,7 +23,6 @@ from wattline.operators.selection import medians
 from wattline.operators.wide import column_stats
 
 FEATURES = "features"
-MAX_CATEGORIES = 10_000
 
 
 @dataclass
@@ -51,18 +50,18 @@ def _number(value: float) -> str:
     return f"{value!r}D"
 
 
-def category_table(df: DataFrame, columns: Sequence[str], max_categories: int = MAX_CATEGORIES) -> dict[str, list[tuple[str, int]]]:
+def category_table(df: DataFrame, columns: Sequence[str], max_categories: int | None = None) -> dict[str, list[tuple[str, int]]]:
     """(value, count) of each text column, sorted by value.
 
-    One-hot needs a slot per value, so the number of values is checked first; a
-    column with more has to be excluded or grouped by the caller.
+    One-hot needs a slot and the indexer a label per value, and labels live on the
+    driver. ``max_categories`` makes a wider column an error that names it.
     """
     if not columns:
         return {}
     counts = value_counts(df, columns).persist()
     try:
         sizes = {r["feature"]: r["n"] for r in counts.groupBy("feature").agg(F.count("*").alias("n")).collect()}
-        wide = {c: n for c, n in sizes.items() if n > max_categories}
+        wide = {c: n for c, n in sizes.items() if max_categories is not None and n > max_categories}
         if wide:
             raise ValueError(f"Too many categories for one-hot (limit {max_categories}): {wide}. Exclude these columns.")
         out: dict[str, list[tuple[str, int]]] = {c: [] for c in columns}
@@ -90,7 +89,7 @@ def fit_preprocessor(
     numeric_columns: Sequence[str],
     categorical_columns: Sequence[str],
     exact: bool = True,
-    max_categories: int = MAX_CATEGORIES,
+    max_categories: int | None = None,
 ) -> Preprocessor:
     """Fit on a training table whose numeric columns are already numbers."""
     numbers = numeric_fit(df, list(numeric_columns), exact)
