@@ -148,13 +148,17 @@ def test_drift_with_bad_text_and_constant_reference(spark):
     assert "no_valid_numeric_values" in checks_found and "mean_shift_std" not in checks_found
 
 
-def test_truncated_categories_are_not_judged(spark):
+def test_truncated_categories_are_judged_with_their_table(spark):
     reference = spark.range(500).select(F.col("id").cast("string").alias("w"))
     profile = drift.reference_profile(reference, [], ["w"])
     row = profile.first()
     assert row["categories_truncated"] and len(row["categories"]) == 100 and len(row["top_values"]) == 20
-    report = drift.drift_report(profile, spark.createDataFrame([("new",)] * 30, "w string"))
-    assert report.where("check = 'unseen_category_share'").first()["severity"] == "ok"
+    new = spark.createDataFrame([("new",)] * 30 + [("499",)] * 10, "w string")
+    report = drift.drift_report(profile, new)
+    assert report.where("check = 'unseen_category_share'").first()["severity"] == "info"
+    judged = drift.drift_report(profile, new, categories=drift.value_counts(reference, ["w"]))
+    check = judged.where("check = 'unseen_category_share'").first()
+    assert (check["severity"], check["input_value"], check["reference_value"]) == ("warning", 0.75, 500.0)
     assert drift.unseen_values(spark.createDataFrame([("new",)], "w string"), profile).count() == 0
 
 

@@ -88,5 +88,7 @@ def read_trace_csv(spark: SparkSession, columns: Sequence[str], files: Sequence[
     )
     unquoted = F.regexp_replace(odd, '"[^"]*"', "")
     fields = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","), F.lit(""))) + 1
-    kept = df.where(F.col(odd).isNull() | (fields <= len(columns)))
+    # the reader wants another column besides the odd rows, also where only rows are counted
+    any_ = F.coalesce(F.length(F.col(f"`{columns[0]}`")), F.lit(0)) >= 0
+    kept = df.where(any_ & (F.col(odd).isNull() | (fields <= len(columns))))
     return kept.withColumn("source_file", F.regexp_replace("__file", r"\.[^.]*$", "")).drop(odd, "__file")
