@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattline.llm.common import fresh, take
+from wattline.llm.common import take
 from wattline.session import spool
 
 DOMAINS = ("good", "poor", "toxic")
@@ -75,29 +75,21 @@ def marker_words(labelled: DataFrame, most: int = MARKERS) -> list[str]:
     return [r["word"] for r in best.collect()]
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...] = DOMAINS) -> DataFrame:
-    """doc_id, row, tokens and ``post``, an array with the probability of each domain.
+def fit_classifier(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...] = DOMAINS) -> tuple[list[str], list[Column]]:
+    """(marker words, log score of each domain over FEATURES), fitted on the labelled rows.
 
-    ``docs`` has doc_id, text and row, ``labels`` doc_id and domain. Gaussian naive Bayes over
-    seven measures of the text, one of them the presence of marker words. Unlabelled domains
-    have posterior zero; without any label all domains are equally likely.
+    ``docs`` has doc_id and text, ``labels`` doc_id and domain. Gaussian naive Bayes over seven
+    measures of the text, one of them the presence of marker words. A domain without a label
+    can't be predicted; without any label all domains score the same.
     """
     known = labels.where(F.col("domain").isin(*domains)).groupBy("doc_id").agg(F.min("domain").alias("domain"))
     known = spool(known, "labels")
     few = known.count() <= BROADCAST_LABELS
-    labelled = docs.join(F.broadcast(known) if few else known, "doc_id").select("text", "domain")
-    markers = marker_words(_measured(labelled).select("domain", "vocabulary"))
-    measured = _measured(docs)
-    if markers:
-        shown = F.log1p(F.size(F.array_intersect("vocabulary", F.array(*map(F.lit, markers)))).cast("double"))
-    else:
-        shown = F.lit(0.0)
-    measured = spool(measured.withColumn("shown", shown).select("doc_id", "row", "tokens", *FEATURES), "measures")
+    labelled = _measured(docs.join(F.broadcast(known) if few else known, "doc_id").select("text", "domain"))
+    markers = marker_words(labelled.select("domain", "vocabulary"))
     moments = [f(F.col(c)).alias(f"{n}_{c}") for c in FEATURES for n, f in (("m", F.avg), ("v", F.var_pop))]
-    fitted = {
-        r["domain"]: r
-        for r in measured.join(known, "doc_id").groupBy("domain").agg(F.count("*").alias("n"), *moments).collect()
-    }
+    rows = labelled.withColumn("shown", _shown(markers)).groupBy("domain").agg(F.count("*").alias("n"), *moments).collect()
+    fitted = {r["domain"]: r for r in rows}  # one row per domain
     total = sum(r["n"] for r in fitted.values())
     scores = []
     for d in domains:
@@ -110,10 +102,21 @@ def posteriors(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...] = DO
             var = max(r[f"v_{c}"] or 0.0, 1e-4)
             terms.append(-((F.col(c) - F.lit(float(r[f"m_{c}"]))) ** 2) / (2 * var) - 0.5 * math.log(var))
         scores.append(sum(terms, F.lit(math.log(r["n"] / total))))
-    measured = measured.withColumn("s", F.array(*scores)).withColumn("top", F.array_max("s"))
-    measured = measured.withColumn("e", F.transform("s", lambda x: F.exp(x - F.col("top"))))
+    return markers, scores
+
+
+def _shown(markers: list[str]) -> Column:
+    if not markers:
+        return F.lit(0.0)
+    return F.log1p(F.size(F.array_intersect("vocabulary", F.array(*map(F.lit, markers)))).cast("double"))
+
+
+def posteriors(docs: DataFrame, markers: list[str], scores: list[Column], keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``docs``, tokens and ``post``, an array with the probability of each domain."""
+    rows = _measured(docs).withColumn("shown", _shown(markers)).select(*keep, "tokens", F.array(*scores).alias("s"))
+    rows = rows.withColumn("e", F.transform("s", lambda x: F.exp(x - F.array_max("s"))))
     norm = F.aggregate("e", F.lit(0.0), lambda acc, x: acc + x)
-    return measured.select("doc_id", "row", "tokens", F.transform("e", lambda x: x / norm).alias("post"))
+    return rows.select(*keep, "tokens", F.transform("e", lambda x: x / norm).alias("post"))
 
 
 def fit_rates(members: DataFrame, weights: dict[str, float], domains: tuple[str, ...] = DOMAINS, total: float | None = None, least: float = 0.0) -> Column:
@@ -183,11 +186,9 @@ def copies_of(rate: Column, *key: Column, seed: int = 7) -> Column:
     return (F.floor(rate) + (draw < rate - F.floor(rate)).cast("bigint")).cast("bigint")
 
 
-def _members(docs: DataFrame, labels: DataFrame, doc_id: str, text: str) -> DataFrame:
-    rows = take(docs, doc_id=doc_id, text=text).withColumn("row", F.monotonically_increasing_id())
+def _domains_of(labels: DataFrame) -> DataFrame:
     known = take(labels, doc_id="doc_id", quality="quality", toxic="toxic")
-    known = known.select("doc_id", label_domain(F.col("quality"), F.col("toxic")).alias("domain"))
-    return spool(posteriors(rows, known), "posteriors")
+    return known.select("doc_id", label_domain(F.col("quality"), F.col("toxic")).alias("domain"))
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -195,14 +196,16 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] |
 
     Tokens are words. A null or empty text has no tokens; its posterior is that of an empty
     text and its rate takes part in no total. Labels with a null quality or id teach nothing;
-    of several labels of an id the first domain by name counts. Extra columns are ignored.
+    of several labels of an id the first domain by name counts. Rows with one id and text get
+    the same draw. Extra columns are ignored.
     """
-    members = _members(docs, labels, doc_id, text)
-    rate = fit_rates(members, weights or WEIGHTS)
-    rated = members.withColumn("rate", rate)
+    rows = take(docs, doc_id=doc_id, text=text)
+    drawn = rows.withColumn("draw", F.xxhash64("doc_id", "text"))
+    members = spool(posteriors(drawn, *fit_classifier(rows, _domains_of(labels)), ["doc_id", "draw"]), "posteriors")
+    rated = members.withColumn("rate", fit_rates(members, weights or WEIGHTS))
     return rated.select(
         "doc_id", F.col("tokens").cast("bigint").alias("n_tokens"), *[F.col("post")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)],
-        "rate", copies_of(F.col("rate"), F.col("doc_id"), F.col("row")).alias("copies"),
+        "rate", copies_of(F.col("rate"), F.col("draw")).alias("copies"),
     )
 
 
@@ -211,15 +214,16 @@ def mix(
 ) -> DataFrame:
     """The rows of ``docs``, each as often as its rate says, with the columns of ``docs``.
 
-    With ``least`` 1 no row goes: targets are met as far as repeating rows can meet them.
+    With ``least`` 1 no row goes: targets are met as far as repeating rows can meet them. A
+    rate follows from the text alone, so the last pass computes it again beside the row and
+    nothing is joined.
     """
-    row = fresh(docs, "row")
-    numbered = spool(docs.withColumn(row, F.monotonically_increasing_id()), "mixing")
-    known = take(labels, doc_id="doc_id", quality="quality", toxic="toxic")
-    known = known.select("doc_id", label_domain(F.col("quality"), F.col("toxic")).alias("domain"))
-    members = spool(posteriors(take(numbered, doc_id=doc_id, text=text, row=row), known), "posteriors")
+    rows = take(docs, doc_id=doc_id, text=text)
+    markers, scores = fit_classifier(rows, _domains_of(labels))
+    members = spool(posteriors(rows, markers, scores, []), "posteriors")
     rate = fit_rates(members, weights or WEIGHTS, least=least)
-    times = members.select(F.col("row").alias("_row"), copies_of(rate, F.col("doc_id"), F.col("row")).alias("_copies")).where("_copies > 0")
-    joined = numbered.join(times.hint("merge"), numbered[row] == times["_row"])  # as many rows as documents: never broadcast
-    kept = [numbered[c] for c in docs.columns]
-    return joined.select(*kept, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))).alias(row)).select(*docs.columns)
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    again = posteriors(docs.select(whole, docs[doc_id].alias("doc_id"), docs[text].alias("text")), markers, scores, ["row", "doc_id", "text"])
+    times = copies_of(rate, F.xxhash64("doc_id", "text"))
+    copied = again.select("row", times.alias("n")).where("n > 0").select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))))
+    return copied.select("row.*")

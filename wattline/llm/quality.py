@@ -237,8 +237,10 @@ def measured(docs: DataFrame, text: str, name: str, model: HashedModel) -> DataF
     return docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField(name, _MEASURES, False)]))
 
 
-def base_failed(m: str) -> Column:
-    return (F.col(f"{m}.n_words") < MIN_WORDS) | (100 * F.col(f"{m}.n_repeat_words") > MAX_REPEAT_PCT * F.col(f"{m}.n_words"))
+def base_failed(of: str = "") -> Column:
+    """The base rules over the counts, which may be fields of a struct."""
+    few = F.col(f"{of}n_words") < MIN_WORDS
+    return few | (100 * F.col(f"{of}n_repeat_words") > MAX_REPEAT_PCT * F.col(f"{of}n_words"))
 
 
 def bands(scores: DataFrame) -> DataFrame:
@@ -263,24 +265,6 @@ def bands(scores: DataFrame) -> DataFrame:
     return by.select("lang", (q1 - reach).alias("low"), (q3 + BIN + reach).alias("high"))
 
 
-def judged(docs: DataFrame, text: str = "text", lang: str = "lang", name: str = "quality") -> DataFrame:
-    """``docs`` with a struct column ``name``: the counts, nats, low, high, base_failed, kept.
-
-    A null text has no words and fails the base rules. A text outside its language's band is
-    not kept. The verdict depends on text and language alone, so repeated rows agree.
-    """
-    model = fit_model(take(docs, text=text))
-    m, ok, low_name, high_name, key = (fresh(docs, x) for x in ("m", "failed", "low", "high", "band_lang"))
-    rows = spool(measured(docs, text, m, model).withColumn(ok, base_failed(m)), "quality")
-    passed = rows.where(~F.col(ok)).select(F.col(lang).alias("lang"), F.col(f"{m}.nats").alias("nats"))
-    limits = bands(passed).select(F.col("lang").alias(key), F.col("low").alias(low_name), F.col("high").alias(high_name))
-    nats, low, high = F.col(f"{m}.nats"), F.col(low_name), F.col(high_name)
-    kept = ~F.col(ok) & F.coalesce(nats.between(low, high), F.lit(False))
-    verdict = F.struct(f"{m}.*", low.alias("low"), high.alias("high"), F.col(ok).alias("base_failed"), kept.alias("kept"))
-    joined = rows.join(limits, rows[lang].eqNullSafe(limits[key]), "left")
-    return joined.select(*[rows[c] for c in docs.columns], verdict.alias(name))
-
-
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lang, nats_per_byte, low, high.
 
@@ -289,7 +273,7 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     """
     model = fit_model(take(docs, text=text))
     source = take(docs, doc_id=doc_id, text=text, lang=lang)
-    rows = spool(measured(source, "text", "m", model).select("doc_id", "lang", "m.*").withColumn("base_failed", base_failed_flat()), "quality")
+    rows = spool(measured(source, "text", "m", model).select("doc_id", "lang", "m.*").withColumn("base_failed", base_failed()), "quality")
     limits = bands(rows.where("not base_failed")).withColumnRenamed("lang", "band")
     kept = ~F.col("base_failed") & F.coalesce(F.col("nats").between(F.col("low"), F.col("high")), F.lit(False))
     return rows.join(limits, rows["lang"].eqNullSafe(limits["band"]), "left").select(
@@ -298,11 +282,17 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     )
 
 
-def base_failed_flat() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words"))
-
-
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with the columns of ``docs``."""
-    name = fresh(docs, "quality")
-    return judged(docs, text, lang, name).where(F.col(f"{name}.kept")).select(*docs.columns)
+    """The rows of ``docs`` that the rules keep, with the columns of ``docs``.
+
+    The verdict depends on text and language alone, so repeated rows agree. Texts are measured
+    a second time beside their rows, which is cheaper than to store or to shuffle them.
+    """
+    model = fit_model(take(docs, text=text))
+    m, low, high, key = (fresh(docs, x) for x in ("m", "low", "high", "band_lang"))
+    scores = measured(take(docs, text=text, lang=lang), "text", "m", model).where(~base_failed("m."))
+    limits = spool(bands(scores.select("lang", "m.nats")), "bands")
+    limits = limits.select(F.col("lang").alias(key), F.col("low").alias(low), F.col("high").alias(high))
+    rows = measured(docs, text, m, model).where(~base_failed(f"{m}."))
+    kept = rows.join(limits, rows[lang].eqNullSafe(limits[key])).where(F.col(f"{m}.nats").between(F.col(low), F.col(high)))
+    return kept.select(*[rows[c] for c in docs.columns])

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -165,20 +165,22 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius
     """The rows of ``docs`` less all but one of each near-duplicate component.
 
     The row with the smallest (doc_id, fingerprint, text digest) stays, nulls last; of rows
-    equal in these one stays. Columns are those of ``docs``.
+    with one id and text one stays. Columns are those of ``docs``.
     """
-    names = docs.columns
-    fp, row = fresh(docs, "fp"), fresh(docs, "row")
-    marked = spool(with_fingerprint(docs, text, fp).withColumn(row, F.monotonically_increasing_id()), "fingerprints")
-    prints = marked.select(F.col(fp).alias("fp"), F.col(row).alias("row"), marked[doc_id].alias("doc_id"), F.xxhash64(marked[text]).alias("digest"))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "fp", "digest", "row"))
-    prints = prints.groupBy("fp").agg(best.alias("best"))
+    k1, k2, nth = (fresh(docs, x) for x in ("k1", "k2", "nth"))
+    key = [F.xxhash64(F.lit(seed), doc_id, text) for seed in (1, 2)]  # 128 bits of id and text
+    rows = with_fingerprint(take(docs, doc_id=doc_id, text=text), "text", "fp")
+    rows = spool(rows.select("doc_id", "fp", *[F.xxhash64(F.lit(seed), "doc_id", "text").alias(c) for seed, c in ((1, "k1"), (2, "k2"))]), "fingerprints")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "fp", "k1", "k2"))
+    prints = rows.groupBy("fp").agg(best.alias("best"))
     roots = components(links(prints.select("fp"), radius))
     stay = (
         prints.join(roots, prints["fp"] == roots["node"], "left")
         .groupBy(F.coalesce("root", "fp").alias("root"))
         .agg(F.min("best").alias("best"))
-        .select(F.col("best.row").alias("_stay"))
+        .select(F.col("best.k1").alias(k1), F.col("best.k2").alias(k2))
     )
     # one row per component: the list grows with the documents, so it is never broadcast
-    return marked.join(stay.hint("merge"), marked[row] == stay["_stay"], "left_semi").select(*[marked[c] for c in names])
+    kept = docs.withColumns({k1: key[0], k2: key[1]}).join(stay.hint("merge"), [k1, k2], "left_semi")
+    one = Window.partitionBy(k1, k2).orderBy(F.xxhash64(*docs.columns))
+    return kept.withColumn(nth, F.row_number().over(one)).where(F.col(nth) == 1).select(*docs.columns)

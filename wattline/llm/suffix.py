@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from wattline.llm.common import fresh, parts_for, take, text_slices, texts_of
+from wattline.llm.common import parts_for, take, text_slices, texts_of
 from wattline.llm.induced import permuted_prefixes, suffix_array
 from wattline.session import spool
 
@@ -188,6 +189,11 @@ def _anchor_rows(texts: DataFrame) -> DataFrame:
 _MARKED = "text string, n_bytes bigint, sure array<bigint>, open array<struct<anchor:bigint,piece:bigint,start:bigint,size:int,at:int>>"
 
 
+def _keyed(rows: DataFrame, columns: str) -> T.StructType:
+    """A schema of the key, whatever its type, and ``columns``."""
+    return T.StructType([T.StructField("key", rows.schema["key"].dataType), *T.StructType.fromDDL(columns).fields])
+
+
 def _mark(joined: DataFrame) -> DataFrame:
     """Per text: spans surely repeated, and the pieces that the suffix arrays must decide."""
 
@@ -220,7 +226,7 @@ def _mark(joined: DataFrame) -> DataFrame:
                 names=["key", "text", "n_bytes", "sure", "open"],
             )
 
-    return joined.mapInArrow(rows, f"key {joined.schema[0].dataType.simpleString()}, {_MARKED}")
+    return joined.mapInArrow(rows, _keyed(joined, _MARKED))
 
 
 def _decide(pieces: DataFrame, parts: int) -> DataFrame:
@@ -320,8 +326,8 @@ def _finish(rows: DataFrame, texts: bool) -> DataFrame:
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
-    schema = f"key {rows.schema['key'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string"
-    return rows.select("key", "text", "sure", "runs").mapInArrow(remove, schema)
+    columns = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string"
+    return rows.select("key", "text", "sure", "runs").mapInArrow(remove, _keyed(rows, columns))
 
 
 def removal(keyed: DataFrame, texts: bool = False, group: int = GROUP) -> DataFrame:
@@ -364,9 +370,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def without_repeats(docs: DataFrame, text: str = "text", group: int = GROUP) -> DataFrame:
-    """The rows of ``docs`` with the repeated bytes cut from ``text``; other columns stay."""
-    row = fresh(docs, "row")
-    numbered = spool(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    cuts = removal(take(numbered, key=row, text=text), texts=True, group=group).select(F.col("key").alias("_cut_row"), F.col("kept_text").alias("_cut_text"))
-    joined = numbered.join(cuts.hint("merge"), numbered[row] == cuts["_cut_row"])
-    return joined.select(*[cuts["_cut_text"].alias(c) if c == text else numbered[c] for c in docs.columns])
+    """The rows of ``docs`` with the repeated bytes cut from ``text``; other columns stay.
+
+    A cut inside a character takes the rest of the character along.
+    """
+    others = [c for c in docs.columns if c != text]
+    key = F.struct(*[docs[c] for c in others]) if others else F.lit(0)
+    cuts = removal(docs.select(key.alias("key"), docs[text].alias("text")), texts=True, group=group)
+    return cuts.select(*[F.col("kept_text").alias(c) if c == text else F.col("key")[c].alias(c) for c in docs.columns])
