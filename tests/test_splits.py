@@ -48,7 +48,7 @@ def test_fallback_and_guard(telemetry):
     bare = telemetry.drop("timestamp", "session_id")
     for s in ("time", "grouped"):
         assert split(bare, s, 0.2).select("split_used").distinct().first()[0] == "random"
-    with pytest.raises(ValueError, match="Unsupported split"):
+    with pytest.raises(ValueError, match="No split"):
         split(telemetry, "magic")
 
 

@@ -71,7 +71,7 @@ def source_names() -> list[str]:
 def contract(source: str) -> SourceContract:
     """Contract of one source; an unknown name is an error."""
     if source not in _SOURCES:
-        raise ValueError(f"Unsupported source: {source}")
+        raise ValueError(f"No source is called '{source}'.")
     kind, text = _SOURCES[source]
     return SourceContract(source, kind, text)
 

@@ -44,7 +44,7 @@ def target_correlations(df: DataFrame, features: Sequence[str], target: str = TA
 def audit(df: DataFrame, target: str = TARGET) -> DataFrame:
     """Per numeric feature: correlation with the target and both leakage flags."""
     if target not in df.columns:
-        raise ValueError(f"Dataset audit requires '{target}'.")
+        raise ValueError(f"Without '{target}' there is nothing to audit against.")
     features = [c for c in numeric_columns(df) if c != target]
     if not features:
         raise ValueError("Dataset audit found no numeric feature.")

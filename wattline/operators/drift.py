@@ -262,7 +262,7 @@ def _not_numbers(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
 def schema_checks(df: DataFrame, features: Sequence[tuple[str, str]]) -> DataFrame:
     """Missing, non-numeric and extra columns of an input. ``features`` is (name, type)."""
     if df.isEmpty():
-        raise ValueError("No input rows provided.")
+        raise ValueError("The input to check has no rows.")
     return _check_table(df, _schema_rows(df, features, _not_numbers(df, _text_columns(df, features))))
 
 
@@ -335,7 +335,7 @@ def drift_report(
     parts = [_shaped(t, STATS_SCHEMA) for t in (total, _number_stats(df, judged), _text_stats(df, judged)) if t is not None]
     stats = {r["feature"]: r for r in reduce(DataFrame.unionByName, parts).collect()}
     if "__dataset__" not in stats:
-        raise ValueError("No input rows provided.")
+        raise ValueError("The input to check has no rows.")
     n = stats["__dataset__"]["rows"]
     cut = [r["feature"] for r in judged if r["feature_type"] == "categorical" and r["categories_truncated"]]
     unseen: dict[str, int] = {}

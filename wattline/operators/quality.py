@@ -45,10 +45,10 @@ def target_coverage(df: DataFrame, target: str = TARGET) -> DataFrame:
 def target_quality(df: DataFrame, target: str = TARGET, exact: bool = True) -> DataFrame:
     """One row of target statistics and the outlier-risk flag."""
     if target not in df.columns:
-        raise ValueError(f"Missing target column: {target}")
+        raise ValueError(f"The table has no '{target}' to summarise.")
     q = column_quantiles(df, [target], (0.5, 0.95, 0.99), exact).get(target)
     if q is None:
-        raise ValueError("Target column has no valid numeric values.")
+        raise ValueError("Not one target value is a number.")
     y = numeric(df, target)
     ratio = q[0.99] / max(q[0.5], 1e-9)
     return df.agg(

@@ -65,7 +65,7 @@ def grouped_split(df: DataFrame, test_size: float, seed: int, group: str = SESSI
 def split_used(columns: Sequence[str], strategy: str) -> str:
     """Strategy that will really run: time and grouped need their column, else random."""
     if strategy not in STRATEGIES:
-        raise ValueError(f"Unsupported split strategy: {strategy}")
+        raise ValueError(f"No split is called '{strategy}'.")
     if strategy == "time" and TIMESTAMP not in columns:
         return "random"
     if strategy == "grouped" and SESSION not in columns:

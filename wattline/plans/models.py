@@ -49,7 +49,7 @@ LINEAR_SOLVER = "normal"
 def make_regressor(name: str, width: int, params: Mapping[str, Any] | None = None, seed: int = 42):
     """An unfitted MLlib regressor by model name."""
     if name not in DEFAULT_PARAMS:
-        raise ValueError(f"Unknown model '{name}'. Available: {sorted(DEFAULT_PARAMS)}")
+        raise ValueError(f"No regressor is called '{name}'; choose from {', '.join(sorted(DEFAULT_PARAMS))}.")
     settings = {**DEFAULT_PARAMS[name], **(params or {})}
     base = {"featuresCol": FEATURES, "labelCol": TARGET, "predictionCol": PREDICTION}
     if name == "linear_regression":
@@ -102,7 +102,7 @@ def resolve_features(
 ) -> tuple[list[str], list[str]]:
     """(numeric, categorical) inputs, optionally limited to a selection."""
     if TARGET not in df.columns:
-        raise ValueError(f"Target column '{TARGET}' missing from dataset.")
+        raise ValueError(f"The table has no '{TARGET}' to learn.")
     numbers, texts = feature_columns(df, TARGET, [*exclude, TIMESTAMP])
     if selected:
         keep = set(selected)

@@ -30,7 +30,7 @@ def align(
 
 def require_rows(df: DataFrame) -> DataFrame:
     if df.isEmpty():
-        raise ValueError("No records provided for prediction.")
+        raise ValueError("There is nothing to predict: the input has no records.")
     return df
 
 

@@ -31,7 +31,7 @@ def read_telemetry(
     """
     contract(source)
     if not path:
-        raise ValueError(f"path is required when source='{source}'.")
+        raise ValueError(f"Source '{source}' needs the path of its data.")
     if source == "nrel_eagle":
         return read_long_csv(spark, path)
     if source == "bmcdata_public":
