@@ -23,8 +23,9 @@ FEATURES = ("marks", "bars", "spaces", "lines", "size", "distinct", "shown")
 MARKERS = 64
 BROADCAST_LABELS = 1_000_000  # labelled ids (about 20 bytes each) that may be broadcast; more are joined by a shuffle
 STEPS = 30
-HALVINGS = 12
-TOLERANCE = 1e-9
+HALVINGS = 8
+TOLERANCE = 1e-9  # of the targets' sum: a gap that counts as none
+GAIN = 1e-4  # of the targets' sum: what a step must close of the gap for another to follow
 
 
 def label_domain(quality: Column, toxic: Column) -> Column:
@@ -175,7 +176,7 @@ def fit_rates(members: DataFrame, weights: dict[str, float], domains: tuple[str,
             break
         closed = np.abs(gap).sum() - np.abs(target - then).sum()
         at, now, moment, value = at + step, then, moment_then, value_then
-        if abs(closed) <= TOLERANCE * size:
+        if closed <= GAIN * size:
             break
     return rate(at)
 
@@ -225,5 +226,6 @@ def mix(
     whole = F.struct(*[docs[c] for c in docs.columns]).alias("row")
     again = posteriors(docs.select(whole, docs[doc_id].alias("doc_id"), docs[text].alias("text")), markers, scores, ["row", "doc_id", "text"])
     times = copies_of(rate, F.xxhash64("doc_id", "text"))
-    copied = again.select("row", times.alias("n")).where("n > 0").select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))))
-    return copied.select("row.*")
+    # a filter on the copies would be pushed down and work the rate out twice; one on what explode_outer gives can't be
+    copied = again.select("row", F.explode_outer(F.array_repeat(F.lit(1), times.cast("int"))).alias("copy"))
+    return copied.where("copy is not null").select("row.*")
