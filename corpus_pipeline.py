@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wattline.llm import mixing, packing, quality, simhash, suffix
+from wattline.llm.common import importable
 from wattline.session import spool
 
 
@@ -50,6 +51,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``, each stored before the next reads it."""
+    importable(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = spool(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Word separators of every operator here: the ASCII white space, and nothing else.
@@ -15,6 +16,14 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 SLICE_BYTES = 4 << 20
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver did, as local mode needs; clusters install it."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def take(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names, so that extra columns can't clash."""
     return df.select(*[df[source].alias(name) for name, source in columns.items()])
