@@ -60,5 +60,18 @@ def test_packing_is_whole_and_without_conflicts(spark, monkeypatch):
         assert len(texts) == len(set(texts))
 
 
+def test_null_sources_and_wide_ids_leave_bins_tight(spark):
+    rnd = random.Random(3)
+    rows = [(2**60 + i, prose(rnd, rnd.randint(3, 90)), "en", f"s{i % 400}" if i % 50 else None, 0) for i in range(1200)]
+    rows.append((None, prose(rnd, 40), "en", None, 0))
+    got = packing.pack_documents(documents(spark, rows), capacity=2048).collect()
+    assert {r["doc_id"] for r in got} == {r[0] for r in rows}
+    order = sorted(rows, key=lambda r: -len(r[1]))
+    number = {s: i for i, s in enumerate({r[3] for r in rows} - {None})}
+    exact = packing.pack([len(r[1]) for r in order], [1 << number[r[3]] if r[3] else 0 for r in order], 2048)
+    bins = len({r["bin_id"] for r in got})
+    assert bins <= 1.05 * len({b for b, _ in exact}), (bins, len({b for b, _ in exact}))
+
+
 def test_empty_table(spark):
     assert packing.pack_documents(spark.createDataFrame([], DOCS)).collect() == []

@@ -8,9 +8,7 @@ none of the same duplicate cluster.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,8 +87,8 @@ def pack(sizes: list[int], bitmaps: list[int], capacity: int) -> list[tuple[int,
     return out
 
 
-def _bit(value: int | None, low: int) -> int:
-    return 0 if value is None or value != value else 1 << (low + int(value) % BITMAP)
+def _bit(number: int, low: int) -> int:
+    return 0 if number < 0 else 1 << (low + number)
 
 
 def pack_documents(
@@ -110,8 +108,9 @@ def pack_documents(
     rows = rows.select(
         "doc_id",
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("bytes"),
-        F.when(F.col("source").isNotNull(), F.xxhash64("source")).alias("source"),
-        cluster.alias("cluster"),
+        # Bit numbers, so that no null or wide integer has to reach Python.
+        F.when(F.col("source").isNull(), -1).otherwise(F.pmod(F.xxhash64("source"), F.lit(BITMAP))).cast("int").alias("source"),
+        F.pmod(cluster, F.lit(BITMAP)).cast("int").alias("cluster"),
         F.monotonically_increasing_id().alias("row"),
     )
     last = F.greatest(F.ceil(F.col("bytes") / capacity) - 1, F.lit(0))
@@ -125,17 +124,18 @@ def pack_documents(
     shards = parts_for(pieces.count(), SHARD_PIECES)
     dealt = pieces.where("n_tokens > 0").withColumn("shard", F.pmod(F.xxhash64("row", "piece"), F.lit(shards)))
 
-    def place(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["n_tokens", "row", "piece"], ascending=[False, True, True])
-        bits = [_bit(s, 0) | _bit(c, BITMAP) for s, c in zip(part["source"].astype("object"), part["cluster"], strict=True)]
-        where = pack(part["n_tokens"].tolist(), bits, capacity)
-        part["bin_id"] = [(int(key[0]) << 32) + b for b, _ in where]
-        part["bin_start"] = [s for _, s in where]
-        return part[["doc_id", "piece", "text_start", "n_tokens", "bin_id", "bin_start"]]
+    def place(key: tuple, part: pa.Table) -> pa.Table:  # Arrow keeps ids exact beside null ones
+        part = part.sort_by([("n_tokens", "descending"), ("row", "ascending"), ("piece", "ascending")])
+        pairs = zip(part["source"].to_pylist(), part["cluster"].to_pylist(), strict=True)
+        where = pack(part["n_tokens"].to_pylist(), [_bit(s, 0) | _bit(c, BITMAP) for s, c in pairs], capacity)
+        first = key[0].as_py() << 32
+        part = part.select(["doc_id", "piece", "text_start", "n_tokens"])
+        part = part.append_column("bin_id", pa.array([first + b for b, _ in where], pa.int64()))
+        return part.append_column("bin_start", pa.array([s for _, s in where], pa.int64()))
 
     kind = dealt.schema["doc_id"].dataType.simpleString()
     columns = f"doc_id {kind}, piece bigint, text_start bigint, n_tokens bigint, bin_id bigint, bin_start bigint"
-    packed = dealt.select("shard", "doc_id", "row", "source", "cluster", "piece", "text_start", "n_tokens").groupBy("shard").applyInPandas(place, columns)
+    packed = dealt.select("shard", "doc_id", "row", "source", "cluster", "piece", "text_start", "n_tokens").groupBy("shard").applyInArrow(place, columns)
     empty = pieces.where("n_tokens = 0").select(
         "doc_id", "piece", "text_start", "n_tokens", F.lit(None).cast("bigint").alias("bin_id"), F.lit(None).cast("bigint").alias("bin_start")
     )
