@@ -107,6 +107,30 @@ def test_bands_are_tukey_fences_by_language(spark):
     assert abs(got["b"][1] - (q3 + 3 * (q3 - q1))) < 0.02  # a rare language has the band of all
 
 
+def test_rare_languages_have_bands_of_their_own_at_every_size(spark):
+    rnd = np.random.default_rng(2)
+    many = [("en", float(x)) for x in rnd.normal(2, 0.1, 2000)]
+    rare = [("xx", float(x)) for x in rnd.normal(3.5, 0.1, 100)]
+
+    def of(n):
+        scores = spark.createDataFrame([*many, *rare[:n]], "lang string, nats double")
+        return {r["lang"]: (r["low"], r["high"]) for r in quality.language_bands(scores).collect()}["xx"]
+
+    for n in (1, 3, 30, 99):
+        low, high = of(n)
+        assert all(low <= x <= high for _, x in rare[:n]) and low > 2.2
+    assert np.allclose(of(99), of(100), atol=0.02)
+
+
+def test_clean_texts_of_a_rare_language_are_kept(spark):
+    rnd = random.Random(6)
+    rows = [(i, prose(rnd, 90), "en", "s", 0) for i in range(600)]
+    letters = str.maketrans("aeinorstu", "äëïñöřßţü")
+    rows += [(1000 + i, prose(rnd, 90, seed=2).translate(letters), "xx", "s", 0) for i in range(40)]
+    kept = {r["doc_id"] for r in quality.keep_good(documents(spark, rows)).collect()}
+    assert len([i for i in kept if i >= 1000]) >= 39
+
+
 def test_keep_good_returns_whole_rows(spark):
     rows = sample()
     docs = documents(spark, rows, clashing=True)

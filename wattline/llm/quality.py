@@ -31,8 +31,10 @@ SYMBOLS = "#*$%&|<>"
 BIN = 0.002
 REACH = 3.0
 FLOOR = 0.05
-# The quartiles of a language need this many documents; rarer ones use the band of all.
+# The quartiles of a language need this many documents in bands(); rarer ones use the band of all.
 LEAST_DOCS = 100
+# The pooled interquartile range counts as much as this many documents of a language.
+PRIOR_DOCS = 20
 
 
 def _fold_table() -> np.ndarray:
@@ -243,28 +245,51 @@ def base_failed(of: str = "") -> Column:
     return few | (100 * F.col(f"{of}n_repeat_words") > MAX_REPEAT_PCT * F.col(f"{of}n_words"))
 
 
+def _quartiles(bins: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, q1, q3, docs) in bins, from columns keys, bin and n."""
+    every = Window.partitionBy(*keys)
+    running = bins.withColumn("upto", F.sum("n").over(every.orderBy("bin"))).withColumn("docs", F.sum("n").over(every))
+    at = [F.min(F.when(F.col("upto") >= F.col("docs") * q, F.col("bin"))).alias(c) for q, c in ((0.25, "q1"), (0.75, "q3"))]
+    return running.groupBy(*keys).agg(*at, F.max("docs").alias("docs"))
+
+
+def _binned(scores: DataFrame) -> DataFrame:
+    return scores.groupBy("lang", F.floor(F.col("nats") / BIN).alias("bin")).agg(F.count("*").alias("n"))
+
+
 def bands(scores: DataFrame) -> DataFrame:
-    """(lang, low, high) in nats per byte from columns lang and nats.
+    """(lang, low, high) in nats per byte from columns lang and nats, with the band of all for rare languages.
 
     Exact quartiles of binned scores. A null ``lang`` is a language of its own. The band of a
-    language with fewer than LEAST_DOCS scores is that of all languages together.
+    language with fewer than LEAST_DOCS scores is that of all languages together. The operators
+    use ``language_bands``, which has no such switch.
     """
-    bins = scores.groupBy("lang", F.floor(F.col("nats") / BIN).alias("bin")).agg(F.count("*").alias("n"))
+    bins = _binned(scores)
     every = bins.groupBy("bin").agg(F.sum("n").alias("n"))
-
-    def quartiles(of: DataFrame, keys: list[str]) -> DataFrame:
-        upto = Window.partitionBy(*keys).orderBy("bin")
-        running = of.withColumn("upto", F.sum("n").over(upto)).withColumn("docs", F.sum("n").over(Window.partitionBy(*keys)))
-        at = [F.min(F.when(F.col("upto") >= F.col("docs") * q, F.col("bin"))).alias(c) for q, c in ((0.25, "q1"), (0.75, "q3"))]
-        return running.groupBy(*keys).agg(*at, F.max("docs").alias("docs"))
-
-    one = quartiles(every.withColumn("all", F.lit(1)), ["all"]).select("all", F.col("q1").alias("a1"), F.col("q3").alias("a3"))
-    by = quartiles(bins, ["lang"]).withColumn("all", F.lit(1)).join(one, "all")
+    one = _quartiles(every.withColumn("all", F.lit(1)), ["all"]).select("all", F.col("q1").alias("a1"), F.col("q3").alias("a3"))
+    by = _quartiles(bins, ["lang"]).withColumn("all", F.lit(1)).join(one, "all")
     q1, q3 = (F.when(F.col("docs") >= LEAST_DOCS, F.col(x)).otherwise(F.col(y)) * F.lit(BIN) for x, y in (("q1", "a1"), ("q3", "a3")))
     reach = F.greatest(REACH * (q3 + BIN - q1), F.lit(FLOOR))
     return by.select("lang", (q1 - reach).alias("low"), (q3 + BIN + reach).alias("high"))
 
 
+def language_bands(scores: DataFrame) -> DataFrame:
+    """(lang, low, high) from columns lang and nats: every language around its own quartiles.
+
+    Exact quartiles of binned scores. A null ``lang`` is a language of its own. The range between
+    the quartiles is drawn towards the pooled one of all languages, by PRIOR_DOCS against the
+    documents less one, so no size switches the rule. Up to three documents of a language lie
+    within their quartiles and are kept.
+    """
+    by = _quartiles(_binned(scores), ["lang"]).select("lang", "q1", "q3", (F.col("q3") - F.col("q1")).alias("own"), (F.col("docs") - 1).alias("free"))
+    pooled = by.agg((F.sum(F.col("own") * F.col("free")) / F.greatest(F.sum("free"), F.lit(1))).alias("pooled"))
+    spread = (F.col("own") * F.col("free") + F.col("pooled") * PRIOR_DOCS) / (F.col("free") + PRIOR_DOCS)
+    reach = F.greatest(REACH * (spread + 1) * BIN, F.lit(FLOOR))
+    return by.crossJoin(F.broadcast(pooled)).select(
+        "lang", (F.col("q1") * BIN - reach).alias("low"), ((F.col("q3") + 1) * BIN + reach).alias("high")
+    )
+
+
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lang, nats_per_byte, low, high.
 
@@ -274,7 +299,7 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     model = fit_model(take(docs, text=text))
     source = take(docs, doc_id=doc_id, text=text, lang=lang)
     rows = spool(measured(source, "text", "m", model).select("doc_id", "lang", "m.*").withColumn("base_failed", base_failed()), "quality")
-    limits = bands(rows.where("not base_failed")).withColumnRenamed("lang", "band")
+    limits = language_bands(rows.where("not base_failed")).withColumnRenamed("lang", "band")
     kept = ~F.col("base_failed") & F.coalesce(F.col("nats").between(F.col("low"), F.col("high")), F.lit(False))
     return rows.join(limits, rows["lang"].eqNullSafe(limits["band"]), "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -291,7 +316,7 @@ def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFr
     model = fit_model(take(docs, text=text))
     m, low, high, key = (fresh(docs, x) for x in ("m", "low", "high", "band_lang"))
     scores = measured(take(docs, text=text, lang=lang), "text", "m", model).where(~base_failed("m."))
-    limits = spool(bands(scores.select("lang", "m.nats")), "bands")
+    limits = spool(language_bands(scores.select("lang", "m.nats")), "bands")
     limits = limits.select(F.col("lang").alias(key), F.col("low").alias(low), F.col("high").alias(high))
     rows = measured(docs, text, m, model).where(~base_failed(f"{m}."))
     kept = rows.join(limits, rows[lang].eqNullSafe(limits[key])).where(F.col(f"{m}.nats").between(F.col(low), F.col(high)))
