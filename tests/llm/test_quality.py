@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from helpers import DOCS, documents, edge_docs, prose
 
-from wattline.llm import quality
+from wattline.llm import points, quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -131,6 +131,49 @@ def test_clean_texts_of_a_rare_language_are_kept(spark):
     assert len([i for i in kept if i >= 1000]) >= 39
 
 
+def test_point_scores_match_brute_force(spark):
+    texts = [r[1] for r in sample()[-60:]] + ["ÀÉ ñ 中文", "", None, "a"]
+    got = points.point_scores(spark.createDataFrame(list(enumerate(texts)), "i long, text string"), "text", "nats")
+    n = Counter()
+    marked = [[-1] * 3 + points.points((t or "").encode()).tolist() + [-2] for t in texts]
+    for t in marked:
+        n[()] += len(t) - 3
+        n.update(tuple(t[i + 1 - k : i + 1]) for i in range(2, len(t)) for k in range(1, 5) if k <= i + 1)
+    for r in got.collect():
+        if not texts[r["i"]]:
+            assert r["nats"] is None
+            continue
+        t, total = marked[r["i"]], 0.0
+        for i in range(3, len(t)):
+            p = 1 / 0x110002
+            for k in range(1, 5):
+                gram = tuple(t[i + 1 - k : i + 1])
+                p = (n[gram] - 1 + 5 * p) / (n[gram[:-1]] - 1 + 5)
+            total -= math.log(p)
+        assert abs(r["nats"] - total / (len(t) - 3)) < 1e-6
+
+
+def test_scrambled_words_without_latin_letters_are_rejected(spark):
+    rnd = random.Random(9)
+    script = str.maketrans("abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщ")
+    rows = [(i, prose(rnd, 90).translate(script), "ru", "s", 0) for i in range(300)]
+    for i in range(10):  # the same word lengths, spaces and marks, so the same byte classes
+        text = prose(rnd, 90).translate(script)
+        rows.append((1000 + i, "".join(chr(rnd.randrange(0x430, 0x44A)) if c.isalpha() else c for c in text), "ru", "s", 0))
+    kept = {r["doc_id"] for r in quality.keep_good(documents(spark, rows)).collect()}
+    assert not [i for i in kept if i >= 1000] and len(kept) >= 297
+
+
+def test_copies_of_a_clean_text_are_left_to_the_duplicate_stage(spark):
+    rnd = random.Random(12)
+    rows = [(i, prose(rnd, 90, vocabulary=3000), "en", "s", 0) for i in range(300)]
+    rows += [(1000 + i, rows[5][1], "en", "s", 0) for i in range(60)]
+    got = quality._judged(quality._scored(documents(spark, rows).select("doc_id", "text", "lang"), "text")).collect()
+    for r in got:
+        if r["doc_id"] >= 1000 and r["low"] <= r["nats"] <= r["high"]:
+            assert r["kept"]
+
+
 def test_keep_good_returns_whole_rows(spark):
     rows = sample()
     docs = documents(spark, rows, clashing=True)

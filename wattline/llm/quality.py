@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattline.llm.common import fresh, take, text_slices, texts_of
+from wattline.llm.points import point_scores
 from wattline.session import spool
 
 CLASSES = 32
@@ -290,34 +291,53 @@ def language_bands(scores: DataFrame) -> DataFrame:
     )
 
 
+def _scored(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` without the text: the base counts, nats, base_failed, and nats_per_point."""
+    model = fit_model(take(docs, text=text))
+    rows = measured(docs, text, "m", model).select(*docs.columns, "m.*").withColumn("base_failed", base_failed())
+    return spool(point_scores(rows, text, "nats_per_point"), "quality")
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    """``rows`` of _scored with low, high, point_high and kept.
+
+    The growing model finds a text with many copies easy, which is no fault of it: only its upper limit counts.
+    """
+    good = rows.where("not base_failed")
+    byte = language_bands(good.select("lang", "nats")).withColumnRenamed("lang", "band")
+    point = language_bands(good.select("lang", F.col("nats_per_point").alias("nats")))
+    point = point.select(F.col("lang").alias("point_band"), F.col("high").alias("point_high"))
+    out = rows.join(byte, rows["lang"].eqNullSafe(F.col("band")), "left").join(point, rows["lang"].eqNullSafe(F.col("point_band")), "left")
+    inside = F.col("nats").between(F.col("low"), F.col("high")) & (F.col("nats_per_point") <= F.col("point_high"))
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
+
+
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lang, nats_per_byte, low, high.
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lang, nats_per_byte, low, high,
+    nats_per_point, point_high.
 
-    One row per row of ``docs``; extra columns are ignored. nats_per_byte is null for an empty
-    text, low and high are null for a language without a document that passes the base rules.
+    One row per row of ``docs``; extra columns are ignored. A document is kept that passes the
+    base rules and lies within its language's band of nats per byte, under the model of byte
+    classes, and not above that of nats per code point, under the model of ``points``. Both scores are null for an empty
+    text, the limits are null for a language without a document that passes the base rules.
     """
-    model = fit_model(take(docs, text=text))
-    source = take(docs, doc_id=doc_id, text=text, lang=lang)
-    rows = spool(measured(source, "text", "m", model).select("doc_id", "lang", "m.*").withColumn("base_failed", base_failed()), "quality")
-    limits = language_bands(rows.where("not base_failed")).withColumnRenamed("lang", "band")
-    kept = ~F.col("base_failed") & F.coalesce(F.col("nats").between(F.col("low"), F.col("high")), F.lit(False))
-    return rows.join(limits, rows["lang"].eqNullSafe(limits["band"]), "left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "base_failed", kept.alias("kept"), "lang", F.col("nats").alias("nats_per_byte"), "low", "high",
+    rows = _judged(_scored(take(docs, doc_id=doc_id, text=text, lang=lang), "text"))
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang",
+        F.col("nats").alias("nats_per_byte"), "low", "high", "nats_per_point", "point_high",
     )
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns of ``docs``.
 
-    The verdict depends on text and language alone, so repeated rows agree. Texts are measured
-    a second time beside their rows, which is cheaper than to store or to shuffle them.
+    The verdict depends on text and language alone, so rows are found again by their text's
+    digest among the rejected ones, which is cheaper than to store texts.
     """
-    model = fit_model(take(docs, text=text))
-    m, low, high, key = (fresh(docs, x) for x in ("m", "low", "high", "band_lang"))
-    scores = measured(take(docs, text=text, lang=lang), "text", "m", model).where(~base_failed("m."))
-    limits = spool(language_bands(scores.select("lang", "m.nats")), "bands")
-    limits = limits.select(F.col("lang").alias(key), F.col("low").alias(low), F.col("high").alias(high))
-    rows = measured(docs, text, m, model).where(~base_failed(f"{m}."))
-    kept = rows.join(limits, rows[lang].eqNullSafe(limits[key])).where(F.col(f"{m}.nats").between(F.col(low), F.col(high)))
-    return kept.select(*[rows[c] for c in docs.columns])
+    digest, key, band = (fresh(docs, x) for x in ("digest", "rejected", "rejected_lang"))
+    of = lambda c: F.unhex(F.md5(F.coalesce(c, F.lit("")).cast("binary")))
+    source = take(docs, text=text, lang=lang).withColumn("digest", of(F.col("text")))
+    bad = _judged(_scored(source, "text")).where("not kept").select(F.col("digest").alias(key), F.col("lang").alias(band)).distinct()
+    bad = spool(bad, "rejected")
+    rows = docs.withColumn(digest, of(F.col(text)))
+    return rows.join(bad, (F.col(digest) == F.col(key)) & rows[lang].eqNullSafe(F.col(band)), "left_anti").select(*docs.columns)
