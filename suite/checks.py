@@ -250,11 +250,9 @@ def missing_categorical(spark, sf_dir):
 
 _UNSEEN_SQL = " UNION ALL ".join(
     f"""SELECT '{c}' AS feature, 'categorical' AS feature_type, 'unseen_category_share' AS "check",
-    CAST(least((SELECT count(DISTINCT {c}) FROM reference), 100) AS DOUBLE) AS reference_value,
-    round(CASE WHEN (SELECT count(DISTINCT {c}) FROM reference) > 100 THEN 0.0 ELSE avg(CASE WHEN {c} IN (SELECT {c} FROM reference) THEN 0.0 ELSE 1.0 END) END, 6) AS input_value,
-    0.2::DOUBLE AS threshold,
-    CASE WHEN (SELECT count(DISTINCT {c}) FROM reference) <= 100 AND avg(CASE WHEN {c} IN (SELECT {c} FROM reference) THEN 0.0 ELSE 1.0 END) > 0.2
-      THEN 'warning' ELSE 'ok' END AS severity FROM input"""
+    CAST((SELECT count(DISTINCT {c}) FROM reference) AS DOUBLE) AS reference_value,
+    round(avg(CASE WHEN {c} IN (SELECT {c} FROM reference) THEN 0.0 ELSE 1.0 END), 6) AS input_value, 0.2::DOUBLE AS threshold,
+    {_state(f'avg(CASE WHEN {c} IN (SELECT {c} FROM reference) THEN 0.0 ELSE 1.0 END) > 0.2')} AS severity FROM input"""
     for c in _TEXT
 )
 
