@@ -40,6 +40,15 @@ def test_every_stage_works_on_what_the_last_kept(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == packed.count()
 
 
+def test_column_names_with_dots_and_back_ticks(spark, tmp_path):
+    docs = documents(spark, sample()[0]).withColumnsRenamed({"n_chars": "n.chars"}).selectExpr("*", "source as `a``b.c d`")
+    labels = [(100 + i, i % 2, 0) for i in range(60)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.count() > 0
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")

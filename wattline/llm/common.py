@@ -26,7 +26,17 @@ def importable(spark: SparkSession) -> None:
 
 def take(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names, so that extra columns can't clash."""
-    return df.select(*[df[source].alias(name) for name, source in columns.items()])
+    return df.select(*[F.col(quoted(source)).alias(name) for name, source in columns.items()])
+
+
+def quoted(name: str) -> str:
+    """A column name that is read literally, with its dots and back ticks."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """Every column of ``df`` under its own name, whatever characters the name has."""
+    return [F.col(quoted(c)) for c in df.columns]
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -39,7 +49,7 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def text_bytes(df: DataFrame, column: str) -> int:
     """UTF-8 bytes of a text column, to size partitions by."""
-    return int(df.agg(F.sum(F.octet_length(df[column])).alias("n")).first()["n"] or 0)
+    return int(df.agg(F.sum(F.octet_length(F.col(quoted(column)))).alias("n")).first()["n"] or 0)
 
 
 def parts_for(n_bytes: int, each: int, least: int = 1) -> int:

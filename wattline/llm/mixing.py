@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattline.llm.common import take
+from wattline.llm.common import columns_of, quoted, take
 from wattline.session import spool
 
 DOMAINS = ("good", "poor", "toxic")
@@ -223,8 +223,8 @@ def mix(
     markers, scores = fit_classifier(rows, _domains_of(labels))
     members = spool(posteriors(rows, markers, scores, []), "posteriors")
     rate = fit_rates(members, weights or WEIGHTS, least=least)
-    whole = F.struct(*[docs[c] for c in docs.columns]).alias("row")
-    again = posteriors(docs.select(whole, docs[doc_id].alias("doc_id"), docs[text].alias("text")), markers, scores, ["row", "doc_id", "text"])
+    whole = F.struct(*columns_of(docs)).alias("row")
+    again = posteriors(docs.select(whole, F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).alias("text")), markers, scores, ["row", "doc_id", "text"])
     times = copies_of(rate, F.xxhash64("doc_id", "text"))
     # a filter on the copies would be pushed down and work the rate out twice; one on what explode_outer gives can't be
     copied = again.select("row", F.explode_outer(F.array_repeat(F.lit(1), times.cast("int"))).alias("copy"))

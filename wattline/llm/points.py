@@ -18,15 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattline.llm.backoff import _mix, _packed, _ranges, _unpacked
-from wattline.llm.common import parts_for, text_bytes, texts_of
+from wattline.llm.common import parts_for, texts_of
 
 ORDER = 4
 SMOOTHING = 5.0  # weight of the order below in a context, in occurrences
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 RANGE_BYTES = 16 << 20  # text per hash range of n-grams
 _START, _END = 0x110000, 0x110001
 _POINTS = 0x110002
-_DENSE = 1 << 25  # pairs of numbers up to here are numbered by a table, others by a sort
+_DENSE = 1 << 23  # pairs of numbers up to here are numbered by a table, others by a sort
 _EMPTY = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -94,9 +94,12 @@ class Block:
         return (-np.add.reduceat(np.log(prob), np.cumsum(self.sizes) - self.sizes) / self.sizes).round(9)
 
 
-def point_scores(rows: DataFrame, text: str, name: str) -> DataFrame:
-    """``rows`` with their score in nats per code point, null for a null or empty text, in place of the text."""
-    size = text_bytes(rows, text)
+def point_scores(rows: DataFrame, text: str, name: str, size: int) -> DataFrame:
+    """``rows`` with their score in nats per code point, null for a null or empty text, in place of the text.
+
+    ``size`` is the bytes of all texts. A block sends a row only to the ranges it has n-grams
+    of, so the rows exchanged are at most the n-grams of all blocks.
+    """
     blocks, ranges = parts_for(size, BLOCK_BYTES), parts_for(size, RANGE_BYTES)
     spread = F.pmod(F.xxhash64(text, F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
     dealt = rows.withColumn(name, spread)
@@ -107,11 +110,12 @@ def point_scores(rows: DataFrame, text: str, name: str) -> DataFrame:
     def ask(table: pa.Table) -> pa.Table:
         block = Block(texts_in(table))
         cut = _ranges(block.keys, ranges)
-        parts = [slice(cut[r], cut[r + 1]) for r in range(ranges)]
+        there = np.flatnonzero(np.diff(cut)).tolist()
+        parts = [slice(cut[r], cut[r + 1]) for r in there]
         return pa.table(
             {
-                "block": pa.array([table[name][0].as_py()] * ranges, pa.int32()),
-                "range": pa.array(range(ranges), pa.int32()),
+                "block": pa.array([table[name][0].as_py()] * len(there), pa.int32()),
+                "range": pa.array(there, pa.int32()),
                 "keys": pa.array([_packed(np.diff(block.keys[p], prepend=np.uint64(0))) for p in parts], pa.binary()),
                 "n": pa.array([_packed(block.counts[p]) for p in parts], pa.binary()),
             }

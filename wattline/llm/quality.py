@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattline.llm.common import fresh, take, text_slices, texts_of
+from wattline.llm.common import columns_of, fresh, quoted, take, text_bytes, text_slices, texts_of
 from wattline.llm.points import point_scores
 from wattline.session import spool
 
@@ -32,8 +32,6 @@ SYMBOLS = "#*$%&|<>"
 BIN = 0.002
 REACH = 3.0
 FLOOR = 0.05
-# The quartiles of a language need this many documents in bands(); rarer ones use the band of all.
-LEAST_DOCS = 100
 # The pooled interquartile range counts as much as this many documents of a language.
 PRIOR_DOCS = 20
 
@@ -214,15 +212,13 @@ _MEASURES = T.StructType(
 def measured(docs: DataFrame, text: str, name: str, model: HashedModel) -> DataFrame:
     """``docs`` with a struct of the base counts and the mean negative log probability per byte."""
     spark: SparkSession = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.keys, model.prob, model.backoff))
+    shared = spark.sparkContext.broadcast(model.log_prob(np.arange(CLASSES**ORDER)))  # 8 MB, made once
     at = docs.columns.index(text)
     fields = _MEASURES.names
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = None
+        table = shared.value
         for batch in text_slices(batches, at):
-            if table is None:
-                table = HashedModel(*shared.value).log_prob(np.arange(CLASSES**ORDER))
             rows = []
             for raw in texts_of(batch.column(at)):
                 raw = raw or b""
@@ -258,22 +254,6 @@ def _binned(scores: DataFrame) -> DataFrame:
     return scores.groupBy("lang", F.floor(F.col("nats") / BIN).alias("bin")).agg(F.count("*").alias("n"))
 
 
-def bands(scores: DataFrame) -> DataFrame:
-    """(lang, low, high) in nats per byte from columns lang and nats, with the band of all for rare languages.
-
-    Exact quartiles of binned scores. A null ``lang`` is a language of its own. The band of a
-    language with fewer than LEAST_DOCS scores is that of all languages together. The operators
-    use ``language_bands``, which has no such switch.
-    """
-    bins = _binned(scores)
-    every = bins.groupBy("bin").agg(F.sum("n").alias("n"))
-    one = _quartiles(every.withColumn("all", F.lit(1)), ["all"]).select("all", F.col("q1").alias("a1"), F.col("q3").alias("a3"))
-    by = _quartiles(bins, ["lang"]).withColumn("all", F.lit(1)).join(one, "all")
-    q1, q3 = (F.when(F.col("docs") >= LEAST_DOCS, F.col(x)).otherwise(F.col(y)) * F.lit(BIN) for x, y in (("q1", "a1"), ("q3", "a3")))
-    reach = F.greatest(REACH * (q3 + BIN - q1), F.lit(FLOOR))
-    return by.select("lang", (q1 - reach).alias("low"), (q3 + BIN + reach).alias("high"))
-
-
 def language_bands(scores: DataFrame) -> DataFrame:
     """(lang, low, high) from columns lang and nats: every language around its own quartiles.
 
@@ -294,8 +274,9 @@ def language_bands(scores: DataFrame) -> DataFrame:
 def _scored(docs: DataFrame, text: str) -> DataFrame:
     """``docs`` without the text: the base counts, nats, base_failed, and nats_per_point."""
     model = fit_model(take(docs, text=text))
+    size = text_bytes(docs, text)  # of docs itself: measured rows would be measured once more
     rows = measured(docs, text, "m", model).select(*docs.columns, "m.*").withColumn("base_failed", base_failed())
-    return spool(point_scores(rows, text, "nats_per_point"), "quality")
+    return spool(point_scores(rows, text, "nats_per_point", size), "quality")
 
 
 def _judged(rows: DataFrame) -> DataFrame:
@@ -339,5 +320,6 @@ def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFr
     source = take(docs, text=text, lang=lang).withColumn("digest", of(F.col("text")))
     bad = _judged(_scored(source, "text")).where("not kept").select(F.col("digest").alias(key), F.col("lang").alias(band)).distinct()
     bad = spool(bad, "rejected")
-    rows = docs.withColumn(digest, of(F.col(text)))
-    return rows.join(bad, (F.col(digest) == F.col(key)) & rows[lang].eqNullSafe(F.col(band)), "left_anti").select(*docs.columns)
+    rows = docs.withColumn(digest, of(F.col(quoted(text))))
+    rejected = (F.col(digest) == F.col(key)) & F.col(quoted(lang)).eqNullSafe(F.col(band))
+    return rows.join(bad, rejected, "left_anti").select(*columns_of(docs))

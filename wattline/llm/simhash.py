@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattline.llm.common import fresh, parts_for, take, text_slices, texts_of
+from wattline.llm.common import columns_of, fresh, parts_for, quoted, take, text_slices, texts_of
 from wattline.session import spool
 
 RADIUS = 2
@@ -168,7 +168,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius
     with one id and text one stays. Columns are those of ``docs``.
     """
     k1, k2, nth = (fresh(docs, x) for x in ("k1", "k2", "nth"))
-    key = [F.xxhash64(F.lit(seed), doc_id, text) for seed in (1, 2)]  # 128 bits of id and text
+    key = [F.xxhash64(F.lit(seed), quoted(doc_id), quoted(text)) for seed in (1, 2)]  # 128 bits of id and text
     rows = with_fingerprint(take(docs, doc_id=doc_id, text=text), "text", "fp")
     rows = spool(rows.select("doc_id", "fp", *[F.xxhash64(F.lit(seed), "doc_id", "text").alias(c) for seed, c in ((1, "k1"), (2, "k2"))]), "fingerprints")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "fp", "k1", "k2"))
@@ -182,5 +182,5 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius
     )
     # one row per component: the list grows with the documents, so it is never broadcast
     kept = docs.withColumns({k1: key[0], k2: key[1]}).join(stay.hint("merge"), [k1, k2], "left_semi")
-    one = Window.partitionBy(k1, k2).orderBy(F.xxhash64(*docs.columns))
-    return kept.withColumn(nth, F.row_number().over(one)).where(F.col(nth) == 1).select(*docs.columns)
+    one = Window.partitionBy(k1, k2).orderBy(F.xxhash64(*columns_of(docs)))
+    return kept.withColumn(nth, F.row_number().over(one)).where(F.col(nth) == 1).select(*columns_of(docs))

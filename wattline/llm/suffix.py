@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattline.llm.common import parts_for, take, text_slices, texts_of
+from wattline.llm.common import parts_for, quoted, take, text_slices, texts_of
 from wattline.llm.induced import permuted_prefixes, suffix_array
 from wattline.session import spool
 
@@ -374,7 +374,7 @@ def without_repeats(docs: DataFrame, text: str = "text", group: int = GROUP) ->
 
     A cut inside a character takes the rest of the character along.
     """
-    others = [c for c in docs.columns if c != text]
-    key = F.struct(*[docs[c] for c in others]) if others else F.lit(0)
-    cuts = removal(docs.select(key.alias("key"), docs[text].alias("text")), texts=True, group=group)
-    return cuts.select(*[F.col("kept_text").alias(c) if c == text else F.col("key")[c].alias(c) for c in docs.columns])
+    others = [F.col(quoted(c)) for c in docs.columns if c != text]
+    key = F.struct(*others) if others else F.lit(0)
+    cuts = removal(docs.select(key.alias("key"), F.col(quoted(text)).alias("text")), texts=True, group=group)
+    return cuts.select(*[F.col("kept_text").alias(c) if c == text else F.col("key").getField(c).alias(c) for c in docs.columns])
