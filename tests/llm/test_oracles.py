@@ -5,7 +5,7 @@ import pytest
 
 from wattline.llm import queries
 
-TABLES = ("documents", "embeddings", "conversations")
+TABLES = ("documents", "embeddings", "conversations", "labels", "benchmark")
 
 
 def plain(rows, names):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from wattline.llm.licenses import COPYRIGHT, EQUAL, NOTICES, TEXTS
 
 
@@ -73,3 +75,33 @@ cut AS (
 rest AS (SELECT *, c[same + 1:] AS cc, r[same + 1:] AS rr FROM cut)
 SELECT conv_id, partner_id, CAST(same AS INTEGER) AS n_prompt_turns, {_written('c[1:same]')} AS prompt, {_written('cc')} AS chosen,
   {_written('rr')} AS rejected, {_spans('cc')} AS chosen_spans, {_spans('rr')} AS rejected_spans FROM rest"""
+
+_ORDERS = ", ".join(f"('{''.join(p)}')" for p in permutations("ABCDE"))
+
+FILTER_AUDIT = f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+f AS (
+  SELECT part, CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > least THEN 16 ELSE 0 END AS failed,
+    doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS good,
+    doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) AS toxic FROM w),
+counts AS (SELECT part, failed, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f GROUP BY 1, 2),
+orders(filter_order) AS (VALUES {_ORDERS}),
+steps AS (
+  SELECT filter_order, step, 1 << (ascii(filter_order[step]) - 65) AS bit,
+    coalesce(list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(filter_order[i]) - 65))), 0)::INTEGER AS earlier
+  FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+told AS (
+  SELECT part, filter_order, step, bit,
+    sum(CASE WHEN (failed & (earlier | bit)) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN (failed & bit) <> 0 AND (failed & earlier) = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN (failed & bit) <> 0 AND (failed & earlier) <> 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN failed = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN (failed & bit) <> 0 AND (failed & earlier) = 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN (failed & bit) <> 0 AND (failed & earlier) = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM counts, steps GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM told"""

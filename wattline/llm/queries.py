@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm import backoff, knn, langid, licenses, mixing, oracles, packing, preference, quality, simhash, suffix
+from wattline.llm import backoff, filters, knn, langid, licenses, mixing, oracles, packing, preference, quality, simhash, suffix
 from wattline.llm.common import importable
 
 
@@ -63,6 +63,10 @@ def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "partner_id", "n_prompt_turns", "prompt", "chosen", "rejected", *spans)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -76,10 +80,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash,
         op9_source_mixing,
         op10_preference_format,
+        op11_filter_audit,
     )
 }
 ORACLES: dict[str, str] = {
     "op1_license_scan": oracles.LICENSE_SCAN,
     "op5_nearest_neighbours": oracles.NEAREST,
     "op10_preference_format": oracles.PREFERENCE,
+    "op11_filter_audit": oracles.FILTER_AUDIT,
 }
