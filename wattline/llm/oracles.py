@@ -105,3 +105,24 @@ told AS (
 SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
   CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
   CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM told"""
+
+_TERMS = """regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"""
+
+RANKED_SEARCH = f"""
+WITH t AS (SELECT row_number() OVER () AS place, doc_id, {_TERMS.format('text')} AS terms FROM documents),
+sizes AS (SELECT place, doc_id, len(terms) AS n FROM t WHERE len(terms) > 0),
+totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes),
+tf AS (SELECT place, term, count(*) AS tf FROM (SELECT place, unnest(terms) AS term FROM t) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+asked AS (SELECT row_number() OVER () AS item, item_id, {_TERMS.format('text')} AS terms FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+q AS (SELECT item, item_id, term, count(*) AS k FROM (SELECT item, item_id, unnest(terms) AS term FROM asked) GROUP BY ALL),
+weighted AS (
+  SELECT item, item_id, term, k * CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM q JOIN df USING (term), totals),
+scored AS (
+  SELECT item, item_id, doc_id, place,
+    CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // totals.terms)))) AS BIGINT) AS score
+  FROM weighted JOIN tf USING (term) JOIN sizes USING (place), totals GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 20"""

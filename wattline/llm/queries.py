@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm import backoff, filters, knn, langid, licenses, mixing, oracles, packing, preference, quality, simhash, suffix
+from wattline.llm import backoff, filters, knn, langid, licenses, mixing, oracles, packing, preference, quality, ranked, simhash, suffix
 from wattline.llm.common import importable
 
 
@@ -67,6 +67,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_source_mixing,
         op10_preference_format,
         op11_filter_audit,
+        op12_ranked_search,
     )
 }
 ORACLES: dict[str, str] = {
@@ -88,4 +93,5 @@ ORACLES: dict[str, str] = {
     "op5_nearest_neighbours": oracles.NEAREST,
     "op10_preference_format": oracles.PREFERENCE,
     "op11_filter_audit": oracles.FILTER_AUDIT,
+    "op12_ranked_search": oracles.RANKED_SEARCH,
 }
