@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm import backoff, filters, knn, langid, licenses, mixing, oracles, packing, preference, quality, ranked, simhash, suffix
+from wattline.llm import backoff, chosen, filters, knn, langid, licenses, mixing, oracles, packing, preference, quality, ranked, simhash, suffix
 from wattline.llm.common import importable
 
 
@@ -71,6 +71,10 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_preference_format,
         op11_filter_audit,
         op12_ranked_search,
+        op13_minhash_join,
     )
 }
 ORACLES: dict[str, str] = {
