@@ -53,7 +53,7 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def counts_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """(words, indptr, indices, data): the texts as rows of a matrix over their own words."""
+    """(words, indptr, indices, data): the texts as rows of a matrix over their own words, which are sorted."""
     number: dict[bytes, int] = {}
     indptr, indices, data = np.zeros(len(texts) + 1, np.int64), [], []
     for i, text in enumerate(texts):
@@ -61,7 +61,10 @@ def counts_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray,
         indices.extend([number.setdefault(w, len(number)) for w in found])
         data.extend(found.values())
         indptr[i + 1] = len(indices)
-    return list(number), indptr, np.array(indices, np.int64), np.array(data, np.int64)
+    words = sorted(number)
+    place = np.empty(len(words), np.int64)
+    place[[number[w] for w in words]] = np.arange(len(words))
+    return words, indptr, place[np.array(indices, np.int64)], np.array(data, np.int64)
 
 
 def marks_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -110,12 +113,13 @@ def _local_shards(rows: DataFrame) -> DataFrame:
 
 
 def dictionary(words: DataFrame) -> DataFrame:
-    """(word, id): the different values of column ``word``, numbered from 0 without gaps.
+    """(word, id): the different values of column ``word``, numbered from 0 without gaps, in the order of their bytes.
 
-    The numbers follow a stored table: its parts are counted, one row each, and a word's number
+    The numbers follow a stored sort: its parts are counted, one row each, and a word's number
     is its place in its part after the parts before.
     """
-    stored = spool(words.distinct().withColumn("at", F.monotonically_increasing_id()), "words")
+    different = spool(words.distinct(), "words")
+    stored = spool(different.orderBy("word").withColumn("at", F.monotonically_increasing_id()), "dictionary")
     sizes = stored.groupBy(F.shiftright("at", _ROW).alias("of")).agg(F.count("*").alias("n")).orderBy("of").collect()
     before = np.cumsum([0, *[r["n"] for r in sizes]]).tolist()
     offsets = [(r["of"], b) for r, b in zip(sizes, before, strict=False)]
@@ -135,22 +139,20 @@ def document_term_matrix(docs: DataFrame, doc_id: str = "doc_id", part: str = "s
     """
     rows = take(docs, doc_id=doc_id, part=part, text=text).withColumn("part", F.coalesce(F.col("part").cast("string"), F.lit("")))
     local = spool(_local_shards(rows).withColumn("shard", F.monotonically_increasing_id()), "shards")
-    asked = local.select("shard", F.posexplode("words").alias("place", "word"))
+    asked = local.select("shard", F.explode("words").alias("word"))
     words = dictionary(asked.select("word"))
-    # a shard's list has at most the words of a slice
-    numbers = asked.join(words, "word").groupBy("shard").agg(F.collect_list(F.struct("place", "id")).alias("ids"))
+    # a shard's list has at most the words of a slice; sorted numbers are those of sorted words
+    numbers = asked.join(words, "word").groupBy("shard").agg(F.collect_list("id").alias("ids"))
     both = local.drop("words").join(numbers, "shard", "left")
     kept = ["shard", "doc_id", "part", "digest", "marks", "indptr", "indices", "data"]
-    both = both.select(*kept, F.col("ids.place").alias("place"), F.col("ids.id").alias("id"))
+    both = both.select(*kept, "ids")
     schema = both.select(*kept).schema
 
     def renumber(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                place, number = (row.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("place", "id"))
-                by_place = np.empty(len(place), np.int64)
-                by_place[place] = number
+                by_place = np.sort(row.column("ids").flatten().to_numpy(zero_copy_only=False).astype(np.int64))
                 indices = packed(by_place[unpacked(row.column("indices")[0].as_py())])
                 columns = [pa.array([indices], pa.binary()) if c == "indices" else row.column(c) for c in kept]
                 yield pa.RecordBatch.from_arrays(columns, names=kept)
