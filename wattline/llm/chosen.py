@@ -2,8 +2,9 @@
 
 A document is the set of its word shingles, described by COORDINATES minwise values. A tree
 branches all sets by the minwise token of its own first coordinate: sets with one token there
-share a node. A small node is compared exhaustively. A large one is branched again, by two
-coordinates that its path selects, until its members are few or all linked already. Two sets at
+share a node. A small node is compared exhaustively, and so is a large one of which all but a
+few members are linked already: only those few meet the others. What is larger is branched
+again, by two coordinates that its path selects. Two sets at
 the threshold t share a node of a tree with chance t, and TREES independent trees miss them
 with chance (1 - t)**TREES: 1e-7 at 0.8.
 
@@ -177,13 +178,23 @@ class Joined:
         return a != b
 
 
+def agreement(signature: np.ndarray) -> np.ndarray:
+    """In how many coordinates each two rows agree."""
+    if len(signature) <= 16:
+        return np.count_nonzero(signature[:, None, :] == signature[None, :, :], axis=2)
+    out = np.zeros((len(signature),) * 2, np.uint8)
+    for column in np.ascontiguousarray(signature.T):
+        out += column[:, None] == column[None, :]
+    return out.astype(np.int64)
+
+
 def open_pairs(signature: np.ndarray, n: np.ndarray, component: np.ndarray, tree: int, small: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, agreeing coordinates) of the pairs of a group that may be similar and aren't known to be connected.
 
     Pairs that met in a small node of an earlier tree (from ``first`` on) are left to it; the
     bits of ``small`` tell the trees in which a record's node is small.
     """
-    agree = (signature[:, None, :] == signature[None, :, :]).sum(axis=2, dtype=np.int16)
+    agree = agreement(signature)
     fits = 100 * np.minimum(n[:, None], n[None, :]) >= SIMILAR_PCT * np.maximum(n[:, None], n[None, :])
     live = (agree >= AGREE) & fits & (component[:, None] != component[None, :])
     for t in range(first, tree):
@@ -193,19 +204,20 @@ def open_pairs(signature: np.ndarray, n: np.ndarray, component: np.ndarray, tree
 
 
 def _clusters(rows: DataFrame, best_only: bool, first: int = 0) -> DataFrame:
-    """(group, cluster, record) of the records of open pairs, linked by these within each group.
+    """(group, cluster, record, component) of the records of open pairs, linked by these within each group.
 
     ``rows`` has group, record, component, n, signature, tree and small. With ``best_only``
     only the pairs of a heaviest forest over the known components count.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int, int]] = []
+        out: list[tuple[int, int, int, int]] = []
+        names = ["group", "cluster", "record", "component"]
 
         def flush() -> pa.RecordBatch:
-            columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 3
+            columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * len(names)
             out.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["group", "cluster", "record"])
+            return pa.RecordBatch.from_arrays(columns, names=names)
 
         for table in _by_key(batches, ["group"]):
             if table.num_rows < 2:
@@ -228,15 +240,15 @@ def _clusters(rows: DataFrame, best_only: bool, first: int = 0) -> DataFrame:
                 for a, b in zip(i.tolist(), j.tolist(), strict=True):
                     joined.join(a, b)
                 touched = {*i.tolist(), *j.tolist()}
-            group, record = int(plain["group"][0]), plain["record"].tolist()
-            out.extend((group, joined.root(k), record[k]) for k in touched)
+            group, record, component = int(plain["group"][0]), plain["record"].tolist(), plain["component"].tolist()
+            out.extend((group, joined.root(k), record[k], component[k]) for k in touched)
             if len(out) > 10_000:
                 yield flush()
         yield flush()
 
     narrow = rows.select("group", "record", "component", "n", "signature", "tree", "small")
     dealt = narrow.repartition("group").sortWithinPartitions("group", "record")
-    return dealt.mapInArrow(find, "group bigint, cluster bigint, record bigint")
+    return dealt.mapInArrow(find, "group bigint, cluster bigint, record bigint, component bigint")
 
 
 def _confirmed(clusters: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
@@ -245,8 +257,11 @@ def _confirmed(clusters: DataFrame, texts: DataFrame, shingle: int) -> DataFrame
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _by_key(batches, ["group", "cluster"]):
             record = table["record"].to_pylist()
-            sets = [shingle_set(t, shingle) for chunk in table["text"].chunks for t in texts_of(chunk)]
-            joined, found = Joined(len(sets)), []
+            hashes, per_text = shingle_hashes([t for chunk in table["text"].chunks for t in texts_of(chunk)], shingle)
+            sets = [np.unique(x) for x in np.split(hashes, np.cumsum(per_text)[:-1])]
+            joined, found, seen = Joined(len(sets)), [], {}
+            for i, c in enumerate(table["component"].to_pylist()):  # what is known to be connected isn't compared again
+                joined.join(i, seen.setdefault(c, i))
             for i in range(len(sets)):
                 for j in range(i):
                     small, large = sorted((len(sets[i]), len(sets[j])))
@@ -320,6 +335,28 @@ def _blocks(rows: DataFrame, node: int) -> DataFrame:
     return met.where("mine <> other").withColumn("group", F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other"))).drop("mine", "other")
 
 
+def _classified(rows: DataFrame, node: int) -> DataFrame:
+    """(node, core, in_core, size, whole) of the nodes of ``rows`` with members of more than one component, stored.
+
+    The core is the largest component; a node is ``whole`` where it can be compared exhaustively.
+    """
+    counts = rows.groupBy("node", "component").agg(F.count("*").alias("n"))
+    of = counts.groupBy("node").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("size"), F.count("*").alias("components"))
+    of = of.where("components > 1").select("node", F.col("top.component").alias("core"), F.col("top.n").alias("in_core"), "size")
+    return spool(of.withColumn("whole", (F.col("size") <= node) | (F.col("size") - F.col("in_core") <= node)), "classified")
+
+
+def _whole_groups(rows: DataFrame, node: int) -> DataFrame:
+    """``rows`` of whole nodes with the ``group`` of each comparison: the core in chunks, all others in every chunk."""
+    chunks = F.ceil(F.col("in_core") / node)
+    chunk = (
+        F.when(F.col("size") <= node, F.array(F.lit(0).cast("bigint")))
+        .when(F.col("component") == F.col("core"), F.array(F.pmod(F.xxhash64("record", "node"), chunks)))
+        .otherwise(F.sequence(F.lit(0).cast("bigint"), chunks - 1))
+    )
+    return rows.withColumn("chunk", F.explode(chunk)).withColumn("group", F.xxhash64("node", "chunk", F.lit(3)))
+
+
 def set_links(docs: DataFrame, records: DataFrame, shingle: int = SHINGLE, node: int = NODE, depth: int = DEPTH) -> DataFrame:
     """(record, root): the smallest record that each linked record can reach.
 
@@ -338,15 +375,18 @@ def set_links(docs: DataFrame, records: DataFrame, shingle: int = SHINGLE, node:
     links.fetch(_clusters(groups(every, False), False))  # all that may be similar at all: one reading of the texts
     links.confirm(_clusters(groups(F.col("tree") == 0, False), False))
     links.confirm(_clusters(groups(F.col("tree") > 0, True), True, first=1))  # records that the first tree missed, by their best partners
-    links.confirm(_clusters(groups(F.col("size") <= node, True), False))  # and what that left open
-    large = members.where(F.col("size") > node).select("node", "size", "record", "n", "signature")
+    # what that left open: whole nodes at once, a pair in the first of its trees only
+    nodes = _classified(links.known(members.select("node", "record")), node)
+    at = members.select("record", "n", "signature", "tree", "node").join(_near(nodes, nodes.count()), "node")
+    bits = at.groupBy("record").agg(F.sum(F.when(F.col("whole"), F.expr("shiftleft(1, tree)")).otherwise(0)).alias("small"))
+    at = spool(links.known(at.join(bits, "record")), "open-nodes")
+    links.confirm(_clusters(_whole_groups(at.where("whole"), node), False))
+    large = at.where("not whole").select("node", "size", "record", "n", "signature")
     for level in range(depth):
-        large = spool(links.mixed(links.known(large), "node").select("node", "size", "record", "n", "signature"), "large-nodes")
         if large.isEmpty():
             break
         if level == depth - 1:
-            rows = links.known(_blocks(large, node))
-            links.confirm(_clusters(_leaf_rows(links.mixed(rows, "group")), False))
+            links.confirm(_clusters(_leaf_rows(links.mixed(_blocks(links.known(large), node), "group")), False))
             break
         one = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(COORDINATES)).cast("int")
         two = F.pmod(one + 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.lit(COORDINATES - 1)), F.lit(COORDINATES)).cast("int")
@@ -354,9 +394,12 @@ def set_links(docs: DataFrame, records: DataFrame, shingle: int = SHINGLE, node:
         children = spool(large.select("record", "n", "signature", F.explode(paths).alias("node")), "branched")
         shared = _shared(children)
         children = children.join(_near(shared, shared.count()), "node")
-        rows = _groups(links.known(children), node)
-        links.confirm(_clusters(_leaf_rows(links.mixed(rows, "group")), False))
-        large = children.where(F.col("size") > node).select("node", "size", "record", "n", "signature")
+        rows = _groups(links.known(children.where(F.col("size") > node)), node)
+        links.confirm(_clusters(_leaf_rows(links.mixed(rows, "group")), True))
+        nodes = _classified(links.known(children.select("node", "record")), node)
+        at = spool(links.known(children.drop("size").join(_near(nodes, nodes.count()), "node")), "open-nodes")
+        links.confirm(_clusters(_leaf_rows(_whole_groups(at.where("whole"), node)), False))
+        large = at.where("not whole").select("node", "size", "record", "n", "signature")
     return links.roots
 
 
