@@ -12,7 +12,7 @@ from suite.views import FEATURES, KEYS, table, tel, telemetry
 from wattline.functions.scalars import analytic_power_of_row
 from wattline.operators import metrics, quality
 from wattline.plans import experiments, importance, models, reports, run
-from wattline.plans.attribution import base_value, ensemble_leaves, mean_attribution, row_attributions
+from wattline.plans.attribution import base_value, ensemble_trees, mean_attribution, row_attributions
 from wattline.plans.preprocessing import fit_preprocessor
 from wattline.plans.registry import PowerModel, list_versions, model_metadata, save_bundle, version_index
 from wattline.plans.scoring import prediction_rows, score
@@ -276,12 +276,29 @@ def attribution(spark, sf_dir):
 def additivity(spark, sf_dir):
     # Attributions plus the base value add up to the prediction on every row.
     df, pre, model = _fit(spark, sf_dir, "gradient_boosting", list(FEATURES), {"n_estimators": 3})
-    base = base_value(ensemble_leaves(model))
-    rows = row_attributions(model, model.transform(pre.transform(df)), ["prediction"])
-    total = F.aggregate("attribution", F.lit(base), lambda a, b: a + b)
+    trees = ensemble_trees(model)
+    rows = row_attributions(model, model.transform(pre.transform(df)), ["prediction"], trees)
+    total = F.aggregate("attribution", F.lit(base_value(trees)), lambda a, b: a + b)
     return rows.agg(F.count("*").alias("rows"), F.count_if(F.abs(total - F.col("prediction")) < 1e-6).alias("additive"))
 
 
+@query(
+    "ml_10_one_split",
+    tel(
+        """ , t AS (SELECT CAST(k1 % 2 AS DOUBLE) AS odd, power_watts AS y FROM telemetry), m AS (SELECT avg(y) AS every FROM t),
+        p AS (SELECT odd, count(*) AS n, avg(y) AS y FROM t GROUP BY 1)
+        SELECT 'num__odd' AS feature, round(sum(n * abs(y - every)) / sum(n), 6) AS mean_abs_attribution, 'one_split' AS model, CAST(sum(n) AS BIGINT) AS sample_rows FROM p, m
+        UNION ALL SELECT 'num__flat', 0.0, 'one_split', count(*) FROM t"""
+    ),
+)
+def one_split(spark, sf_dir):
+    # A tree of one split gives a row the distance of its side's mean from the mean of all.
+    df = telemetry(spark, sf_dir).select("power_watts", (F.col("k1") % 2).cast("double").alias("odd"), F.lit(1.0).alias("flat"))
+    pre = fit_preprocessor(df, ["odd", "flat"], [])
+    model = models.make_regressor("random_forest", 2, {"n_estimators": 1, "max_depth": 1, "bootstrap": False}).fit(pre.transform(df))
+    return _r(mean_attribution(model, pre.transform(df), pre.slots, "one_split"), ["mean_abs_attribution"])
+
+
 @query("exp_01_feature_ablation")
 def ablation(spark, sf_dir):
     found, _, _ = experiments.feature_ablation(

@@ -13,7 +13,7 @@ from suite.views import FEATURES, KEYS
 from wattline.functions.scalars import analytic_power_of_row
 from wattline.operators.drift import reference_profile
 from wattline.plans import experiments, importance, models, run
-from wattline.plans.attribution import Leaf, Step, attributions, base_value, ensemble_leaves, mean_attribution, row_attributions
+from wattline.plans.attribution import Trees, attributions, base_value, ensemble_trees, mean_attribution, row_attributions
 from wattline.plans.preprocessing import fit_preprocessor
 from wattline.plans.registry import PowerModel, list_versions, model_metadata, new_version, resolve_bundle, save_bundle
 from wattline.sources import sinks
@@ -62,7 +62,25 @@ def test_regressor_arguments():
     assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getMinInstancesPerNode()) == (220, 14, 2)
     boost = models.make_regressor("subsampled_boosting", 3)
     assert (boost.getMaxIter(), boost.getSubsamplingRate(), boost.getFeatureSubsetStrategy()) == (300, 0.9, "0.9")
-    assert models.make_regressor("linear_regression", 5000).getSolver() == "l-bfgs"
+    narrow, wide = (models.make_regressor("linear_regression", n) for n in (3, 5000))
+    assert (narrow.getSolver(), wide.getSolver()) == ("normal", "l-bfgs")
+
+
+def test_both_linear_solvers_predict_the_same(telemetry):
+    pre = fit_preprocessor(telemetry, list(FEATURES), ["workload_type"])
+    vectors = pre.transform(telemetry)
+    one = models.make_regressor("linear_regression", len(pre.slots)).fit(vectors)
+    two = models.make_regressor("linear_regression", len(pre.slots), models.STEPWISE).fit(vectors)
+    both = one.transform(vectors).withColumnRenamed("prediction", "p")
+    assert two.transform(both).selectExpr("max(abs(prediction - p)) as gap").first()["gap"] < 1e-3
+
+
+def test_linear_model_of_many_slots(spark):
+    # 5,000 categories: the prediction of each is its mean.
+    rows = spark.range(10_000).selectExpr("cast(id % 5000 as string) as label", "cast(id % 5000 + id div 5000 as double) as power_watts")
+    pipeline, _, texts = models.fit_full_pipeline(rows, "linear_regression")
+    found = pipeline.transform(rows).selectExpr("max(abs(prediction - cast(label as double) - 0.5)) as gap").first()["gap"]
+    assert texts == ["label"] and found < 1e-3
 
 
 def test_train_errors(telemetry):
@@ -92,46 +110,60 @@ def test_permutation_importance_ranks_features(telemetry):
     assert rows["gpu_utilization_pct"] > 10 and rows["ambient_c"] == pytest.approx(0)
 
 
-def _brute_force(leaves, x):
+def _brute_force(trees, x):
     """Shapley values by enumerating subsets of all features."""
     m = x.shape[1]
 
-    def value(row, known):
-        total = 0.0
-        for leaf in leaves:
-            w = leaf.weight * leaf.value
-            for s in leaf.steps:
-                if s.feature in known:
-                    w *= float((row[s.feature] <= s.threshold) == s.left)
-                else:
-                    w *= s.share
-            total += w
-        return total
+    def value(row, known, node):
+        left, right = int(trees.left[node]), int(trees.right[node])
+        if left < 0:
+            return trees.value[node]
+        f = int(trees.feature[node])
+        if f in known:
+            goes = row[f] in trees.categories[node] if node in trees.categories else row[f] <= trees.threshold[node]
+            return value(row, known, left if goes else right)
+        return sum(trees.cover[c] / trees.cover[node] * value(row, known, c) for c in (left, right))
 
     out = np.zeros(x.shape)
     for r, row in enumerate(x):
-        for i in range(m):
-            others = [j for j in range(m) if j != i]
-            for size in range(m):
-                for subset in combinations(others, size):
-                    k = factorial(size) * factorial(m - size - 1) / factorial(m)
-                    out[r, i] += k * (value(row, {*subset, i}) - value(row, set(subset)))
+        for root, weight in zip(trees.roots.tolist(), trees.weights):
+            for i in range(m):
+                others = [j for j in range(m) if j != i]
+                for size in range(m):
+                    for subset in combinations(others, size):
+                        k = factorial(size) * factorial(m - size - 1) / factorial(m)
+                        out[r, i] += weight * k * (value(row, {*subset, i}, root) - value(row, set(subset), root))
     return out
 
 
-def test_attributions_match_brute_force():
-    # One tree that uses feature 0 twice on a path.
-    def step(f, t, left, share):
-        return Step(f, t, (), left, share)
+def _random_trees(rnd, features, n, depth):
+    rows = []
+
+    def grow(cover, level):
+        at = len(rows)
+        rows.append([-1, 0.0, -1, -1, rnd.normal(), cover])
+        if level < depth and cover >= 2 and rnd.random() < 0.9:
+            split = rnd.integers(1, cover)
+            rows[at][:4] = [int(rnd.integers(features)), float(rnd.normal()), grow(split, level + 1), grow(cover - split, level + 1)]
+        return at
+
+    roots = [grow(1000, 0) for _ in range(n)]
+    feature, threshold, left, right, value, cover = map(np.array, zip(*rows))
+    listed = {i: np.array([0.0, 2.0]) for i in range(0, len(rows), 7) if left[i] >= 0}
+    return Trees(feature, threshold, left, right, value, cover.astype(float), np.array(roots), rnd.random(n), listed)
+
 
-    leaves = [
-        Leaf(1.0, 0.5, 0.3, [step(0, 0.0, True, 0.6), step(1, 1.0, True, 0.5)]),
-        Leaf(4.0, 0.5, 0.3, [step(0, 0.0, True, 0.6), step(1, 1.0, False, 0.5)]),
-        Leaf(-2.0, 0.5, 0.1, [step(0, 0.0, False, 0.4), step(0, 2.0, True, 0.25)]),
-        Leaf(7.0, 0.5, 0.3, [step(0, 0.0, False, 0.4), step(0, 2.0, False, 0.75)]),
-    ]
-    x = np.array([[-1.0, 0.0, 9.0], [1.0, 2.0, 9.0], [3.0, 0.5, 9.0]])
-    assert attributions(leaves, x) == pytest.approx(_brute_force(leaves, x))
+@pytest.mark.parametrize("features, depth, table", [(1, 3, 9), (4, 5, 9), (6, 7, 2)])
+def test_attributions_match_brute_force(monkeypatch, features, depth, table):
+    # Features come back on a path, some nodes list categories, some paths are longer than a table.
+    monkeypatch.setattr("wattline.plans.attribution.TABLE_BITS", table)
+    monkeypatch.setattr("wattline.plans.attribution.ROWS", 3)
+    rnd = np.random.default_rng(features)
+    trees = _random_trees(rnd, features, 3, depth)
+    x = np.vstack([rnd.normal(size=(6, features)), rnd.integers(0, 3, (2, features))])
+    found = attributions(trees, x)
+    assert found == pytest.approx(_brute_force(trees, x))
+    assert attributions(trees, x[:0]).shape == (0, features)
 
 
 @pytest.mark.parametrize("name", ["random_forest", "gradient_boosting"])
@@ -139,7 +171,7 @@ def test_attributions_add_up(telemetry, name):
     pre = fit_preprocessor(telemetry, ["gpu_utilization_pct", "ambient_c"], ["workload_type"])
     vectors = pre.transform(telemetry)
     model = models.make_regressor(name, len(pre.slots), TINY[name]).fit(vectors)
-    base = base_value(ensemble_leaves(model))
+    base = base_value(ensemble_trees(model))
     rows = row_attributions(model, model.transform(vectors), ["prediction"]).toPandas()
     total = np.stack(rows["attribution"].to_numpy()).sum(axis=1) + base
     assert total == pytest.approx(rows["prediction"].to_numpy())
@@ -147,7 +179,7 @@ def test_attributions_add_up(telemetry, name):
     assert table.first()["feature"] == "num__gpu_utilization_pct" and table.first()["sample_rows"] == 50
     linear = models.make_regressor("linear_regression", 3).fit(vectors)
     with pytest.raises(TypeError):
-        ensemble_leaves(linear)
+        ensemble_trees(linear)
 
 
 def test_grid():

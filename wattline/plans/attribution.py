@@ -1,23 +1,22 @@
 """Mean absolute attribution of tree ensembles (path-dependent Shapley values).
 
-For one leaf only the features on its path matter. With d such features, the
-share of the leaf's value that belongs to feature i is
+For one leaf only the features on its path matter. Let o_i say whether the row takes the path
+at feature i's splits and z_i be the share of training rows that does. The leaf's value is
+then shared out as
 
-    value * (o_i - z_i) * sum over subsets S of the others of
-        |S|! (d - |S| - 1)! / d! * prod_{j in S} o_j * prod_{j not in S} z_j
+    value * (o_i - z_i) * integral over t in [0, 1] of prod over j != i of (z_j * (1 - t) + o_j * t)
 
-where o_j says whether the row takes the path at j's splits and z_j is the share
-of training rows that does. The subset sums are the coefficients of the
-polynomial prod_j (z_j + o_j t). Rows are scored in Arrow batches; the model's
-node table, which already fits the driver, travels with the task.
+and the integral of that polynomial is exact with half as many Gauss points as it has factors.
+A batch of rows walks a tree once: every row carries the bits o of the path as a number, and at
+a leaf the number picks its shares from a table made for the leaf. Trees are flat arrays of
+nodes in one broadcast; no path is ever an object of its own.
 """
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
-from math import factorial
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -35,108 +34,148 @@ from wattline.session import spool_path
 # Tasks receive this module's functions by value, so executors need no install.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+ROWS = 16384  # rows that walk the trees together
+TABLE_BITS = 9  # paths of more features get a table of the patterns that occur only
 
-@dataclass
-class Step:
-    """One split on a path: go left when the value passes."""
 
-    feature: int
-    threshold: float | None
-    left_values: tuple[float, ...]
-    left: bool
-    share: float
+@dataclass(frozen=True)
+class Trees:
+    """All nodes of an ensemble. ``left`` and ``right`` are places in the arrays, -1 at a leaf.
 
+    A row goes left where its feature is at most the threshold, or among the node's
+    ``categories``. ``cover`` is the weight of the training rows of a node.
+    """
 
-@dataclass
-class Leaf:
-    value: float
-    weight: float
-    cover: float
-    steps: list[Step]
+    feature: np.ndarray
+    threshold: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    value: np.ndarray
+    cover: np.ndarray
+    roots: np.ndarray
+    weights: np.ndarray
+    categories: dict[int, np.ndarray] = field(default_factory=dict)
 
 
-def ensemble_leaves(model: Model) -> list[Leaf]:
-    """Leaves of a fitted forest or boosted model with their paths and row shares."""
+def ensemble_trees(model: Model) -> Trees:
+    """The nodes of a fitted forest or boosted model as flat arrays."""
     if isinstance(model, RandomForestRegressionModel):
-        weights = [1.0 / model.getNumTrees] * model.getNumTrees
+        weights = np.full(model.getNumTrees, 1.0 / model.getNumTrees)
     elif isinstance(model, GBTRegressionModel):
-        weights = list(model.treeWeights)
+        weights = np.array(model.treeWeights, float)
     else:
         raise TypeError("Attribution needs a tree ensemble.")
     spark = SparkSession.active()
     path = spool_path(spark, "trees")
     model.write().save(path)
-    trees: dict[int, dict[int, object]] = {}
-    for row in spark.read.parquet(f"{path}/data").collect():
-        trees.setdefault(row["treeID"], {})[row["nodeData"]["id"]] = row["nodeData"]
-    leaves: list[Leaf] = []
-    for tree, nodes in trees.items():
-        total = nodes[0]["impurityStats"][0]
-        stack = [(nodes[0], [])]
-        while stack:
-            node, steps = stack.pop()
-            count = node["impurityStats"][0]
-            if node["leftChild"] < 0:
-                leaves.append(Leaf(node["prediction"], weights[tree], count / total, steps))
-                continue
-            rule = node["split"]
-            listed = rule["numCategories"] > 0
-            for left in (True, False):
-                child = nodes[node["leftChild"] if left else node["rightChild"]]
-                values = tuple(rule["leftCategoriesOrThreshold"])
-                step = Step(
-                    rule["featureIndex"], None if listed else values[0], values if listed else (),
-                    left, child["impurityStats"][0] / count,
-                )
-                stack.append((child, [*steps, step]))
-    return leaves
-
-
-def base_value(leaves: Sequence[Leaf]) -> float:
+    rule = F.col("nodeData.split")
+    nodes = spark.read.parquet(f"{path}/data").select(
+        F.col("treeID").alias("tree"), "nodeData.id", "nodeData.leftChild", "nodeData.rightChild", F.col("nodeData.prediction").alias("value"),
+        F.col("nodeData.impurityStats")[0].alias("cover"), rule["featureIndex"].alias("feature"), rule["numCategories"].alias("listed"),
+        rule["leftCategoriesOrThreshold"].alias("values"),
+    )
+    # the model is on the driver already; this is as large
+    table = nodes.toPandas().sort_values(["tree", "id"]).reset_index(drop=True)
+    tree, number = table["tree"].to_numpy(), table["id"].to_numpy()
+    roots = np.flatnonzero(np.concatenate(([True], tree[1:] != tree[:-1])))
+    start = roots[np.cumsum(np.isin(np.arange(len(table)), roots)) - 1]
+    place = {(t, n): i for i, (t, n) in enumerate(zip(tree.tolist(), number.tolist()))}
+    dense = bool((number == np.arange(len(table)) - start).all())
+
+    def at(child: str) -> np.ndarray:
+        ids = table[child].to_numpy()
+        if dense:
+            return np.where(ids < 0, -1, start + ids)
+        return np.array([-1 if n < 0 else place[t, n] for t, n in zip(tree.tolist(), ids.tolist())])
+
+    listed = table["listed"].to_numpy() > 0
+    first = np.array([v[0] if len(v) else np.nan for v in table["values"]], float)
+    categories = {int(i): np.array(table["values"][i], float) for i in np.flatnonzero(listed)}
+    return Trees(
+        table["feature"].to_numpy(), first, at("leftChild"), at("rightChild"), table["value"].to_numpy(float), table["cover"].to_numpy(float),
+        roots, weights, categories,
+    )
+
+
+def base_value(trees: Trees) -> float:
     """Expected prediction over the training rows."""
-    return sum(leaf.value * leaf.weight * leaf.cover for leaf in leaves)
+    size = np.diff(np.append(trees.roots, len(trees.value)))
+    share = np.repeat(trees.weights / trees.cover[trees.roots], size) * trees.cover
+    return float((share * trees.value)[trees.left < 0].sum())
+
+
+def _gauss(features: int) -> tuple[np.ndarray, np.ndarray]:
+    """Points and weights on [0, 1] that integrate products of ``features`` - 1 factors exactly."""
+    at, weight = np.polynomial.legendre.leggauss(max(1, (features + 1) // 2))
+    return (at + 1) / 2, weight / 2
 
 
-def _path(leaf: Leaf, x: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """(features, o, z) of a leaf: o is rows by features."""
-    features = sorted({s.feature for s in leaf.steps})
-    o = np.ones((len(x), len(features)))
-    z = np.ones(len(features))
-    for s in leaf.steps:
-        j, column = features.index(s.feature), x[:, s.feature]
-        passes = np.isin(column, s.left_values) if s.threshold is None else column <= s.threshold
-        o[:, j] *= passes == s.left
-        z[j] *= s.share
-    return features, o, z
+_POINTS = [_gauss(d) for d in range(33)]  # by features of a path; MLlib's trees have at most 30 levels
+_PATTERNS = [(np.arange(1 << d)[:, None] >> np.arange(d) & 1).astype(float) for d in range(TABLE_BITS + 1)]
 
 
-def attributions(leaves: Sequence[Leaf], x: np.ndarray) -> np.ndarray:
+def leaf_shares(z: np.ndarray, o: np.ndarray) -> np.ndarray:
+    """Shares of a leaf of value 1 by pattern and feature: ``o`` has the bits of a pattern in a row."""
+    out = np.zeros(o.shape)
+    for t, w in zip(*_POINTS[len(z)]):
+        factors = z * (1 - t) + o * t  # above zero, as every child has training rows
+        out += (w * factors.prod(axis=1))[:, None] / factors
+    return out * (o - z)
+
+
+def _walk(trees: Trees, root: int, weight: float, x: np.ndarray, out: np.ndarray) -> None:
+    """Add a tree's attributions to ``out``, slots by rows; ``x`` is slots by rows."""
+    # (node, features of the path, their shares z, the bits o of every row)
+    stack = [(root, (), np.zeros(0), np.zeros(x.shape[1], np.int64))]
+    while stack:
+        node, features, z, bits = stack.pop()
+        if trees.left[node] < 0:
+            if not features:
+                continue
+            if len(features) <= TABLE_BITS:
+                table, pick = leaf_shares(z, _PATTERNS[len(features)]), bits
+            else:
+                found, pick = np.unique(bits, return_inverse=True)
+                table = leaf_shares(z, (found[:, None] >> np.arange(len(features)) & 1).astype(float))
+            table = np.ascontiguousarray((weight * trees.value[node] * table).T)
+            for feature, shares in zip(features, table):
+                out[feature] += shares.take(pick)
+            continue
+        feature = int(trees.feature[node])
+        listed = trees.categories.get(node)
+        left = x[feature] <= trees.threshold[node] if listed is None else np.isin(x[feature], listed)
+        known = feature in features
+        j = features.index(feature) if known else len(features)
+        path = features if known else (*features, feature)
+        for child, takes in ((int(trees.left[node]), left), (int(trees.right[node]), ~left)):
+            share = trees.cover[child] / trees.cover[node]
+            shares = z.copy() if known else np.append(z, 1.0)
+            shares[j] *= share
+            rows = bits & ~((~takes).astype(np.int64) << j) if known else bits | (takes.astype(np.int64) << j)
+            stack.append((child, path, shares, rows))
+
+
+def attributions(trees: Trees, x: np.ndarray) -> np.ndarray:
     """Shapley values, rows by vector slots."""
     out = np.zeros(x.shape)
-    for leaf in leaves:
-        features, o, z = _path(leaf, x)
-        d = len(features)
-        for i in range(d):
-            poly = np.zeros((len(x), d))  # coefficients by subset size
-            poly[:, 0] = 1.0
-            for j in range(d):
-                if j != i:
-                    up = poly * z[j]
-                    up[:, 1:] += poly[:, :-1] * o[:, j : j + 1]
-                    poly = up
-            shares = np.array([factorial(s) * factorial(d - s - 1) / factorial(d) for s in range(d)])
-            out[:, features[i]] += leaf.weight * leaf.value * (o[:, i] - z[i]) * (poly @ shares)
+    for i in range(0, len(x), ROWS):
+        part = np.ascontiguousarray(x[i : i + ROWS].T, float)
+        found = np.zeros(part.shape)
+        for root, weight in zip(trees.roots.tolist(), trees.weights.tolist()):
+            _walk(trees, root, weight, part, found)
+        out[i : i + ROWS] = found.T
     return out
 
 
-def row_attributions(model: Model, vectors: DataFrame, keys: Sequence[str]) -> DataFrame:
+def row_attributions(model: Model, vectors: DataFrame, keys: Sequence[str], trees: Trees | None = None) -> DataFrame:
     """Per row: the keys and the attribution of every vector slot."""
-    leaves = ensemble_leaves(model)
+    shared = vectors.sparkSession.sparkContext.broadcast(vars(trees or ensemble_trees(model)))
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nodes = Trees(**shared.value)
         for pdf in frames:
             if len(pdf):
-                phi = attributions(leaves, np.stack(pdf["__x"].to_numpy()))
+                phi = attributions(nodes, np.stack(pdf["__x"].to_numpy()))
                 yield pdf.drop(columns="__x").assign(attribution=list(phi))
 
     narrow = vectors.select(*keys, vector_to_array(FEATURES).alias("__x"))

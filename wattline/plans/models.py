@@ -42,8 +42,10 @@ _BOOST = {
     "subsample": "subsamplingRate", "colsample_bytree": "featureSubsetStrategy",
 }
 FIT_PARALLELISM = 4
-# "normal" is exact and accepts 4,096 slots at most; pass solver="l-bfgs" for wider vectors.
-LINEAR_SOLVER = "normal"
+# Normal equations are exact and take 4,096 slots at most; wider vectors are fitted by steps that
+# end when the loss stands still, which gives the same predictions to about six digits.
+NORMAL_SLOTS = 4096
+STEPWISE = {"solver": "l-bfgs", "tol": 1e-18, "maxIter": 2000}
 
 
 def make_regressor(name: str, width: int, params: Mapping[str, Any] | None = None, seed: int = 42):
@@ -53,7 +55,7 @@ def make_regressor(name: str, width: int, params: Mapping[str, Any] | None = Non
     settings = {**DEFAULT_PARAMS[name], **(params or {})}
     base = {"featuresCol": FEATURES, "labelCol": TARGET, "predictionCol": PREDICTION}
     if name == "linear_regression":
-        return LinearRegression(**base, regParam=0.0, **{"solver": LINEAR_SOLVER, **settings})
+        return LinearRegression(**base, regParam=0.0, **{**({"solver": "normal"} if width <= NORMAL_SLOTS else STEPWISE), **settings})
     names = _FOREST if name == "random_forest" else _BOOST
     unknown = sorted(set(settings) - set(names))
     if unknown:
