@@ -58,6 +58,8 @@ def sample():
     rows += [(500 + k, changed(rnd, base, 1 + k % 3), "en", "s", 0) for k in range(60)]  # a large group of near copies
     passage = prose(rnd, 80, 3000, seed=91)
     rows += [(600 + k, passage + " " + prose(rnd, 60, 3000, seed=200 + k), "en", "s", 0) for k in range(50)]  # a passage that many share
+    star = prose(rnd, 250, 3000, seed=93)  # alike to one text only: two of its changed copies are under the threshold
+    rows += [(1000, star, "en", "s", 0)] + [(1001 + k, changed(rnd, star, 6), "en", "s", 0) for k in range(50)]
     half = prose(rnd, 150, 3000, seed=92)
     rows += [(700 + k, changed(rnd, half, 18), "en", "s", 0) for k in range(40)]  # alike, but under the threshold
     rows += [(800 + k, rows[60][1].upper(), "en", "s", 0) for k in range(20)]  # one set

@@ -2,9 +2,10 @@
 
 A document is the set of its word shingles, described by COORDINATES minwise values. A tree
 branches all sets by the minwise token of its own first coordinate: sets with one token there
-share a node. A small node is compared exhaustively, and so is a large one of which all but a
-few members are linked already: only those few meet the others. What is larger is branched
-again, by two coordinates that its path selects. Two sets at
+share a node. A small node is compared exhaustively. A large one is dealt into chunks first,
+and its hubs, the members most similar to the others on average, are compared with all: a group
+of near copies is linked by them. Where all but a few members are linked then, only those few
+meet the others; what is larger is branched again, by two coordinates that its path selects. Two sets at
 the threshold t share a node of a tree with chance t, and TREES independent trees miss them
 with chance (1 - t)**TREES: 1e-7 at 0.8.
 
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +37,7 @@ COORDINATES = 64
 TREES = 10
 AGREE = 32
 NODE = 128  # sets that are compared exhaustively
+NOMINATED, HUBS = 4, 16  # central members that a chunk of a large node names, and that the node has
 DEPTH = 12  # levels after which large nodes are compared block by block
 BROADCAST_RECORDS = 300_000  # records (24 bytes each) that may be broadcast
 
@@ -106,8 +108,8 @@ def _near(side: DataFrame, n: int) -> DataFrame:
 
 
 def _shared(nodes: DataFrame) -> DataFrame:
-    """(node, size, pivot) of nodes with more than one set, stored; the pivot is the smallest record."""
-    sizes = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("record").alias("pivot"))
+    """(node, size) of nodes with more than one set, stored."""
+    sizes = nodes.groupBy("node").agg(F.count("*").alias("size"))
     return spool(sizes.where("size > 1"), "nodes")
 
 
@@ -120,20 +122,43 @@ def _root_nodes(records: DataFrame, node: int) -> DataFrame:
     shared = _shared(nodes)
     small = F.sum(F.when(F.col("size") <= node, F.expr("shiftleft(1, tree)")).otherwise(0)).alias("small")
     of = nodes.join(_near(shared, shared.count()), "node").groupBy("record")
-    of = of.agg(small, F.collect_list(F.struct("tree", "node", "size", "pivot")).alias("nodes"))  # at most one a tree
+    of = of.agg(small, F.collect_list(F.struct("tree", "node", "size")).alias("nodes"))  # at most one a tree
     return spool(records.join(of, "record").select("record", "n", "signature", "small", "nodes"), "members")
 
 
-def _groups(members: DataFrame, node: int) -> DataFrame:
-    """``members`` (node, size, pivot, record, ...) with the ``group`` in which each is compared.
+def _chunk(node: int) -> Column:
+    return F.pmod(F.xxhash64("record", "node"), F.ceil(F.col("size") / node))
 
-    A small node is one group. A large one is dealt into chunks, and its pivot is in each.
+
+def _hubs(large: DataFrame, node: int) -> DataFrame:
+    """(node, record) of the hubs of large nodes, stored; ``large`` has node, size, record and signature."""
+
+    def nominate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _by_key(batches, ["node", "chunk"]):
+            signature = np.concatenate([x.flatten().to_numpy() for x in table["signature"].chunks]).reshape(-1, COORDINATES)
+            score = agreement(signature).mean(axis=1)
+            best = np.argsort(-score, kind="stable")[:NOMINATED]
+            named = table.select(["node", "record"]).take(best).append_column("score", pa.array(score[best]))
+            yield from named.combine_chunks().to_batches()
+
+    dealt = large.select("node", _chunk(node).alias("chunk"), "record", "signature").repartition("node", "chunk").sortWithinPartitions("node", "chunk", "record")
+    named = dealt.mapInArrow(nominate, "node bigint, record bigint, score double")
+    nth = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("score"), "record"))
+    return spool(named.withColumn("nth", nth).where(F.col("nth") <= HUBS).select("node", "record"), "hubs")
+
+
+def _groups(members: DataFrame, hubs: DataFrame | None, node: int) -> DataFrame:
+    """``members`` (node, size, record, ...) with the ``group`` in which each is compared.
+
+    A small node is one group. A large one is dealt into chunks, and its hubs are in each.
     """
-    chunks = F.ceil(F.col("size") / node)
-    mine = F.array(F.pmod(F.xxhash64("record", "node"), chunks))
-    every = F.sequence(F.lit(0).cast("bigint"), chunks - 1)
-    chunk = F.when(F.col("size") <= node, F.array(F.lit(0).cast("bigint"))).when(F.col("record") == F.col("pivot"), every).otherwise(mine)
-    return members.withColumn("chunk", F.explode(chunk)).withColumn("group", F.xxhash64("node", "chunk")).drop("chunk")
+    own = F.when(F.col("size") <= node, F.lit(0).cast("bigint")).otherwise(_chunk(node))
+    rows = members.withColumn("chunk", own)
+    if hubs is not None:
+        every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("size") / node) - 1))
+        met = rows.join(_near(hubs, hubs.count()), ["node", "record"], "left_semi").withColumn("other", every).where("other <> chunk")
+        rows = rows.unionByName(met.drop("chunk").withColumnRenamed("other", "chunk"))
+    return rows.withColumn("group", F.xxhash64("node", "chunk")).drop("chunk")
 
 
 def _by_key(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -367,8 +392,11 @@ def set_links(docs: DataFrame, records: DataFrame, shingle: int = SHINGLE, node:
     members = _root_nodes(records, node)
     members = members.select("record", "n", "signature", "small", F.explode("nodes").alias("at")).select("record", "n", "signature", "small", "at.*")
 
+    huge = members.where(F.col("size") > node)
+    hubs = None if huge.isEmpty() else _hubs(huge, node)
+
     def groups(condition: Column, filtered: bool) -> DataFrame:
-        rows = _groups(links.known(members.where(condition)), node)
+        rows = _groups(links.known(members.where(condition)), hubs, node)
         return links.mixed(rows, "group") if filtered else rows
 
     every = F.lit(True)
@@ -394,8 +422,10 @@ def set_links(docs: DataFrame, records: DataFrame, shingle: int = SHINGLE, node:
         children = spool(large.select("record", "n", "signature", F.explode(paths).alias("node")), "branched")
         shared = _shared(children)
         children = children.join(_near(shared, shared.count()), "node")
-        rows = _groups(links.known(children.where(F.col("size") > node)), node)
-        links.confirm(_clusters(_leaf_rows(links.mixed(rows, "group")), True))
+        huge = children.where(F.col("size") > node)
+        if not huge.isEmpty():
+            rows = _groups(links.known(huge), _hubs(huge, node), node)
+            links.confirm(_clusters(_leaf_rows(links.mixed(rows, "group")), True))
         nodes = _classified(links.known(children.select("node", "record")), node)
         at = spool(links.known(children.drop("size").join(_near(nodes, nodes.count()), "node")), "open-nodes")
         links.confirm(_clusters(_leaf_rows(_whole_groups(at.where("whole"), node)), False))
