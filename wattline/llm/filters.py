@@ -19,6 +19,7 @@ from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,8 +35,8 @@ MAX_UPPER_PCT = 2
 SYMBOLS = b"#$%&*|"
 _ROW = 33  # bits that monotonically_increasing_id gives to a row within its partition
 
-_IS_SYMBOL = np.zeros(256, bool)
-_IS_SYMBOL[list(SYMBOLS)] = True
+_UPPER = bytes(range(65, 91))
+_TAILS = bytes(range(128, 192))  # bytes of a character after its first
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -52,7 +53,7 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(f"u{width}").ravel().astype(np.int64)
 
 
-def counts_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+def counts_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """(words, indptr, indices, data): the texts as rows of a matrix over their own words, which are sorted."""
     number: dict[bytes, int] = {}
     indptr, indices, data = np.zeros(len(texts) + 1, np.int64), [], []
@@ -61,22 +62,18 @@ def counts_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray,
         indices.extend([number.setdefault(w, len(number)) for w in found])
         data.extend(found.values())
         indptr[i + 1] = len(indices)
-    words = sorted(number)
+    words = pa.array(number, pa.binary())
+    order = pc.sort_indices(words)
     place = np.empty(len(words), np.int64)
-    place[[number[w] for w in words]] = np.arange(len(words))
-    return words, indptr, place[np.array(indices, np.int64)], np.array(data, np.int64)
+    place[order.to_numpy()] = np.arange(len(words))
+    return words.take(order), indptr, place[np.array(indices, np.int64)], np.array(data, np.int64)
 
 
 def marks_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(too many of A-Z, holds a symbol) of each text."""
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    ends = np.cumsum([len(t) for t in texts])
-
-    def per_text(hit: np.ndarray) -> np.ndarray:
-        return np.diff(np.concatenate(([0], np.cumsum(hit, dtype=np.int64)))[np.concatenate(([0], ends))])
-
-    upper, points = per_text((data >= 65) & (data <= 90)), per_text((data & 0xC0) != 0x80)
-    return 100 * upper > MAX_UPPER_PCT * points, per_text(_IS_SYMBOL[data]) > 0
+    removed = lambda chars: np.array([len(t) - len(t.translate(None, chars)) for t in texts], np.int64)
+    points = np.array([len(t) for t in texts], np.int64) - removed(_TAILS)
+    return 100 * removed(_UPPER) > MAX_UPPER_PCT * points, removed(SYMBOLS) > 0
 
 
 def _local_shards(rows: DataFrame) -> DataFrame:
@@ -103,7 +100,7 @@ def _local_shards(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     one(batch.column(0)), one(batch.column(1).cast(pa.string())), one(pa.array(digests, pa.binary())),
-                    pa.array([(4 * upper + 8 * symbol).astype(np.uint8).tobytes()], pa.binary()), one(pa.array(words, pa.binary())),
+                    pa.array([(4 * upper + 8 * symbol).astype(np.uint8).tobytes()], pa.binary()), one(words),
                     *[pa.array([packed(x)], pa.binary()) for x in matrix],
                 ],
                 names=schema.names,
