@@ -117,3 +117,38 @@ def test_runs_of_keys_go_over_batches(size):
     table = pa.table({"k": pa.array(keys, pa.int64()), "x": list(range(7))})
     runs = [t["x"].to_pylist() for t in chosen._by_key(iter(table.to_batches(max_chunksize=size)), ["k"])]
     assert runs == [[0, 1, 2], [3], [4, 5], [6]]
+
+
+def test_similar_pairs_of_small_and_of_large_clusters(monkeypatch):
+    rnd = np.random.default_rng(5)
+    base = np.arange(400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rnd.choice(base, 380 - i, replace=False), base[: i] + np.uint64(1000 * i)])) for i in range(30)]
+    plain = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    assert chosen.overlaps(sets, most=900).tolist() == chosen.overlaps(sets).tolist() == plain
+    union = [[len(np.union1d(a, b)) for b in sets] for a in sets]
+    want = {(i, j) for i in range(30) for j in range(i) if 100 * plain[i][j] >= 80 * union[i][j]}
+    assert want and want == set(chosen.similar_pairs(sets))
+    monkeypatch.setattr(chosen, "MATRIX", 10)  # too large for a product: sizes only, the caller compares
+    assert want <= set(chosen.similar_pairs(sets))
+
+
+@pytest.mark.parametrize("core", [0, 700])
+def test_dense_groups_compare_every_open_pair(spark, core):
+    rows = [(1, 900, core, 10_000, r, 10_000 if r < core else r) for r in range(900)]
+    df = spark.createDataFrame(rows, "node long, size long, in_core long, core long, record long, component long")
+    met = {}
+    for r in chosen._dense_groups(df, 64).collect():
+        met.setdefault(r["group"], []).append((r["record"], r["side"]))
+    pairs = [tuple(sorted((a, b))) for g in met.values() for k, (a, s) in enumerate(g) for b, t in g[:k] if s != t or s < 0]
+    assert len(pairs) == len(set(pairs)) and max(map(len, met.values())) < 400
+    assert set(pairs) == {(a, b) for b in range(900) for a in range(b) if b >= core}
+
+
+def test_dense_nodes_are_told_by_their_open_pairs(spark):
+    def member(node, record, component, same):
+        return (node, 40, record, component, [7] * same + [record * 100 + c for c in range(64 - same)])
+
+    rows = [member(1, r, r, 33) for r in range(40)] + [member(2, r, r, 31) for r in range(40)]
+    rows += [member(3, r, 5, 64) for r in range(40)]  # all linked: nothing open
+    df = spark.createDataFrame(rows, "node long, size long, record long, component long, signature array<int>")
+    assert [r["node"] for r in chosen._dense(df, 64).collect()] == [1]

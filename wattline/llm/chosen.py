@@ -5,7 +5,9 @@ branches all sets by the minwise token of its own first coordinate: sets with on
 share a node. A small node is compared exhaustively. A large one is dealt into chunks first,
 and its hubs, the members most similar to the others on average, are compared with all: a group
 of near copies is linked by them. Where all but a few members are linked then, only those few
-meet the others; what is larger is branched again, by two coordinates that its path selects. Two sets at
+meet the others. Two paths carry a pair of similarity s to 2s children on average, so a large node
+whose unlinked pairs are half alike or more would only grow by branching and is compared block by
+block, as is one of a few blocks; any other is branched again, by two coordinates that its path selects. Two sets at
 the threshold t share a node of a tree with chance t, and TREES independent trees miss them
 with chance (1 - t)**TREES: 1e-7 at 0.8.
 
@@ -37,7 +39,10 @@ COORDINATES = 64
 TREES = 10
 AGREE = 32
 NODE = 128  # sets that are compared exhaustively
+BLOCKS = 8  # nodes of at most so many times NODE are compared block by block
 NOMINATED, HUBS = 4, 16  # central members that a chunk of a large node names, and that the node has
+PATHS = 2  # coordinates that branch a large node
+MATRIX = 4 << 20  # shingles of a cluster up to which its sets are confirmed by one product
 DEPTH = 12  # levels after which large nodes are compared block by block
 BROADCAST_RECORDS = 300_000  # records (24 bytes each) that may be broadcast
 
@@ -213,15 +218,17 @@ def agreement(signature: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def open_pairs(signature: np.ndarray, n: np.ndarray, component: np.ndarray, tree: int, small: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def open_pairs(signature: np.ndarray, n: np.ndarray, component: np.ndarray, tree: int, small: np.ndarray, first: int, side: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, agreeing coordinates) of the pairs of a group that may be similar and aren't known to be connected.
 
     Pairs that met in a small node of an earlier tree (from ``first`` on) are left to it; the
-    bits of ``small`` tell the trees in which a record's node is small.
+    bits of ``small`` tell the trees in which a record's node is small. Records on one ``side``
+    don't meet, unless it is negative.
     """
     agree = agreement(signature)
     fits = 100 * np.minimum(n[:, None], n[None, :]) >= SIMILAR_PCT * np.maximum(n[:, None], n[None, :])
     live = (agree >= AGREE) & fits & (component[:, None] != component[None, :])
+    live &= (side[:, None] != side[None, :]) | (side[:, None] < 0)
     for t in range(first, tree):
         live &= ~((signature[:, None, t] == signature[None, :, t]) & (small >> t & 1).astype(bool)[:, None])
     i, j = np.nonzero(np.triu(live, 1))
@@ -231,7 +238,7 @@ def open_pairs(signature: np.ndarray, n: np.ndarray, component: np.ndarray, tree
 def _clusters(rows: DataFrame, best_only: bool, first: int = 0) -> DataFrame:
     """(group, cluster, record, component) of the records of open pairs, linked by these within each group.
 
-    ``rows`` has group, record, component, n, signature, tree and small. With ``best_only``
+    ``rows`` has group, record, component, n, signature, tree and small, and may have side. With ``best_only``
     only the pairs of a heaviest forest over the known components count.
     """
 
@@ -247,9 +254,9 @@ def _clusters(rows: DataFrame, best_only: bool, first: int = 0) -> DataFrame:
         for table in _by_key(batches, ["group"]):
             if table.num_rows < 2:
                 continue
-            plain = {c: table[c].to_numpy() for c in ("group", "record", "component", "n", "tree", "small")}
+            plain = {c: table[c].to_numpy() for c in ("group", "record", "component", "n", "tree", "small", "side")}
             signature = np.concatenate([x.flatten().to_numpy() for x in table["signature"].chunks]).reshape(-1, COORDINATES)
-            i, j, agree = open_pairs(signature, plain["n"], plain["component"], int(plain["tree"][0]), plain["small"], first)
+            i, j, agree = open_pairs(signature, plain["n"], plain["component"], int(plain["tree"][0]), plain["small"], first, plain["side"])
             if not len(i):
                 continue
             joined, touched = Joined(table.num_rows), set()
@@ -271,11 +278,43 @@ def _clusters(rows: DataFrame, best_only: bool, first: int = 0) -> DataFrame:
                 yield flush()
         yield flush()
 
-    narrow = rows.select("group", "record", "component", "n", "signature", "tree", "small")
+    side = F.col("side") if "side" in rows.columns else F.lit(-1).alias("side")
+    narrow = rows.select("group", "record", "component", "n", "signature", "tree", "small", side)
     dealt = narrow.repartition("group").sortWithinPartitions("group", "record")
     return dealt.mapInArrow(find, "group bigint, cluster bigint, record bigint, component bigint")
 
 
+def overlaps(sets: list[np.ndarray], most: int = 1 << 20) -> np.ndarray:
+    """Sizes of the intersections of every two sets, from products of at most ``most`` cells."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = counts[at] > 1
+    column = (np.cumsum(counts > 1) - 1)[at[shared]]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], owner[shared][order]
+    width = max(1, most // len(sets))
+    out = np.zeros((len(sets),) * 2, np.int64)
+    for first in range(0, int(np.count_nonzero(counts > 1)), width):
+        a, b = np.searchsorted(column, [first, first + width])
+        cells = np.zeros((len(sets), width), np.float32)
+        cells[row[a:b], column[a:b] - first] = 1
+        out += (cells @ cells.T).astype(np.int64)
+    np.fill_diagonal(out, [len(s) for s in sets])
+    return out
+
+
+def similar_pairs(sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """(i, j), j < i, of all similar pairs by one product; for sets that are large in all, of those that may be by size."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    low, high = np.minimum(sizes[:, None], sizes[None, :]), np.maximum(sizes[:, None], sizes[None, :])
+    live = 100 * low >= SIMILAR_PCT * high
+    if sizes.sum() <= MATRIX:
+        both = overlaps(sets)
+        live &= 100 * both >= SIMILAR_PCT * (low + high - both)
+    i, j = np.nonzero(np.tril(live, -1))
+    return zip(i.tolist(), j.tolist(), strict=True)
+
+
 def _confirmed(clusters: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """(a, b): pairs of records whose whole sets are similar, enough of them to connect all that are, by cluster."""
 
@@ -287,15 +326,14 @@ def _confirmed(clusters: DataFrame, texts: DataFrame, shingle: int) -> DataFrame
             joined, found, seen = Joined(len(sets)), [], {}
             for i, c in enumerate(table["component"].to_pylist()):  # what is known to be connected isn't compared again
                 joined.join(i, seen.setdefault(c, i))
-            for i in range(len(sets)):
-                for j in range(i):
-                    small, large = sorted((len(sets[i]), len(sets[j])))
-                    if record[i] == record[j] or 100 * small < SIMILAR_PCT * large or joined.root(i) == joined.root(j):
-                        continue
-                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if 100 * both >= SIMILAR_PCT * (small + large - both):
-                        joined.join(i, j)
-                        found.append((record[i], record[j]))
+            sure = sum(len(x) for x in sets) <= MATRIX
+            for i, j in similar_pairs(sets):
+                if record[i] == record[j] or joined.root(i) == joined.root(j):
+                    continue
+                both = 0 if sure else len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if sure or 100 * both >= SIMILAR_PCT * (len(sets[i]) + len(sets[j]) - both):
+                    joined.join(i, j)
+                    found.append((record[i], record[j]))
             if found:
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -350,6 +388,19 @@ class _Links:
         return rows.join(_near(of, of.count()), key, "left_semi")
 
 
+    def parted(self, rows: DataFrame, node: int) -> tuple[DataFrame, DataFrame]:
+        """The rows of dense nodes and of those of a few blocks, and the rows to branch, of the rows of large nodes."""
+        few = F.col("size") <= BLOCKS * node
+        rest = rows.where(~few)
+        columns = ["node", "size", "record", "n", "signature"]
+        if rest.isEmpty():
+            return rows, rest.select(*columns)
+        dense = _dense(rest, node)
+        n = dense.count()
+        settled = rows.where(few).unionByName(rest.join(_near(dense, n), "node", "left_semi").select(*rows.columns))
+        return settled, rest.join(_near(dense, n), "node", "left_anti").select(*columns)
+
+
 def _blocks(rows: DataFrame, node: int) -> DataFrame:
     """Large nodes block against block: every two of a node's members are in one group."""
     blocks = F.greatest(F.lit(2), F.ceil(F.col("size") * 2 / node))
@@ -382,6 +433,43 @@ def _whole_groups(rows: DataFrame, node: int) -> DataFrame:
     return rows.withColumn("chunk", F.explode(chunk)).withColumn("group", F.xxhash64("node", "chunk", F.lit(3)))
 
 
+def _dense(large: DataFrame, node: int) -> DataFrame:
+    """(node) of the large nodes whose open pairs agree in one of PATHS coordinates or more on average, stored.
+
+    ``large`` has node, size, record, component and signature; an open pair has two components.
+    The average is that of the pairs that share a chunk.
+    """
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _by_key(batches, ["node", "chunk"]):
+            signature = np.concatenate([x.flatten().to_numpy() for x in table["signature"].chunks]).reshape(-1, COORDINATES)
+            component = table["component"].to_numpy()
+            live = component[:, None] != component[None, :]
+            sums = [table["node"][0].as_py(), int(live.sum()), int(agreement(signature)[live].sum())]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in sums], names=["node", "pairs", "agreeing"])
+
+    dealt = large.select("node", _chunk(node).alias("chunk"), "record", "component", "signature")
+    dealt = dealt.repartition("node", "chunk").sortWithinPartitions("node", "chunk", "record")
+    sums = dealt.mapInArrow(measure, "node bigint, pairs bigint, agreeing bigint").groupBy("node").agg(F.sum("pairs").alias("pairs"), F.sum("agreeing").alias("agreeing"))
+    return spool(sums.where((F.col("pairs") > 0) & (F.col("agreeing") * PATHS >= F.col("pairs") * COORDINATES)).select("node"), "dense")
+
+
+def _dense_groups(rows: DataFrame, node: int) -> DataFrame:
+    """``rows`` of dense nodes with the ``group`` and ``side`` of each comparison.
+
+    The core and the others are dealt into blocks; a block of others meets itself and every block.
+    """
+    others, cores = (F.ceil(n / (2 * node)) for n in (F.col("size") - F.col("in_core"), F.col("in_core")))
+    in_core = F.col("component") == F.col("core")
+    place = F.xxhash64("record", "node")
+    mine = F.when(in_core, others + F.pmod(place, cores)).otherwise(F.pmod(place, others))
+    met = F.sequence(F.lit(0).cast("bigint"), F.when(in_core, others).otherwise(others + cores) - 1)
+    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(met))
+    group = F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other"), F.lit(7))
+    side = F.when(F.col("mine") == F.col("other"), -1).otherwise((F.col("mine") > F.col("other")).cast("int"))
+    return rows.withColumn("group", group).withColumn("side", side).drop("mine", "other")
+
+
 def set_links(docs: DataFrame, records: DataFrame, shingle: int = SHINGLE, node: int = NODE, depth: int = DEPTH) -> DataFrame:
     """(record, root): the smallest record that each linked record can reach.
 
@@ -409,7 +497,10 @@ def set_links(docs: DataFrame, records: DataFrame, shingle: int = SHINGLE, node:
     bits = at.groupBy("record").agg(F.sum(F.when(F.col("whole"), F.expr("shiftleft(1, tree)")).otherwise(0)).alias("small"))
     at = spool(links.known(at.join(bits, "record")), "open-nodes")
     links.confirm(_clusters(_whole_groups(at.where("whole"), node), False))
-    large = at.where("not whole").select("node", "size", "record", "n", "signature")
+    dense, large = links.parted(at.where("not whole"), node)
+    settled = at.where("whole").select("record", "tree").unionByName(dense.select("record", "tree"))
+    bits = settled.groupBy("record").agg(F.sum(F.expr("shiftleft(1, tree)")).alias("small"))
+    links.confirm(_clusters(_dense_groups(dense.drop("small").join(bits, "record"), node), False))
     for level in range(depth):
         if large.isEmpty():
             break
@@ -429,7 +520,8 @@ def set_links(docs: DataFrame, records: DataFrame, shingle: int = SHINGLE, node:
         nodes = _classified(links.known(children.select("node", "record")), node)
         at = spool(links.known(children.drop("size").join(_near(nodes, nodes.count()), "node")), "open-nodes")
         links.confirm(_clusters(_leaf_rows(_whole_groups(at.where("whole"), node)), False))
-        large = at.where("not whole").select("node", "size", "record", "n", "signature")
+        dense, large = links.parted(at.where("not whole"), node)
+        links.confirm(_clusters(_leaf_rows(_dense_groups(dense, node)), False))
     return links.roots
 
 
