@@ -3,4 +3,4 @@
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from suite import checks, models, sources, splits, statistics, streams, transforms  # noqa: F401
+    from suite import checks, measured, models, sources, splits, statistics, streams, transforms  # noqa: F401

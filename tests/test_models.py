@@ -266,6 +266,33 @@ def test_scoring_survives_a_failing_log(spark, telemetry, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 50
 
 
+def test_a_batch_is_scored_once_and_answers_name_their_request(spark, telemetry, tmp_path):
+    fields = [*FEATURES, "workload_type"]
+    payload = F.to_json(F.struct(F.array(F.struct(*fields), F.struct(*fields)).alias("records")))
+    telemetry.limit(20).select(payload.alias("value")).write.text(str(tmp_path / "in"))
+    (tmp_path / "in" / "zz.txt").write_text("no request\n")
+    calls = spark.sparkContext.accumulator(0)
+
+    def scorer(d):
+        def one(x):
+            calls.add(1)
+            return x * 2
+
+        return d.withColumn("prediction", F.udf(one, "double")("gpu_utilization_pct"))
+
+    q = jobs.score_stream(
+        spark.readStream.text(str(tmp_path / "in")), scorer, fields, fields,
+        str(tmp_path / "out"), str(tmp_path / "log"), str(tmp_path / "cp"), "m", "v", once=True,
+    )
+    _finish(q)
+    assert calls.value == 40 and spark.read.json(str(tmp_path / "log")).count() == 40
+    asked = spark.read.text(str(tmp_path / "in")).withColumn("request_key", F.sha2("value", 256))
+    answers = spark.read.parquet(str(tmp_path / "out")).join(asked, "request_key")
+    wrong = answers.where(F.get_json_object("value", "$.records[0].gpu_utilization_pct").cast("double") * 2 != F.col("predicted_power_watts"))
+    assert answers.count() == 40 and wrong.isEmpty()
+    assert spark.read.parquet(str(tmp_path / "out-rejects")).first()["value"] == "no request"
+
+
 def test_drift_stream_reports_per_batch(spark, telemetry, tmp_path):
     profile = reference_profile(telemetry, ["gpu_utilization_pct"], [])
     telemetry.select("gpu_utilization_pct").coalesce(1).write.parquet(str(tmp_path / "in"))

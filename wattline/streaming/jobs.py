@@ -9,6 +9,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -21,6 +22,7 @@ from wattline.sources.smi_text import label_samples, malformed_lines, parse_line
 
 log = logging.getLogger(__name__)
 
+REQUEST_KEY = "request_key"
 Scorer = Callable[[DataFrame], DataFrame]
 
 
@@ -46,7 +48,9 @@ def score_stream(
 
     ``scorer`` adds ``prediction`` to rows that carry the record fields. ``row_index`` is
     the record's position in its request, and columns of the stream other than ``value``
-    are written with it, so a client finds its answer. Requests without a record go to
+    are written with it. ``request_key`` names the request: the stream's own column of that
+    name, else the SHA-256 of its text, which a client can work out; requests of one text
+    have one answer. A batch is scored once. Requests without a record go, with their key, to
     ``reject_path`` (by default ``out_path`` with ``-rejects``). The log never blocks
     scoring: when it fails the batch still counts as done.
     """
@@ -54,16 +58,21 @@ def score_stream(
 
     def each(batch: DataFrame, batch_id: int) -> None:
         own = [c for c in batch.columns if c != "value" and c not in order]
-        scored = scorer(request_rows(batch)).drop("extras")
-        target = f"{out_path.rstrip('/')}/batch_id={batch_id}"
-        answers = scored.select(*own, *order, "row_index", F.col("prediction").alias("predicted_power_watts"))
-        answers.write.mode("overwrite").parquet(target)
-        empty_requests(batch).write.mode("overwrite").parquet(f"{rejects}/batch_id={batch_id}")
+        own = [*own, *([REQUEST_KEY] if REQUEST_KEY not in own else [])]
+        keyed = batch if REQUEST_KEY in batch.columns else batch.withColumn(REQUEST_KEY, F.sha2("value", 256))
+        # answers and log come from one scoring of the batch; what doesn't fit in memory goes to disk
+        scored = scorer(request_rows(keyed)).drop("extras").persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            entries = log_rows(scored, inputs, model_name, model_version)
-            entries.write.mode("overwrite").option("ignoreNullFields", False).json(f"{log_path.rstrip('/')}/batch_id={batch_id}")
-        except Exception:  # noqa: BLE001 - logging must not stop scoring
-            log.exception("prediction log failed for batch %s", batch_id)
+            answers = scored.select(*own, *order, "row_index", F.col("prediction").alias("predicted_power_watts"))
+            answers.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch_id={batch_id}")
+            empty_requests(keyed).write.mode("overwrite").parquet(f"{rejects}/batch_id={batch_id}")
+            try:
+                entries = log_rows(scored, inputs, model_name, model_version)
+                entries.write.mode("overwrite").option("ignoreNullFields", False).json(f"{log_path.rstrip('/')}/batch_id={batch_id}")
+            except Exception:  # noqa: BLE001 - logging must not stop scoring
+                log.exception("prediction log failed for batch %s", batch_id)
+        finally:
+            scored.unpersist()
 
     return _start(requests, each, checkpoint, once)
 
