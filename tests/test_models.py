@@ -213,7 +213,10 @@ def test_end_to_end_and_registry(spark, telemetry, tmp_path):
         sweep_space={"random_forest": {"n_estimators": [1, 2], "max_depth": [2]}},
     )
     tables, done = run.run_experiment(df, "mit_supercloud", options)
-    assert tables["scorecard"].first()["best_model"] == "linear_regression"
+    card = tables["scorecard"].first()
+    assert card["best_model"] == "linear_regression" and card["sweep_model"] == "random_forest"
+    assert card["sweep_rmse"] > 0 and card["ablation_set"] is None and card["target_risk"] is False
+    assert card["name_leakage_flags"] == 0 and card["corr_leakage_flags"] is not None
     assert {"metrics", "data_audit", "reference_profile", "random_forest_attribution", "linear_regression_permutation_importance"} <= set(tables)
     paths = sinks.write_tables({k: tables[k] for k in ("metrics", "target_summary", "data_audit")}, str(tmp_path / "out"), "csv")
     assert spark.read.option("header", True).csv(paths["metrics"]).count() == 2

@@ -113,7 +113,8 @@ def run_experiment(df: DataFrame, source: str, options: RunOptions = RunOptions(
             df, cv, o.params, o.cv_folds, o.seed, o.exclude
         )
     tables["scorecard"] = run_scorecard(
-        tables["metrics"], tables.get("grouped_blocked_cv_summary"), tables.get("split_comparison_best"), tables["target_summary"]
+        tables["metrics"], tables.get("grouped_blocked_cv_summary"), tables.get("split_comparison_best"), tables["target_summary"],
+        tables.get("feature_ablation_best_by_set"), tables.get("hyperparameter_sweep_best"), tables["data_audit_summary"],
     )
     return tables, run
 
