@@ -1,4 +1,5 @@
 import random
+import textwrap
 
 from helpers import DOCS, documents, edge_docs, prose
 
@@ -47,3 +48,21 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "license_id string, text string")
     assert licenses.scan(empty).collect() == []
     assert [r["license_id"] for r in licenses.scan(documents(spark, sample()[:3]), none).collect()] == [None] * 3
+
+
+def test_titles_holders_and_line_breaks_do_not_matter(spark):
+    rows, want = [], {}
+    for kind, text in licenses.TEXTS.items():
+        whole = " ".join(text.split())
+        for width in range(50, 121):
+            wrapped = "\n".join(textwrap.wrap(whole, width, break_on_hyphens=False))
+            title = random.Random(width).choice(["", *licenses.TITLES[kind]])
+            holder = random.Random(-width).choice(["", "Copyright (c) 2020 Some One", "Copyright 1999-2004, X and others", "(C) by Y", "Copyright (c) Z"])
+            lines = "\n".join(x for x in (title, holder, wrapped) if x)
+            if width % 3 == 0:
+                lines = "\n".join("# " + x for x in lines.split("\n"))
+            want[len(rows)] = kind
+            rows.append((len(rows), lines))
+    rows.append((len(rows), licenses.TEXTS["MIT"] + "\n(c) You must retain all notices."))  # a clause, not a holder
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["license_id"] for r in got} == {**want, len(rows) - 1: None}

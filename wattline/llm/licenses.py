@@ -43,6 +43,11 @@ INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS
 AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
 PERFORMANCE OF THIS SOFTWARE.""",
 }
+# Title lines that stand above these texts.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+}
 # Spellings and words that count as equal, applied in this order.
 EQUAL = (
     ("licence", "license"),
@@ -51,11 +56,11 @@ EQUAL = (
     ("organisation", "organization"),
     ("merchantibility", "merchantability"),
     ("noncommercial", "non commercial"),
-    ("sublicence", "sublicense"),
     ("https", "http"),
 )
-# A line that opens with a copyright mark and gives a year or a holder.
-COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
+# A line, perhaps a comment, that opens with a copyright mark before a year, "by" or a second mark; a clause
+# that a line break happens to begin with "copyright" or "(c)" is none.
+COPYRIGHT = r"(^|\n)[ \t#*/;%-]*(copyright[ \t]*(\(c\)|©)|(copyright|\(c\)|©)[ \t]*:?[ \t]*(by[ \t]|[0-9]{4}))[^\n]*"
 
 
 def canonical(text: Column) -> Column:
@@ -71,10 +76,15 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
+def shipped() -> list[tuple[str, str]]:
+    """(license_id, text) of the notices and texts, these with and without a title."""
+    titled = [(k, f"{title}\n\n{TEXTS[k]}") for k, titles in TITLES.items() for title in titles]
+    return [*((k, t) for k, texts in NOTICES.items() for t in texts), *TEXTS.items(), *titled]
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
     """(license_id, text) of the licences and notices that ship with the operator."""
-    rows = [(k, t) for k, texts in NOTICES.items() for t in texts] + list(TEXTS.items())
-    return spark.createDataFrame(rows, "license_id string, text string")
+    return spark.createDataFrame(shipped(), "license_id string, text string")
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import permutations
 
-from wattline.llm.licenses import COPYRIGHT, EQUAL, NOTICES, TEXTS
+from wattline.llm.licenses import COPYRIGHT, EQUAL, shipped
 
 
 def _text(value: str) -> str:
@@ -19,7 +19,7 @@ def _canonical(column: str) -> str:
     return f"trim({out})"
 
 
-_KNOWN = ", ".join(f"('{k}', {_text(t)})" for k, t in [*((k, t) for k, ts in NOTICES.items() for t in ts), *TEXTS.items()])
+_KNOWN = ", ".join(f"('{k}', {_text(t)})" for k, t in shipped())
 
 LICENSE_SCAN = f"""
 WITH given(license_id, body) AS (VALUES {_KNOWN}),
