@@ -66,7 +66,7 @@ def one_hot(spark, sf_dir):
 def _fit(spark, sf_dir, name, features, params=None):
     df = telemetry(spark, sf_dir)
     pre = fit_preprocessor(df, features, [])
-    model = models.make_regressor(name, len(pre.slots), params).fit(pre.transform(df))
+    model = models.make_regressor(name, pre.width, params).fit(pre.transform(df))
     return df, pre, model
 
 
@@ -117,7 +117,7 @@ def one_hot_many(spark, sf_dir):
     df = telemetry(spark, sf_dir).select("k1", F.col("k1").cast("string").alias("order"))
     pre = fit_preprocessor(df, [], ["order"])
     out = pre.transform(df).groupBy("k1", F.col("ix__order").alias("slot")).agg(F.count("*").alias("rows"))
-    return out.withColumn("slots", F.lit(len(pre.slots)).cast("bigint"))
+    return out.withColumn("slots", F.lit(pre.width).cast("bigint"))
 
 
 @query("ml_04_gradient_boosting")

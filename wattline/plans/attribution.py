@@ -184,11 +184,11 @@ def row_attributions(model: Model, vectors: DataFrame, keys: Sequence[str], tree
 
 
 def mean_attribution(
-    model: Model, vectors: DataFrame, slots: Sequence[str], name: str, order: Sequence[str] = (), max_rows: int | None = None
+    model: Model, vectors: DataFrame, slots: Sequence[str] | DataFrame, name: str, order: Sequence[str] = (), max_rows: int | None = None
 ) -> DataFrame:
     """(feature, mean_abs_attribution, model, sample_rows), largest first.
 
-    Every row counts; ``max_rows`` limits the report to the first rows of ``order``.
+    ``slots`` names the slots, as a list or as a table (slot, name). Every row counts; ``max_rows`` limits the report to the first rows of ``order``.
     """
     rows = vectors
     if max_rows is not None:
@@ -196,9 +196,9 @@ def mean_attribution(
     per = row_attributions(model, rows, [])
     long = per.select(F.posexplode("attribution").alias("slot", "a"))
     sums = long.groupBy("slot").agg(F.avg(F.abs("a")).alias("mean_abs_attribution"), F.count("*").alias("sample_rows"))
-    names = vectors.sparkSession.createDataFrame(list(enumerate(slots)), "slot int, feature string")
+    names = slots if isinstance(slots, DataFrame) else vectors.sparkSession.createDataFrame(list(enumerate(slots)), "slot bigint, name string")
     return (
-        sums.join(F.broadcast(names), "slot")
-        .select("feature", "mean_abs_attribution", F.lit(name).alias("model"), "sample_rows")
+        sums.join(names, "slot")
+        .select(F.col("name").alias("feature"), "mean_abs_attribution", F.lit(name).alias("model"), "sample_rows")
         .orderBy(F.col("mean_abs_attribution").desc(), "feature")
     )

@@ -162,7 +162,7 @@ def fit_models(
 
     def fit(label: str) -> Model:
         name, params = fits[label]
-        return make_regressor(name, len(data.pre.slots), params, seed).fit(data.train)
+        return make_regressor(name, data.pre.width, params, seed).fit(data.train)
 
     if len(fits) > 1:
         data.train.count()  # fill the cache once, not once per thread
@@ -218,7 +218,7 @@ def fit_full_pipeline(
     pre = fit_preprocessor(rows.select(*numbers, *texts, TARGET), numbers, texts, exact)
     vectors = pre.transform(rows).select(FEATURES, TARGET).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        fitted = make_regressor(model, len(pre.slots), params, seed).fit(vectors)
+        fitted = make_regressor(model, pre.width, params, seed).fit(vectors)
     finally:
         vectors.unpersist()
     return PipelineModel([*pre.pipeline.stages, fitted]), numbers, texts
@@ -226,10 +226,11 @@ def fit_full_pipeline(
 
 def importances(run: TrainingRun) -> DataFrame:
     """(model, feature, importance): impurity importance, or the absolute coefficient."""
+    spark = run.predictions.sparkSession
     rows = []
     for name, model in run.models.items():
         weights = model.coefficients if hasattr(model, "coefficients") else model.featureImportances
-        rows += [(name, slot, abs(float(w))) for slot, w in zip(run.pre.slots, weights.toArray())]
-    spark = run.predictions.sparkSession
-    table = spark.createDataFrame(rows, "model string, feature string, importance double")
-    return table.orderBy("model", F.col("importance").desc(), "feature")
+        rows += [(name, slot, abs(float(w))) for slot, w in enumerate(weights.toArray())]
+    table = spark.createDataFrame(rows, "model string, slot bigint, importance double")
+    named = table.join(run.pre.slot_names(spark), "slot").select("model", F.col("name").alias("feature"), "importance")
+    return named.orderBy("model", F.col("importance").desc(), "feature")

@@ -4,7 +4,9 @@ Numbers: median fill, then standardise with the population deviation. Text: fill
 with the most frequent value (ties to the smaller one), then one-hot with all
 zeros for values not seen in training. The fitted form is one ``SQLTransformer``
 plus indexer, encoder and assembler, so it runs in whole-stage code, saves with
-the model and works on streams.
+the model and works on streams. Where the text columns have more than ``LISTED``
+values together, or an empty one, a stored table of numbered values takes the place of indexer and
+encoder (``categories.py``), so that no list of labels reaches the driver.
 """
 
 from __future__ import annotations
@@ -14,25 +16,33 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattline.functions.coerce import numeric
 from wattline.operators.drift import value_counts
 from wattline.operators.selection import medians
 from wattline.operators.wide import column_stats
+from wattline.plans.categories import CategoryVectors, number_categories
+from wattline.session import spool
 
 FEATURES = "features"
+# Labels that an indexer may keep on the driver, all text columns together.
+LISTED = 10_000
 
 
 @dataclass
 class Preprocessor:
-    """Fitted preprocessing and the names of the vector's slots."""
+    """Fitted preprocessing, the width of its vector and the names of the slots.
+
+    ``slots`` is None where there are too many to list; ``slot_names`` has them at any width.
+    """
 
     pipeline: PipelineModel
     numeric: list[str]
     categorical: list[str]
-    slots: list[str]
+    slots: list[str] | None
+    width: int
     dropped: list[str] = field(default_factory=list)
     fills: dict[str, object] = field(default_factory=dict)
     means: dict[str, float] = field(default_factory=dict)
@@ -41,6 +51,12 @@ class Preprocessor:
     def transform(self, df: DataFrame) -> DataFrame:
         return self.pipeline.transform(df)
 
+    def slot_names(self, spark: SparkSession) -> DataFrame:
+        """(slot, name) of every slot, as a table."""
+        if self.slots is None:
+            return self.pipeline.stages[-1].slot_names(spark)
+        return spark.createDataFrame(list(enumerate(self.slots)), "slot bigint, name string")
+
 
 def _text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -50,26 +66,27 @@ def _number(value: float) -> str:
     return f"{value!r}D"
 
 
-def category_table(df: DataFrame, columns: Sequence[str], max_categories: int | None = None) -> dict[str, list[tuple[str, int]]]:
-    """(value, count) of each text column, sorted by value.
+def category_counts(
+    df: DataFrame, columns: Sequence[str], max_categories: int | None = None
+) -> tuple[DataFrame, dict[str, int]]:
+    """The stored (feature, value, n) of text columns, and how many values each has.
 
-    One-hot needs a slot and the indexer a label per value, and labels live on the
-    driver. ``max_categories`` makes a wider column an error that names it.
+    ``max_categories`` makes a wider column an error that names it.
     """
-    if not columns:
-        return {}
-    counts = value_counts(df, columns).persist()
-    try:
-        sizes = {r["feature"]: r["n"] for r in counts.groupBy("feature").agg(F.count("*").alias("n")).collect()}
-        wide = {c: n for c, n in sizes.items() if max_categories is not None and n > max_categories}
-        if wide:
-            raise ValueError(f"Too many categories for one-hot (limit {max_categories}): {wide}. Exclude these columns.")
-        out: dict[str, list[tuple[str, int]]] = {c: [] for c in columns}
-        for r in counts.collect():
-            out[r["feature"]].append((r["value"], r["n"]))
-    finally:
-        counts.unpersist()
-    return {c: sorted(v) for c, v in out.items()}
+    counts = spool(value_counts(df, columns), "values")
+    sizes = {r["feature"]: r["n"] for r in counts.groupBy("feature").agg(F.count("*").alias("n")).collect()}
+    wide = {c: n for c, n in sizes.items() if max_categories is not None and n > max_categories}
+    if wide:
+        raise ValueError(f"Too many categories for one-hot (limit {max_categories}): {wide}. Exclude these columns.")
+    return counts, sizes
+
+
+def _listed(counts: DataFrame, columns: Sequence[str]) -> dict[str, list[tuple[str, int]]]:
+    """(value, count) of each text column that has values, sorted by value. Counted few before."""
+    out: dict[str, list[tuple[str, int]]] = {c: [] for c in columns}
+    for r in counts.collect():
+        out[r["feature"]].append((r["value"], r["n"]))
+    return {c: sorted(v) for c, v in out.items() if v}
 
 
 def numeric_fit(df: DataFrame, columns: Sequence[str], exact: bool = True) -> dict[str, tuple[float, float, float]]:
@@ -93,8 +110,8 @@ def fit_preprocessor(
 ) -> Preprocessor:
     """Fit on a training table whose numeric columns are already numbers."""
     numbers = numeric_fit(df, list(numeric_columns), exact)
-    tables = category_table(df, list(categorical_columns), max_categories)
-    texts = {c: t for c, t in tables.items() if t}
+    counts, sizes = category_counts(df, list(categorical_columns), max_categories) if categorical_columns else (None, {})
+    texts = [c for c in categorical_columns if sizes.get(c)]
     dropped = [c for c in numeric_columns if c not in numbers] + [c for c in categorical_columns if c not in texts]
     if not numbers and not texts:
         raise ValueError("No usable feature column.")
@@ -104,28 +121,41 @@ def fit_preprocessor(
         for c, (f, m, s) in numbers.items()
     ]
     fills: dict[str, object] = {c: f for c, (f, _, _) in numbers.items()}
-    for c, values in texts.items():
-        fills[c] = min(values, key=lambda v: (-v[1], v[0]))[0]
-        parts.append(f"coalesce(cast(`{c}` as string), {_text(fills[c])}) AS `cat__{c}`")
+    # An indexer's label can't be the empty text.
+    listed = sum(sizes.values()) <= LISTED and not (texts and not counts.where(F.col("value") == "").isEmpty())
+    if not texts:
+        tables = {}
+    elif listed:
+        tables = _listed(counts, texts)
+        fills |= {c: min(v, key=lambda x: (-x[1], x[0]))[0] for c, v in tables.items()}
+    else:
+        numbered = number_categories(counts, texts)
+        fills |= numbered.fills
+    parts += [f"coalesce(cast(`{c}` as string), {_text(fills[c])}) AS `cat__{c}`" for c in texts]
     stages = [SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__")]
-    names = list(texts)
-    if names:
-        indexer = StringIndexerModel.from_arrays_of_labels(
-            [[v for v, _ in texts[c]] for c in names],
-            inputCols=[f"cat__{c}" for c in names],
-            outputCols=[f"ix__{c}" for c in names],
-            handleInvalid="keep",
+    plain = [f"num__{c}" for c in numbers]
+    if not listed:
+        last = CategoryVectors(
+            table=numbered.path, numbers=plain, columns=numbered.columns, sizes=numbered.sizes, outputCol=FEATURES
         )
-        # The indexer's last label is "unknown"; dropping that slot leaves all zeros.
-        encoder = OneHotEncoder(
-            inputCols=[f"ix__{c}" for c in names], outputCols=[f"oh__{c}" for c in names], dropLast=True
-        )
-        stages += [indexer, encoder.fit(PipelineModel([*stages, indexer]).transform(df.limit(1)))]
-    stages.append(
-        VectorAssembler(inputCols=[*[f"num__{c}" for c in numbers], *[f"oh__{c}" for c in names]], outputCol=FEATURES)
-    )
-    slots = [f"num__{c}" for c in numbers] + [f"cat__{c}_{v}" for c in names for v, _ in texts[c]]
+        slots, width = None, last.width
+    else:
+        if texts:
+            indexer = StringIndexerModel.from_arrays_of_labels(
+                [[v for v, _ in tables[c]] for c in texts],
+                inputCols=[f"cat__{c}" for c in texts],
+                outputCols=[f"ix__{c}" for c in texts],
+                handleInvalid="keep",
+            )
+            # The indexer's last label is "unknown"; dropping that slot leaves all zeros.
+            encoder = OneHotEncoder(
+                inputCols=[f"ix__{c}" for c in texts], outputCols=[f"oh__{c}" for c in texts], dropLast=True
+            )
+            stages += [indexer, encoder.fit(PipelineModel([*stages, indexer]).transform(df.limit(1)))]
+        last = VectorAssembler(inputCols=[*plain, *[f"oh__{c}" for c in texts]], outputCol=FEATURES)
+        slots = [*plain, *[f"cat__{c}_{v}" for c in texts for v, _ in tables[c]]]
+        width = len(slots)
     return Preprocessor(
-        PipelineModel(stages), list(numbers), names, slots, dropped, fills,
+        PipelineModel([*stages, last]), list(numbers), texts, slots, width, dropped, fills,
         {c: m for c, (_, m, _) in numbers.items()}, {c: s for c, (_, _, s) in numbers.items()},
     )

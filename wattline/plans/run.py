@@ -84,7 +84,7 @@ def diagnostic_tables(run: TrainingRun, options: RunOptions) -> dict[str, DataFr
                 test, model_scorer(run.pipeline(name)), [*run.pre.numeric, *run.pre.categorical], order, seed=options.seed
             )
         if options.attribution and isinstance(model, (RandomForestRegressionModel, GBTRegressionModel)):
-            out[f"{name}_attribution"] = mean_attribution(model, run.pre.transform(test), run.pre.slots, name, order)
+            out[f"{name}_attribution"] = mean_attribution(model, run.pre.transform(test), run.pre.slot_names(test.sparkSession), name, order)
     return out
 
 
