@@ -7,6 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from wattline.operators.drift import value_counts
+from wattline.operators import lookup
 from wattline.plans import categories, models, preprocessing
 from wattline.plans.preprocessing import fit_preprocessor
 
@@ -27,7 +28,7 @@ def test_table_form_equals_listed_form(spark, monkeypatch, broadcast_values):
     df = spark.createDataFrame(ROWS, SCHEMA).repartition(3)
     listed = fit_preprocessor(df, ["x"], ["w", "v"])
     monkeypatch.setattr(preprocessing, "LISTED", 3)
-    monkeypatch.setattr(categories.looked_up, "__defaults__", (broadcast_values,))
+    monkeypatch.setattr(lookup, "BROADCAST_KEYS", broadcast_values)
     table = fit_preprocessor(df, ["x"], ["w", "v"])
     assert table.slots is None and table.width == listed.width == len(listed.slots)
     assert table.fills == listed.fills and table.categorical == listed.categorical
@@ -45,17 +46,18 @@ def test_hot_values_are_few_and_not_shuffled_together(spark):
     df = spark.range(6000).select(
         F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("v"), (F.col("id") / 2).cast("int").cast("string"))).alias("w"), "id"
     )
-    found = categories.number_categories(value_counts(df, ["w"]), ["w"], broadcast_share=10)
+    found = categories.number_categories(value_counts(df, ["w"]), ["w"], hot_share=10)
     side = spark.read.parquet(found.path)
     assert [r["value"] for r in side.where("hot").collect()] == ["hot"]
     assert found.fills == {"w": "hot"} and found.sizes == [side.count()]
-    out = categories.looked_up(df, side, found.sizes[0], F.col("w"), "ix", broadcast_values=0)
+    table = side.select(F.col("value").alias("key"), F.col("ix").alias("found"), "hot")
+    out = lookup.look_up(df, table, found.sizes[0], F.col("w"), "ix", broadcast_keys=0)
     want = {v: i for i, v in enumerate(sorted({r["w"] for r in df.collect()}))}
     rows = out.collect()
     assert len(rows) == 6000 and all(r["ix"] == want[r["w"]] for r in rows)
     # A hot row is dealt by itself, so its tasks stay level.
     key = F.when(F.col("w") != "hot", F.col("w"))
-    deal = F.when(F.col("w") != "hot", F.lit(-1)).otherwise(F.pmod(F.xxhash64(F.spark_partition_id(), "w", "id"), F.lit(categories.SPREAD)))
+    deal = F.when(F.col("w") != "hot", F.lit(-1)).otherwise(lookup.dealt(df))
     loads = [r["count"] for r in df.repartition(8, key, deal).groupBy(F.spark_partition_id()).count().collect()]
     assert max(loads) < 2 * 6000 / 8
 

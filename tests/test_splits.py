@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from wattline.operators import splits
+from wattline.operators import lookup, splits
 from wattline.operators.splits import attach_folds, grouped_folds, split
 
 
@@ -88,7 +88,7 @@ def test_grouped_folds_with_a_hot_session(spark):
 def test_salted_fold_join_gives_the_same_rows(spark, telemetry, monkeypatch):
     folds = grouped_folds(telemetry, 3)
     plain = attach_folds(telemetry, folds).groupBy("fold").count().collect()
-    monkeypatch.setattr(splits, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(lookup, "BROADCAST_KEYS", 2)
     salted = attach_folds(telemetry, folds)
     assert sorted(salted.groupBy("fold").count().collect()) == sorted(plain)
 

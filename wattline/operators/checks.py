@@ -1,4 +1,4 @@
-"""Dataset summary and suitability checks, all from one scan."""
+"""Dataset summary and suitability checks, from one scan and the stored session counts."""
 
 from __future__ import annotations
 
@@ -15,14 +15,19 @@ from wattline.contract import (
 )
 from wattline.functions.coerce import numeric
 from wattline.operators.columns import numeric_columns
+from wattline.operators.selection import whole_median
+from wattline.session import spool
 
 
 def _ranged(df: DataFrame) -> list[str]:
     return [c for c in EXPECTED_RANGES if c in df.columns]
 
 
-def _facts(df: DataFrame, source: str) -> DataFrame:
-    """One row of counts. Sessions are counted first and rolled up, so one scan serves all."""
+def _facts(df: DataFrame, source: str, middle: bool = False) -> DataFrame:
+    """One row of counts. Sessions are counted first and rolled up, so one scan serves all.
+
+    ``middle`` adds the median session size, for which the sessions' counts are stored.
+    """
     spec = contract(source)
     has_target, has_session = spec.target_column in df.columns, spec.session_column in df.columns
     y = numeric(df, spec.target_column) if has_target else F.lit(None).cast("double")
@@ -40,14 +45,17 @@ def _facts(df: DataFrame, source: str) -> DataFrame:
         F.max("y_max").alias("target_max"),
         F.count("*").alias("groups"),
         F.coalesce(F.min("n"), F.lit(0)).alias("least"),
-        F.percentile("n", 0.5).alias("middle"),
         F.coalesce(F.max("n"), F.lit(0)).alias("most"),
     ]
     for i, c in enumerate(_ranged(df)):
         x, (low, high) = numeric(df, c), EXPECTED_RANGES[c]
         partial += [F.count(x).alias(f"v{i}"), F.count_if((x < low) | (x > high)).alias(f"o{i}")]
         total += [F.sum(f"v{i}").alias(f"v{i}"), F.sum(f"o{i}").alias(f"o{i}")]
-    return df.groupBy(group.alias("g")).agg(*partial).agg(*total)
+    per = df.groupBy(group.alias("g")).agg(*partial)
+    if middle:
+        per = spool(per.drop("g"), "sessions")
+        total.append(F.lit(whole_median(per, "n")).cast("double").alias("middle"))
+    return per.agg(*total)
 
 
 def _ready(groups: Column, least: Column) -> Column:
@@ -63,7 +71,7 @@ def dataset_summary(df: DataFrame, source: str) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     session = (lambda c: F.col(c)) if has_session else (lambda c: zero)
     rate = 1.0 - F.try_divide(F.col("target_valid_rows"), F.col("n_rows"))
-    return _facts(df, source).select(
+    return _facts(df, source, has_session).select(
         F.lit(spec.name).alias("source"),
         F.lit(spec.data_kind).alias("data_kind"),
         "n_rows",

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from wattline.functions.coerce import epoch_micros
 from wattline.operators.selection import BINS, ROW_BOUND, Slot, bin_number, bin_width
-from wattline.session import sort_partitions, spool
+from wattline.session import size_known, sort_partitions, spool
 
 _CHUNK = 7  # bytes of a string that fit a non-negative BIGINT
 
@@ -252,13 +252,17 @@ def row_index(df: DataFrame, order: Sequence[str], name: str = "row_index") -> D
     Rows are range-partitioned and sorted on the full order, stored once, and the
     position inside a partition gets that partition's offset. The source partition
     id is the last sort key: it spreads a hot group of identical rows over many
-    ranges, and a re-run of a lost task gives it the same value.
+    ranges, and a re-run of a lost task gives it the same value. A table whose size is
+    not known before it is computed, such as a join, is stored first and its files
+    tell the number of ranges.
     """
     spark = df.sparkSession
     tagged = df.withColumn("__src", F.spark_partition_id())
+    if not size_known(df):
+        tagged = spool(tagged, "unsorted")
     keys = [F.col(f"`{c}`").asc_nulls_last() for c in total_order(df, order)] + [F.col("__src").asc()]
     placed = (
-        tagged.repartitionByRange(sort_partitions(df), *keys)
+        tagged.repartitionByRange(sort_partitions(tagged), *keys)
         .sortWithinPartitions(*keys)
         .drop("__src")
         .withColumn("__pos", F.monotonically_increasing_id())

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from wattline.contract import SESSION, TARGET, TIMESTAMP
 from wattline.functions.coerce import numeric
-from wattline.operators.selection import column_quantiles
+from wattline.operators.selection import column_quantiles, whole_median
+from wattline.session import spool
 
 # When a target distribution is suspicious.
 RISK_MAX_WATTS = 2000
@@ -19,15 +20,14 @@ RISK_TAIL_RATIO = 25
 def session_sizes(df: DataFrame, group: str = SESSION) -> DataFrame:
     """Rows per session, rolled up. A null id counts as one more session.
 
-    The median is over session sizes; there are at most sqrt(2n) different ones,
-    so the exact percentile keeps a small map.
+    The sizes are stored once and their median is found by rank, so no task holds them all.
     """
     name = F.coalesce(F.col(group).cast("string"), F.lit("nan"))
-    per = df.groupBy(name.alias("g")).agg(F.count("*").alias("n"))
+    per = spool(df.groupBy(name.alias("g")).agg(F.count("*").alias("n")).select("n"), "sizes")
     return per.agg(
         F.count("*").alias("unique_sessions"),
         F.coalesce(F.min("n"), F.lit(0)).alias("min_rows_per_session"),
-        F.percentile("n", 0.5).alias("median_rows_per_session"),
+        F.lit(whole_median(per, "n")).cast("double").alias("median_rows_per_session"),
         F.coalesce(F.max("n"), F.lit(0)).alias("max_rows_per_session"),
     )
 

@@ -207,6 +207,13 @@ def column_quantiles(
     }
 
 
+def whole_median(df: DataFrame, column: str) -> float | None:
+    """Exact median of a whole-number column, by ranks; None without values."""
+    v = F.col(f"`{column}`").cast("bigint")
+    long = df.select(F.lit(column).alias("series"), v.alias("v")).dropna(subset=["v"])
+    return quantiles(long, (0.5,)).get(column, {}).get(0.5)
+
+
 def medians(df: DataFrame, columns: Sequence[str], exact: bool = True) -> dict[str, float]:
     """Median of every numeric column that has a value."""
     return {c: q[0.5] for c, q in column_quantiles(df, columns, (0.5,), exact).items()}

@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 
 from wattline.contract import SESSION, TIMESTAMP
 from wattline.functions.coerce import HASH_EXTENT, hash60
+from wattline.operators.lookup import is_hot, look_up
 from wattline.operators.ordering import cut_point, flag_first, row_index
+from wattline.session import spool
 
 STRATEGIES = ("random", "time", "grouped")
-BROADCAST_ROWS = 200_000
-SALTS = 32
+BROADCAST_PIECES = 100_000
 
 
 def random_split(df: DataFrame, test_size: float, seed: int, keys: Sequence[str] | None = None) -> DataFrame:
@@ -47,12 +48,12 @@ def time_split(df: DataFrame, test_size: float, keys: Sequence[str] = ()) -> Dat
 def grouped_split(df: DataFrame, test_size: float, seed: int, group: str = SESSION) -> DataFrame:
     """Hold out whole sessions; train and test sessions are disjoint.
 
-    Only the boundary session is looked up. Every row then compares its own
+    The different sessions are stored once; of them only the boundary session is looked up. Every row then compares its own
     session hash with it, so the rows are not shuffled and a hot session costs
     nothing extra.
     """
     name = F.coalesce(F.col(f"`{group}`").cast("string"), F.lit("nan"))
-    groups = df.select(name.alias("__g")).distinct().withColumn("__h", hash60(seed, F.col("__g")))
+    groups = spool(df.select(name.alias("__g")).distinct().withColumn("__h", hash60(seed, F.col("__g"))), "sessions")
     n = groups.count()
     k = math.ceil(test_size * n)
     tagged = df.withColumn("__g", name).withColumn("__h", hash60(seed, name))
@@ -146,22 +147,19 @@ def grouped_folds(df: DataFrame, folds: int = 3, group: str = SESSION) -> DataFr
     )
     ranked = row_index(counts.withColumn("__neg", -F.col("rows")), ["__neg", group], "__idx").drop("__neg")
     turn = ((F.col("__idx") - F.col("lo")) % F.size("cycle")).cast("int")
-    placed = ranked.join(F.broadcast(table), "rows").where(F.col("__idx").between(F.col("lo"), F.col("hi")))
+    side = F.broadcast(table) if len(pieces) <= BROADCAST_PIECES else table
+    placed = ranked.join(side, "rows").where(F.col("__idx").between(F.col("lo"), F.col("hi")))
     return placed.select(group, "rows", (F.get("cycle", turn) + 1).cast("bigint").alias("fold"))
 
 
 def attach_folds(df: DataFrame, folds: DataFrame, group: str = SESSION) -> DataFrame:
     """Put each row's fold on it.
 
-    The session table is broadcast while it is counted small. Beyond that the
-    join is salted by source partition, so a session with a third of all rows is
-    spread over ``SALTS`` tasks.
+    ``folds`` is (session, rows, fold). Sessions that hold many of the rows are broadcast,
+    the others too while they are counted few, and joined by a shuffle beyond.
     """
     name = F.coalesce(F.col(f"`{group}`").cast("string"), F.lit("nan"))
-    side = folds.select(F.col(group).alias("__g"), "fold")
-    rows = df.withColumn("__g", name)
-    if folds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(side), "__g").drop("__g")
-    salted = rows.withColumn("__salt", F.pmod(F.hash(F.spark_partition_id()), F.lit(SALTS)))
-    spread = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(spread, ["__g", "__salt"]).drop("__g", "__salt")
+    sizes = folds.agg(F.count("*").alias("n"), F.sum("rows").alias("rows")).first()
+    side = folds.select(F.col(f"`{group}`").alias("key"), F.col("fold").alias("found"), is_hot(F.col("rows"), F.lit(sizes["rows"])).alias("hot"))
+    placed = look_up(df.withColumn("__g", name), side, sizes["n"], F.col("__g"), "fold")
+    return placed.where(F.col("fold").isNotNull()).drop("__g")

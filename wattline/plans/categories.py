@@ -4,9 +4,7 @@ The values are counted and numbered once by a distributed sort and stored as a t
 ``feature, value, ix, hot``. Rows look their number up in that table by a join, and the
 sparse vector is built from the numbers. The driver sees one line per column.
 
-A value that more than one row in ``HOT_SHARE`` carries is *hot*; a column has fewer than
-``HOT_SHARE`` of those, so they are broadcast and never shuffled onto one task. The other
-values are broadcast as well while they are counted few, and joined by a shuffle beyond.
+Values that many rows carry are broadcast and never shuffled onto one task (``lookup.py``).
 """
 
 from __future__ import annotations
@@ -23,12 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wattline.operators.lookup import HOT_SHARE, is_hot, look_up
 from wattline.operators.ordering import row_index
 from wattline.session import spool_path
 
-HOT_SHARE = 1000
-BROADCAST_VALUES = 100_000
-SPREAD = 1 << 20
 MAX_SLOTS = (1 << 31) - 1
 
 
@@ -42,7 +38,7 @@ class Categories:
     fills: dict[str, str]
 
 
-def number_categories(counts: DataFrame, columns: Sequence[str], broadcast_share: int = HOT_SHARE) -> Categories:
+def number_categories(counts: DataFrame, columns: Sequence[str], hot_share: int = HOT_SHARE) -> Categories:
     """Number the values of each column from 0 in their order and store the table.
 
     ``counts`` is (feature, value, n). A column without a value is left out. The fill value
@@ -60,37 +56,13 @@ def number_categories(counts: DataFrame, columns: Sequence[str], broadcast_share
     kept = [c for c in columns if c in at]
     side = spark.createDataFrame([(c, at[c]["__first"], at[c]["__rows"]) for c in kept], "feature string, __first bigint, __rows bigint")
     table = placed.join(F.broadcast(side), "feature").select(
-        "feature", "value", (F.col("__at") - F.col("__first")).alias("ix"), (F.col("n") * broadcast_share > F.col("__rows")).alias("hot")
+        "feature", "value", (F.col("__at") - F.col("__first")).alias("ix"), is_hot(F.col("n"), F.col("__rows"), hot_share).alias("hot")
     )
     path = spool_path(spark, "categories")
     table.write.parquet(path)
     return Categories(path, kept, [at[c]["__size"] for c in kept], {c: at[c]["__fill"] for c in kept})
 
 
-def looked_up(df: DataFrame, side: DataFrame, size: int, key: Column, name: str, broadcast_values: int = BROADCAST_VALUES) -> DataFrame:
-    """Add ``name``: the number of ``key`` in ``side`` (value, ix, hot), ``size`` where it is not there."""
-    if size <= broadcast_values:
-        values = F.broadcast(side.select(F.col("value").alias("__value"), F.col("ix").alias("__ix")))
-        found = df.join(values, key == F.col("__value"), "left")
-        return found.withColumn(name, F.coalesce("__ix", F.lit(size)).cast("double")).drop("__value", "__ix")
-    hot = F.broadcast(side.where("hot").select(F.col("value").alias("__value"), F.col("ix").alias("__hot")))
-    # Rows with a hot value are done; a null key matches nothing, and the spread deals them over all tasks.
-    spread = F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c.replace('`', '``')}`") for c in df.columns if _hashable(df, c)]), F.lit(SPREAD))
-    first = (
-        df.join(hot, key == F.col("__value"), "left")
-        .withColumn("__key", F.when(F.col("__hot").isNull(), key))
-        .withColumn("__deal", F.when(F.col("__hot").isNull(), F.lit(-1)).otherwise(spread))
-        .drop("__value")
-    )
-    rest = side.where(~F.col("hot")).select(F.col("value").alias("__key"), F.lit(-1).cast("bigint").alias("__deal"), F.col("ix").alias("__ix"))
-    found = first.join(rest, ["__key", "__deal"], "left")
-    return found.withColumn(name, F.coalesce("__hot", "__ix", F.lit(size)).cast("double")).drop("__key", "__deal", "__hot", "__ix")
-
-
-def _hashable(df: DataFrame, name: str) -> bool:
-    return isinstance(df.schema[name].dataType, (T.NumericType, T.StringType, T.TimestampType, T.DateType, T.BooleanType, T.BinaryType))
-
-
 def sparse_vector(width: int, indices: Column, values: Column) -> Column:
     """A sparse ML vector from ascending indices and their values, inside the JVM.
 
@@ -135,8 +107,9 @@ class CategoryVectors(Transformer, MLReadable, MLWritable):
         indices = [F.array(*[F.lit(i) for i in range(offset)]).cast("array<int>")]
         values = [F.array(*[F.col(f"`{c}`").cast("double") for c in numbers]).cast("array<double>")]
         for c, size in zip(self.getOrDefault(self.columns), self.getOrDefault(self.sizes)):
-            side = stored.where(F.col("feature") == c)
-            out = looked_up(out, side, size, F.col(f"`cat__{c}`"), f"ix__{c}")
+            side = stored.where(F.col("feature") == c).select(F.col("value").alias("key"), F.col("ix").alias("found"), "hot")
+            out = look_up(out, side, size, F.col(f"`cat__{c}`"), f"ix__{c}")
+            out = out.withColumn(f"ix__{c}", F.coalesce(F.col(f"`ix__{c}`"), F.lit(size)).cast("double"))
             slot = F.col(f"`ix__{c}`")
             known = slot < size
             none_i, none_v = F.array().cast("array<int>"), F.array().cast("array<double>")

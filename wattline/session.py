@@ -53,12 +53,33 @@ def spool_root(spark: SparkSession) -> str:
     return _LOCAL_SPOOL[app]
 
 
+_KNOWN_LEAVES = ("LogicalRelation", "LocalRelation", "Range", "InMemoryRelation", "OneRowRelation")
+_GUESSED = ("Join", "Generate", "Expand")
+
+
+def size_known(df: DataFrame) -> bool:
+    """Whether the optimizer's size of ``df`` comes from files or counted rows.
+
+    The estimate of a join is a product of its sides, that of an explode a guess, and a
+    table made from an RDD counts as endless.
+    """
+
+    def known(node) -> bool:
+        children = node.children()
+        if not children.size():
+            return node.getClass().getSimpleName() in _KNOWN_LEAVES
+        return node.getClass().getSimpleName() not in _GUESSED and all(known(children.apply(i)) for i in range(children.size()))
+
+    return known(df._jdf.queryExecution().optimizedPlan())
+
+
 def sort_partitions(df: DataFrame) -> int:
     """How many ranges a full sort of ``df`` should use.
 
     At least ``spark.sql.shuffle.partitions``, and enough that one range holds
     about 128 MB by the optimizer's size estimate, which adaptive execution does
-    not adjust for an explicit repartition.
+    not adjust for an explicit repartition. Where the estimate is no size
+    (``size_known``), store the table first.
     """
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -12,6 +12,8 @@ from wattline.functions.coerce import as_time, numeric
 from wattline.sources.files import read_text_csv
 
 KEYS = ("ts", "dv", "mt", "vl")
+# Columns that a wide table may get from metric names nobody listed.
+MAX_METRICS = 2000
 # Metric names and the normalised column each one becomes.
 METRIC_NAMES = {
     "gpu0_power_usage_report": "power_watts",
@@ -35,9 +37,22 @@ def scan_long_csv(spark: SparkSession, path: str) -> DataFrame:
     return typed_readings(read_text_csv(spark, path))
 
 
-def metric_names(readings: DataFrame) -> list[str]:
-    """Distinct metric names: the columns of the wide table, so few by nature."""
-    return sorted(r["mt"] for r in readings.select("mt").distinct().collect())
+def metric_names(readings: DataFrame, most: int = MAX_METRICS) -> list[str]:
+    """Distinct metric names, which become columns; more than ``most`` is an error.
+
+    A dirty metric column can hold a name per row; ``metric_maps`` takes any number.
+    """
+    found = [r["mt"] for r in readings.select("mt").distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"Over {most} metric names can't become columns. Name the metrics, or use metric_maps.")
+    return sorted(found)
+
+
+def metric_maps(readings: DataFrame) -> DataFrame:
+    """One row per (ts, dv) with a map from metric name to mean, however many names there are."""
+    means = readings.groupBy("ts", "dv", "mt").agg(F.avg("vl").alias("vl"))
+    entries = F.sort_array(F.collect_list(F.struct("mt", "vl")))
+    return means.groupBy("ts", "dv").agg(F.map_from_entries(entries).alias("metrics"))
 
 
 def pivot_readings(readings: DataFrame, metrics: Sequence[str] | None = None) -> DataFrame:
