@@ -135,7 +135,7 @@ def test_capped_wide_csv_takes_first_rows_of_an_order(spark, tmp_path):
 
 
 def test_solver_is_an_argument():
-    assert make_regressor("linear_regression", 5000).getSolver() == "normal"
+    assert make_regressor("linear_regression", 5000, {"solver": "normal"}).getSolver() == "normal"
     assert make_regressor("linear_regression", 3, {"solver": "l-bfgs"}).getSolver() == "l-bfgs"
 
 
