@@ -62,6 +62,11 @@ def log_rows(
     )
 
 
+def write_log(rows: DataFrame, path: str, mode: str = "append") -> None:
+    """Write gzipped JSON lines: every line repeats all names, and every JSON reader of Spark unpacks them."""
+    rows.write.mode(mode).option("ignoreNullFields", False).option("compression", "gzip").json(path)
+
+
 def append_log(rows: DataFrame, path: str) -> None:
     """Append to the JSON-lines log. Prediction and inputs sit on the same row, so their counts agree."""
-    rows.write.mode("append").option("ignoreNullFields", False).json(path)
+    write_log(rows, path)
