@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from wattline.functions.coerce import to_time
 from wattline.operators.drift import drift_report
 from wattline.sources.records import empty_requests, request_rows
-from wattline.sources.sinks import log_rows
+from wattline.sources.sinks import log_rows, write_log
 from wattline.sources.smi_text import label_samples, malformed_lines, parse_lines
 
 log = logging.getLogger(__name__)
@@ -68,7 +68,7 @@ def score_stream(
             empty_requests(keyed).write.mode("overwrite").parquet(f"{rejects}/batch_id={batch_id}")
             try:
                 entries = log_rows(scored, inputs, model_name, model_version)
-                entries.write.mode("overwrite").option("ignoreNullFields", False).json(f"{log_path.rstrip('/')}/batch_id={batch_id}")
+                write_log(entries, f"{log_path.rstrip('/')}/batch_id={batch_id}", "overwrite")
             except Exception:  # noqa: BLE001 - logging must not stop scoring
                 log.exception("prediction log failed for batch %s", batch_id)
         finally:
