@@ -91,3 +91,17 @@ def test_many_distinct_inputs_are_fitted_by_row(telemetry):
     assert counted.count_inputs(telemetry, ["k1", "k2"]) is None
     assert not counted.means_suffice("subsampled_boosting", {"subsample": 0.9})
     assert not counted.means_suffice("linear_regression", {"regParam": 0.1})
+
+
+@pytest.mark.parametrize("strategy", ["random", "time", "grouped"])
+def test_a_split_is_drawn_once(telemetry, strategy):
+    data = models.prepare(telemetry, None, NUMBERS, NO_IDS, strategy, keys=KEYS, carry=())
+    plan = data.raw_test._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan and "l_shipdate" not in plan
+    assert set(data.raw_test.columns) == {*NUMBERS, "power_watts", "is_test", "split_used"}
+    whole = models.prepare(telemetry, None, NUMBERS, NO_IDS, strategy, keys=KEYS)
+    assert set(whole.raw_test.columns) == {*telemetry.columns, "is_test", "split_used"}
+    columns = [*NUMBERS, "power_watts"]
+    assert data.raw_test.select(columns).exceptAll(whole.raw_test.select(columns)).isEmpty()
+    for d in (data, whole):
+        d.release()
