@@ -145,3 +145,20 @@ def test_families(spark):
     assert got["gpu_plus_thermal"] == ["gpu_utilization_pct", "temperature_c", "workload_type"]
     assert got["system_only"] == ["cpu_load", "mem_used", "temperature_c"]
     assert got["all_features"] == ["gpu_utilization_pct", "temperature_c", "cpu_load", "mem_used", "workload_type", "x"]
+
+
+def test_plain_numbers_are_parsed_once(spark):
+    shown = str(coerce.to_number(F.col("t"))).lower()
+    assert "isnan" not in shown.split(" else ")[0]
+    texts = ["9" * 300, "9" * 309, "-" + "9" * 400 + ".5", "+5.", "-0.25", "1e308", "1e309", "5 W", "."]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(coerce.to_number(F.col("t"))).collect()]
+    assert got == [float("9" * 300), None, None, 5.0, -0.25, 1e308, None, None, None]
+
+
+def test_offsets_are_found_behind_the_clock(spark):
+    texts = ["2025-01-02T03:04:05-0130", "2025/1/2 03:04:05.5+01:00", "2025/01/02 03:04:05", "2025-01-02T03:04:05Z", "2025-01-02", "03/04", ":-"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(coerce.to_time(F.col("t")).cast("string").alias("t"))
+    want = ["2025-01-02 04:34:05", "2025-01-02 02:04:05.5", "2025-01-02 03:04:05", "2025-01-02 03:04:05", "2025-01-02 00:00:00", None, None]
+    assert [r["t"] for r in df.collect()] == want
+    assert "contains" in str(coerce.to_time(F.col("t"))).lower()
