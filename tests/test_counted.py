@@ -4,8 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from suite.views import FEATURES as INPUTS
 from suite.views import KEYS
-from wattline.plans import counted, models
+from wattline.functions.coerce import HASH_EXTENT, hash60
+from wattline.operators import ordering
+from wattline.plans import counted, experiments, models, run
 from wattline.plans.preprocessing import FEATURES, fit_preprocessor
 
 NUMBERS, TEXTS = ["gpu_utilization_pct", "memory_utilization_pct"], ["workload_type"]
@@ -105,3 +108,50 @@ def test_a_split_is_drawn_once(telemetry, strategy):
     assert data.raw_test.select(columns).exceptAll(whole.raw_test.select(columns)).isEmpty()
     for d in (data, whole):
         d.release()
+
+
+def test_a_run_fits_its_own_split_once(telemetry, monkeypatch):
+    drawn = []
+    whole = models.split
+
+    def noted(df, strategy, *rest):
+        drawn.append(strategy)
+        return whole(df, strategy, *rest)
+
+    monkeypatch.setattr(models, "split", noted)
+    options = run.RunOptions(models=("linear_regression",), keys=KEYS, exclude=NO_IDS, permutation=False, validation=True)
+    tables, done = run.run_experiment(telemetry, "mit_supercloud", options)
+    assert sorted(drawn) == ["grouped", "random", "time"]
+    one = tables["split_comparison"].where("split_strategy = 'time'").select("model", "mae", "rmse", "r2").collect()
+    assert one == done.metrics.select("model", "mae", "rmse", "r2").collect()
+    apart, _ = experiments.split_comparison(telemetry, ["linear_regression"], keys=KEYS, exclude=NO_IDS)
+    key = lambda r: r["split_strategy"]
+    for a, b in zip(sorted(apart.collect(), key=key), sorted(tables["split_comparison"].collect(), key=key), strict=True):
+        assert a["split_strategy"] == b["split_strategy"] and a["rmse"] == pytest.approx(b["rmse"])
+
+
+def test_split_and_folds_store_what_is_read(telemetry, monkeypatch):
+    stored = {}
+    whole = experiments.spool
+    monkeypatch.setattr(experiments, "spool", lambda df, label="table": stored.setdefault(label, df.columns) and whole(df, label))
+    experiments.grouped_blocked_cv(telemetry, ["linear_regression"], exclude=NO_IDS)
+    assert set(stored["folded"]) == {*INPUTS, *TEXTS, "power_watts", "fold"}
+    data = models.prepare(telemetry, None, NUMBERS, NO_IDS, "time", keys=KEYS)
+    paths = [f.removeprefix("file:") for f in data.raw_test.inputFiles()]
+    rows = telemetry.sparkSession.read.parquet(*paths)
+    assert rows.where("not is_test and (k1 is not null or session_id is not null)").isEmpty()
+    assert rows.where("is_test and (k1 is null or session_id is null)").isEmpty()
+    data.release()
+
+
+def test_a_known_extent_hashes_a_row_once(telemetry):
+    hashed = telemetry.withColumn("__h", hash60(1, F.col("k1"), F.col("k2")))
+    slot = ordering.Slot("key", 1 << 55, (1 << 58) + 1, 0, 10)
+    kind = hashed.schema["__h"].dataType
+    once = hashed.where(ordering._within(F.col("__h"), slot, kind, HASH_EXTENT))
+    plain = hashed.where(F.col("__h").between(slot.low, slot.high))
+    condition = lambda df: df.select("power_watts")._jdf.queryExecution().optimizedPlan().toString().count("md5(")
+    assert condition(once) == 1 < condition(plain)
+    assert once.count() == plain.count() > 0 and once.exceptAll(plain).isEmpty()
+    edges = telemetry.sparkSession.createDataFrame([(v,) for v in (slot.low - 1, slot.low, slot.high, slot.high + 1, *HASH_EXTENT)], "v bigint")
+    assert edges.where(ordering._within(F.col("v"), slot, kind, HASH_EXTENT)).count() == 2
