@@ -1,5 +1,6 @@
 """Preprocessing, fits, importances, attribution, experiments, registry and streams."""
 
+import hashlib
 from itertools import combinations
 from math import factorial
 
@@ -103,6 +104,23 @@ def test_permutation_keeps_every_value(spark, telemetry):
         assert (part["ambient_c"] != part["other"]).mean() > 0.5
 
 
+def test_permuted_rows_take_the_next_values_by_hash(spark):
+    n, blocks = 1000, 4
+    indexed = spark.range(n).selectExpr("id as `__idx`", "id * 10 as value")
+    out = importance.permuted(indexed, ["value"], n, 2, 7, block_rows=250)
+    # rows are sorted by one number before the window sorts them by block, hash and position
+    sorts = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Sort [" in line]
+    assert sorted(line.count(" ASC ") for line in sorts) == [1, 3]
+    expected = set()
+    for r in range(2):
+        hashes = [(int(hashlib.md5(f"7:{r}:{i}".encode()).hexdigest()[:15], 16), i) for i in range(n)]
+        for b in range(blocks):
+            order = [i for h, i in sorted(hashes) if h % blocks == b]
+            expected |= {(r, i, after * 10) for i, after in zip(order, order[1:] + order[:1])}
+    rows = out.select("repeat", "__idx", F.col("__next.value").alias("other")).collect()
+    assert len(rows) == 2 * n and {tuple(x) for x in rows} == expected
+
+
 def test_permutation_importance_ranks_features(telemetry):
     scorer = importance.column_scorer(F.col("gpu_utilization_pct") * 1.3 + F.col("ambient_c") * 0 + 60)
     found = importance.permutation_importance(telemetry, scorer, ["ambient_c", "gpu_utilization_pct"], [*KEYS], 3)
