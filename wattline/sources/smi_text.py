@@ -20,29 +20,32 @@ NUMBER_FIELDS = (
 
 
 def _fields(lines: DataFrame) -> DataFrame:
-    parts = F.transform(F.split("value", ","), lambda p: F.trim(p))
-    return lines.where(F.trim("value") != "").withColumn("__p", parts)
+    """Lines that are not blank and ``__fields``, counted by separators: a line is split only once."""
+    commas = F.length("value") - F.length(F.replace("value", F.lit(","), F.lit("")))
+    return lines.where(F.trim("value") != "").withColumn("__fields", commas + 1)
 
 
 def malformed_lines(lines: DataFrame) -> DataFrame:
     """Non-blank lines that do not have ten fields."""
-    bad = _fields(lines).where(F.size("__p") != len(QUERY_FIELDS))
-    return bad.select("value", F.size("__p").cast("bigint").alias("fields"))
+    bad = _fields(lines).where(F.col("__fields") != len(QUERY_FIELDS))
+    return bad.select("value", F.col("__fields").cast("bigint").alias("fields"))
 
 
 def parse_lines(lines: DataFrame, strict: bool = True) -> DataFrame:
     """Rows of the ten fields. Blank lines are skipped; a malformed line fails when
     ``strict`` and is left out otherwise (see :func:`malformed_lines`)."""
-    parts = _fields(lines)
-    good = F.size("__p") == len(QUERY_FIELDS)
+    parts, cells = _fields(lines), F.split("value", ",")
+    good = F.col("__fields") == len(QUERY_FIELDS)
     if strict:
-        text = F.format_string("Unexpected monitor line with %d fields: %s", F.size("__p"), F.col("value"))
-        parts = parts.withColumn("__p", F.when(good, F.col("__p")).otherwise(F.raise_error(text)))
+        text = F.format_string("Unexpected monitor line with %d fields: %s", F.col("__fields"), F.col("value"))
+        parts = parts.withColumn("__p", F.when(good, cells).otherwise(F.raise_error(text)))
     else:
-        parts = parts.where(good)
-    texts = [F.get("__p", F.lit(i)).alias(n) for i, n in enumerate(TEXT_FIELDS)]
-    numbers = [reading(F.get("__p", F.lit(i + len(TEXT_FIELDS)))).alias(n) for i, n in enumerate(NUMBER_FIELDS)]
-    return parts.select(*texts, *numbers)
+        parts = parts.where(good).withColumn("__p", cells)
+    texts = [F.trim(F.get("__p", F.lit(i))).alias(n) for i, n in enumerate(TEXT_FIELDS)]
+    # one expression reads all numbers: written out six times it makes a method that the JVM doesn't compile
+    read = F.transform(F.slice("__p", len(TEXT_FIELDS) + 1, len(NUMBER_FIELDS)), lambda p: reading(p))
+    numbers = [F.get("__n", F.lit(i)).alias(n) for i, n in enumerate(NUMBER_FIELDS)]
+    return parts.withColumn("__n", read).select(*texts, *numbers)
 
 
 def label_samples(rows: DataFrame, session: str, workload: str = "local_nvidia_smi_trace") -> DataFrame:
