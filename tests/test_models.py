@@ -67,6 +67,17 @@ def test_regressor_arguments():
     assert (narrow.getSolver(), wide.getSolver()) == ("normal", "l-bfgs")
 
 
+def test_training_vectors_of_many_rows_get_bounded_parts(spark, monkeypatch):
+    # 40,000 rows of one file part: cached they would be read by one task
+    rows = spark.range(0, 40_000, 1, 1).selectExpr("cast(id as double) as x", "cast(id % 7 as double) as power_watts")
+    monkeypatch.setattr(models, "ROW_BYTES", 100_000)
+    _, counted, vectors = models.training_vectors(rows, ["x"], [])
+    sizes = [n for n in vectors.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()]
+    vectors.unpersist()
+    assert counted is None and sum(sizes) == 40_000
+    assert len(sizes) == -(-40_000 * 100_008 // models.SORT_PARTITION_BYTES) and max(sizes) < 2_000
+
+
 def test_both_linear_solvers_predict_the_same(telemetry):
     pre = fit_preprocessor(telemetry, list(FEATURES), ["workload_type"])
     vectors = pre.transform(telemetry)
