@@ -30,7 +30,8 @@ def score_stream(spark, sf_dir):
     base = spool_path(spark, "scoring")
     record = F.struct(*_FIELDS)
     payload = F.to_json(F.struct(F.array(record).alias("records")))
-    telemetry(spark, sf_dir).select(payload.alias("value")).write.text(f"{base}/in")
+    # every request repeats all names, so the text is stored packed
+    telemetry(spark, sf_dir).select(payload.alias("value")).write.option("compression", "gzip").text(f"{base}/in")
     requests = spark.readStream.text(f"{base}/in")
     scorer = lambda df: df.withColumn("prediction", analytic_power_of_row())
     _finish(

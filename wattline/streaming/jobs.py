@@ -60,19 +60,28 @@ def score_stream(
         own = [c for c in batch.columns if c != "value" and c not in order]
         own = [*own, *([REQUEST_KEY] if REQUEST_KEY not in own else [])]
         keyed = batch if REQUEST_KEY in batch.columns else batch.withColumn(REQUEST_KEY, F.sha2("value", 256))
-        # answers and log come from one scoring of the batch; what doesn't fit in memory goes to disk
-        scored = scorer(request_rows(keyed)).drop("extras").persist(StorageLevel.MEMORY_AND_DISK)
+        answered = [*own, *order, "row_index", "predicted_power_watts"]
+        logged = [*answered, *[c for c in inputs if c not in answered]]
+        scored = scorer(request_rows(keyed)).withColumn("predicted_power_watts", F.col("prediction")).select(*logged)
+        # Answers and log come from one scoring of the batch: the log is made of the stored answers. Only
+        # inputs that those lack are held beside them, without the text of the request.
+        apart = len(logged) > len(answered)
+        if apart:
+            scored.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            answers = scored.select(*own, *order, "row_index", F.col("prediction").alias("predicted_power_watts"))
-            answers.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch_id={batch_id}")
+            answers, place = scored.select(*answered), f"{out_path.rstrip('/')}/batch_id={batch_id}"
+            # keys are hex digits: zstd stores them in half the room that snappy takes
+            answers.write.mode("overwrite").option("compression", "zstd").parquet(place)
             empty_requests(keyed).write.mode("overwrite").parquet(f"{rejects}/batch_id={batch_id}")
             try:
-                entries = log_rows(scored, inputs, model_name, model_version)
+                rows = scored if apart else batch.sparkSession.read.schema(answers.schema).parquet(place)
+                entries = log_rows(rows, inputs, model_name, model_version, prediction="predicted_power_watts")
                 write_log(entries, f"{log_path.rstrip('/')}/batch_id={batch_id}", "overwrite")
             except Exception:  # noqa: BLE001 - logging must not stop scoring
                 log.exception("prediction log failed for batch %s", batch_id)
         finally:
-            scored.unpersist()
+            if apart:
+                scored.unpersist()
 
     return _start(requests, each, checkpoint, once)
 
